@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import ids
 from loomwork.operators import graph, topics
 from loomwork.schemas import GOLD, conform
+from loomwork.session import materialize
 
 TOPICS_LISTED = 8
 # Tasks that share the work of one topic when topic sets are paired.
@@ -145,26 +146,31 @@ def topic_summary(
     )
 
 
-def _set_pairs(sets: DataFrame) -> DataFrame:
-    """Unordered pairs of topic sets with a common topic: mask_a <= mask_b, shared.
+def _set_pairs(sets: DataFrame, min_shared: int = 1) -> DataFrame:
+    """Unordered pairs of topic sets with ``min_shared`` common topics: mask_a <= mask_b, shared.
 
-    Sets meet on each topic they hold; the pair is produced only on the lowest topic they share,
-    so it appears once and nothing is left to deduplicate. Each topic is salted over
-    ``PAIR_SALT`` tasks, so a topic that everybody has does not end up in one of them.
+    Bits are numbered from the most widespread topic up, so a set's highest bits are its rarest
+    topics. Two sets that share s topics meet among the ``size - s + 1`` rarest of each, and a
+    pair is produced only on the rarest topic both hold: it appears once, and nothing is left to
+    deduplicate. Each topic is salted over ``PAIR_SALT`` tasks, so a topic that everybody has
+    does not end up in one of them.
     """
-    low = F.explode(F.expr("filter(sequence(0, 62), i -> mask & shiftleft(1L, i) <> 0)"))
-    left = sets.select(F.col("mask").alias("mask_a"), low.alias("bit")).withColumn(
+    held = "reverse(filter(sequence(0, 62), i -> mask & shiftleft(1L, i) <> 0))"
+    rare = sets.filter(F.bit_count("mask") >= min_shared).select(
+        "mask", F.explode(F.expr(f"slice({held}, 1, bit_count(mask) - {int(min_shared) - 1})")).alias("bit")
+    )
+    left = rare.withColumnRenamed("mask", "mask_a").withColumn(
         "salt", F.pmod(F.xxhash64("mask_a"), F.lit(PAIR_SALT)).cast("int")
     )
-    right = sets.select(F.col("mask").alias("mask_b"), low.alias("bit")).withColumn(
+    right = rare.withColumnRenamed("mask", "mask_b").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALT - 1)))
     )
-    shared = F.col("mask_a").bitwiseAND(F.col("mask_b"))
-    lowest = F.expr("(mask_a & mask_b & (shiftleft(1L, bit) - 1L)) = 0")
+    common = F.col("mask_a").bitwiseAND(F.col("mask_b"))
+    rarest = F.call_function("shiftright", common, F.col("bit") + 1) == 0
     return (
         left.join(right, ["bit", "salt"])
-        .filter((F.col("mask_a") <= F.col("mask_b")) & lowest)
-        .select("mask_a", "mask_b", shared.alias("shared"))
+        .filter((F.col("mask_a") <= F.col("mask_b")) & rarest & (F.bit_count(common) >= min_shared))
+        .select("mask_a", "mask_b", common.alias("shared"))
     )
 
 
@@ -176,18 +182,20 @@ def _topic_list(df: DataFrame, terms: list[str]) -> DataFrame:
     )
 
 
-def cross_silo(people: DataFrame, names: DataFrame, terms: list[str]) -> DataFrame:
+def cross_silo(
+    people: DataFrame, names: DataFrame, terms: list[str], min_shared: int = 1
+) -> DataFrame:
     """Pairs of people (a < b) who share topics. ``people``: node, mask.
 
-    People with the same topics are interchangeable, so the work is done on distinct topic sets
-    (at most 2^topics, however many people there are); topics are counted and named once per
-    pair of sets. People are joined last, when each row is already a row of the result: no
-    intermediate pair is produced only to be grouped or dropped.
+    People with the same topics are interchangeable, so the work is done on distinct topic sets;
+    topics are counted and named once per pair of sets. People are joined last, when each row is
+    already a row of the result: no intermediate pair is produced only to be grouped or dropped.
     """
     named = people.join(names.withColumnRenamed("person", "node"), "node", "left").select(
         "mask", F.col("node").alias("person"), F.coalesce("name", "node").alias("name")
     )
-    pairs = _topic_list(_set_pairs(people.select("mask").distinct()), terms).drop("shared")
+    sets = people.select("mask").distinct()
+    pairs = _topic_list(_set_pairs(sets, min_shared), terms).drop("shared")
     first = named.select(F.col("mask").alias("mask_a"), F.col("person").alias("p"), F.col("name").alias("pn"))
     second = named.select(F.col("mask").alias("mask_b"), F.col("person").alias("q"), F.col("name").alias("qn"))
     rows = pairs.join(first, "mask_a").join(second, "mask_b")
@@ -207,11 +215,15 @@ def cross_silo(people: DataFrame, names: DataFrame, terms: list[str]) -> DataFra
     )
 
 
-def cross_silo_size(people: DataFrame) -> DataFrame:
+def set_sizes(people: DataFrame) -> DataFrame:
+    """mask, n: how many people hold each topic set."""
+    return people.groupBy("mask").agg(F.count("*").alias("n"))
+
+
+def cross_silo_size(sizes: DataFrame, min_shared: int = 1) -> DataFrame:
     """How many rows ``cross_silo`` has, from the sizes of the topic sets alone."""
-    sizes = people.groupBy("mask").agg(F.count("*").alias("n"))
     pairs = (
-        _set_pairs(sizes.select("mask"))
+        _set_pairs(sizes.select("mask"), min_shared)
         .join(sizes.select(F.col("mask").alias("mask_a"), F.col("n").alias("na")), "mask_a")
         .join(sizes.select(F.col("mask").alias("mask_b"), F.col("n").alias("nb")), "mask_b")
     )
@@ -236,21 +248,27 @@ def gold_cross_silo(artifacts: DataFrame, edges: DataFrame, m: topics.TopicMembe
     return cross_silo(topic_people(artifacts, edges, m), graph.person_names(artifacts), m.terms)
 
 
-def top_cross_silo(artifacts: DataFrame, edges: DataFrame, m: topics.TopicMembers, k: int) -> DataFrame:
+def top_cross_silo(people: DataFrame, names: DataFrame, terms: list[str], k: int) -> DataFrame:
     """The first ``k`` rows of the pair mart by (shared_topics desc, person_a, person_b).
 
-    Exact without building the mart: between two topic sets only the ``k + 1`` smallest people
-    of each can be in a pair that ranks among the first ``k``, because a later person is
-    preceded by the ``k`` pairs its smaller set mates form with the same partner.
+    Exact without building the mart. The number of shared topics is lowered from the largest set
+    until enough pairs share that many; at a high number few sets are long enough and they meet
+    on few topics. Between two sets only the ``k + 1`` smallest people of each can be in a pair
+    that ranks among the first ``k``, because a later person is preceded by the ``k`` pairs its
+    smaller set mates form with the same partner.
     """
-    people = topic_people(artifacts, edges, m)
+    people = materialize(people, "topic_people")
+    sizes = materialize(set_sizes(people), "topic_sets")
+    least = max(sizes.agg(F.max(F.bit_count("mask"))).first()[0] or 1, 1)
+    while least > 1 and cross_silo_size(sizes, least).first()["rows"] < k:
+        least -= 1
     by_id = Window.partitionBy("mask").orderBy("node")
     few = (
         people.withColumn("_rn", F.row_number().over(by_id))
         .filter(F.col("_rn") <= k + 1)
         .select("node", "mask")
     )
-    rows = cross_silo(few, graph.person_names(artifacts), m.terms)
+    rows = cross_silo(few, names, terms, least)
     return rows.orderBy(F.desc("shared_topics"), "person_a", "person_b").limit(k)
 
 

@@ -244,6 +244,15 @@ class Tables:
     def members(self) -> topics.TopicMembers:
         return topics.members(self.artifacts, self.edges, self.tokens)
 
+    @cached_property
+    def topic_people(self) -> DataFrame:
+        """Topic masks of people, stored; pair answers are computed from them."""
+        return self.stored("topic_people", lambda: marts.topic_people(self.artifacts, self.edges, self.members))
+
+    @cached_property
+    def names(self) -> DataFrame:
+        return self.stored("person_names", lambda: graph.person_names(self.artifacts))
+
     @cached_property
     def fresh_graph(self) -> graph.Graph:
         return graph.build(self.artifacts, self.edges, self.members)

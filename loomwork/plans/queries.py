@@ -425,16 +425,15 @@ def gold_cross_silo(t: Tables) -> DataFrame:
 @query
 def cross_silo_partners(t: Tables) -> DataFrame:
     """M5 for one person: the one with the smallest id."""
-    people = marts.topic_people(t.artifacts, t.edges, t.members)
-    first = people.agg(F.min("node")).first()[0] or ""
-    return marts.partners(people, graph.person_names(t.artifacts), t.members.terms, first)
+    first = t.topic_people.agg(F.min("node")).first()[0] or ""
+    return marts.partners(t.topic_people, t.names, t.members.terms, first)
 
 
 @query
 def mart_row_counts(t: Tables) -> DataFrame:
     """M6, A12, Q4; the pair mart is counted without being expanded."""
-    people = marts.topic_people(t.artifacts, t.edges, t.members)
-    pairs = marts.cross_silo_size(people).select(F.lit("gold_cross_silo").alias("asset"), "rows")
+    sizes = marts.set_sizes(t.topic_people)
+    pairs = marts.cross_silo_size(sizes).select(F.lit("gold_cross_silo").alias("asset"), "rows")
     small = {n: b() for n, b in marts.mart_builders(t.artifacts, t.edges, t.members).items() if n != "gold_cross_silo"}
     return serving.platform_counts(artifacts=t.artifacts, edges=t.edges, **small).unionByName(pairs)
 
@@ -475,7 +474,8 @@ def an_daily(t: Tables) -> DataFrame:
 @query
 def an_cross_silo(t: Tables) -> DataFrame:
     """A6, without building the pair mart."""
-    return serving.cross_silo(marts.top_cross_silo(t.artifacts, t.edges, t.members, serving.TOP_ROWS))
+    top = marts.top_cross_silo(t.topic_people, t.names, t.members.terms, serving.TOP_ROWS)
+    return serving.cross_silo(top)
 
 
 @query
