@@ -165,6 +165,10 @@ def _set_pairs(sets: DataFrame, min_shared: int = 1) -> DataFrame:
     right = rare.withColumnRenamed("mask", "mask_b").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALT - 1)))
     )
+    # The input is small and the work per row is not, so the number of tasks is set here instead
+    # of following the size of the data.
+    tasks = 2 * sets.sparkSession.sparkContext.defaultParallelism
+    left, right = (side.repartition(tasks, "bit", "salt") for side in (left, right))
     common = F.col("mask_a").bitwiseAND(F.col("mask_b"))
     rarest = F.call_function("shiftright", common, F.col("bit") + 1) == 0
     return (

@@ -37,8 +37,9 @@ _WRITTEN: dict[tuple[str, str, str], str] = {}
 class Tables:
     """Input frames over one data folder, and the tables derived from them.
 
-    Input frames are lazy. Silver, the graph and gold are tables: they are written to the shared
-    folder when first asked for and read from there, as their readers would in production.
+    The commit log, file tree and transcript records derived from it, silver, the graph and gold
+    are tables: they are written to the shared folder when first asked for and read from there,
+    as their readers would in production.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
@@ -94,12 +95,19 @@ class Tables:
 
     @cached_property
     def commits(self) -> DataFrame:
+        return self.stored("input_commits", self._commits)
+
+    def _commits(self) -> DataFrame:
         """The commit log: the message names the priority and the part of the first line."""
-        lines = self.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-        first = lines.groupBy("l_orderkey").agg(
-            F.min(F.struct("l_linenumber", "l_partkey")).alias("f"), F.count_distinct("l_partkey").alias("files_changed")
+        # Fixed-width keys and values at each step, so all of it is hash-aggregated.
+        lines = self.read("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("line"))
+        numbered = lines.groupBy("l_orderkey", "line").agg(
+            F.min("l_partkey").alias("l_partkey"), F.count("*").alias("n")
+        )
+        first = numbered.groupBy("l_orderkey").agg(
+            F.min_by("l_partkey", "line").alias("first_part"), F.sum("n").alias("files_changed")
         )
-        named = first.join(self.parts.select("p_partkey", "p_name"), F.col("f.l_partkey") == F.col("p_partkey"))
+        named = first.join(self.parts.select("p_partkey", "p_name"), F.col("first_part") == F.col("p_partkey"))
         rows = self.orders.join(
             named.select("l_orderkey", "p_name", "files_changed"), F.col("o_orderkey") == F.col("l_orderkey"), "left"
         )
@@ -112,6 +120,9 @@ class Tables:
 
     @cached_property
     def touches(self) -> DataFrame:
+        return self.stored("input_touches", self._touches)
+
+    def _touches(self) -> DataFrame:
         lines = self.read("lineitem").select("l_orderkey", "l_partkey")
         return (
             lines.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -121,18 +132,17 @@ class Tables:
 
     @cached_property
     def tree(self) -> DataFrame:
+        return self.stored("input_tree", self._tree)
+
+    def _tree(self) -> DataFrame:
         """Files that exist: every (repo, part) some order of the repo has a line for."""
         named = self.touches.groupBy("repo", "path").agg(F.max("authored_at").alias("head_at"))
         about = self.parts.select("path", "size", "modality", "said", "content_hash")
         return named.join(about, "path").withColumn("root", F.concat(F.lit(ROOT), "repo"))
 
-    @cached_property
-    def paths(self) -> DataFrame:
-        return self.touches.select("repo", "path").distinct()
-
     @cached_property
     def present(self) -> DataFrame:
-        return silver.present_touches(self.touches, self.paths)
+        return self.stored("present", lambda: silver.present_touches(self.touches, self.tree))
 
     @cached_property
     def files(self) -> DataFrame:
@@ -149,6 +159,9 @@ class Tables:
 
     @cached_property
     def records(self) -> DataFrame:
+        return self.stored("input_records", self._records)
+
+    def _records(self) -> DataFrame:
         """Conversation turns as transcript records. An assistant turn refers to one file."""
         n_parts = self.read("part").agg(F.count("*")).scalar()
         turns = self.read("conversations").join(
@@ -209,7 +222,7 @@ class Tables:
 
     @cached_property
     def index(self) -> DataFrame:
-        return silver.file_index(self.paths.withColumn("root", F.concat(F.lit(ROOT), "repo")))
+        return silver.file_index(self.tree)
 
     @cached_property
     def touched(self) -> DataFrame:
@@ -218,7 +231,7 @@ class Tables:
     @cached_property
     def authored(self) -> DataFrame:
         return silver.union_edges(
-            silver.authored_commits(self.orders), sessions.authored_sessions(self.heads, F.col("actor"))
+            silver.authored_commits(self.commits), sessions.authored_sessions(self.heads, F.col("actor"))
         )
 
     @cached_property
