@@ -74,7 +74,7 @@ class Lake:
 
     # --- reading ---
 
-    def _read(self, name: str, schema: T.StructType) -> DataFrame:
+    def read(self, name: str, schema: T.StructType) -> DataFrame:
         """A table with its declared schema; one that was never written is empty."""
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
@@ -84,13 +84,13 @@ class Lake:
             return schemas.empty(self.spark, schema)
 
     def log(self, table: str) -> DataFrame:
-        return self._read("append_log", LOG).filter(F.col("table") == table).drop("table")
+        return self.read("append_log", LOG).filter(F.col("table") == table).drop("table")
 
     def _committed(self, table: str, schema: T.StructType, as_of: str | None) -> DataFrame:
         log = self.log(table)
         if as_of is not None:
             log = history.as_of(log, F.col("committed_at"), as_of)
-        return self._read(table, schema).join(log.select("batch_id"), "batch_id", "left_semi")
+        return self.read(table, schema).join(log.select("batch_id"), "batch_id", "left_semi")
 
     def _stored_artifacts(self, as_of: str | None = None) -> DataFrame:
         schema = T.StructType([*schemas.ARTIFACTS.fields, _BATCH, _MONTH])
@@ -116,7 +116,7 @@ class Lake:
         return self._committed("blobs", schema, None).select(*schemas.BLOBS.names)
 
     def gold(self, name: str) -> DataFrame:
-        return self._read(name, schemas.GOLD[name])
+        return self.read(name, schemas.GOLD[name])
 
     def existing_ids(self) -> DataFrame:
         """Only the id column is read."""
@@ -132,7 +132,7 @@ class Lake:
 
     def next_batch(self) -> int:
         """One more than the highest batch of any table."""
-        top = self._read("append_log", LOG).agg(F.max("batch_id")).first()[0]
+        top = self.read("append_log", LOG).agg(F.max("batch_id")).first()[0]
         return 0 if top is None else top + 1
 
     def _before(self, rows: DataFrame, batch_id: int) -> DataFrame:
@@ -145,7 +145,7 @@ class Lake:
         stamped.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy(*by).parquet(f"{self.root}/{table}")
-        added = self._read(table, stamped.schema).filter(F.col("batch_id") == batch_id).count()
+        added = self.read(table, stamped.schema).filter(F.col("batch_id") == batch_id).count()
         entry = self.spark.createDataFrame(
             [(table, batch_id, datetime.now(timezone.utc), added)], LOG
         )
@@ -174,9 +174,12 @@ class Lake:
     def append_blobs(self, rows: DataFrame, batch_id: int) -> int:
         return self._append("blobs", schemas.conform(rows, schemas.BLOBS), batch_id, ["batch_id"])
 
-    def overwrite_gold(self, name: str, rows: DataFrame) -> DataFrame:
-        """Recompute a gold table: full overwrite, then read back."""
-        schemas.conform(rows, schemas.GOLD[name]).write.mode("overwrite").option(
+    def overwrite(self, name: str, rows: DataFrame, schema: T.StructType) -> DataFrame:
+        """Recompute a derived table: full overwrite, then read back."""
+        schemas.conform(rows, schema).write.mode("overwrite").option(
             "partitionOverwriteMode", "static"
         ).parquet(f"{self.root}/{name}")
-        return self.gold(name)
+        return self.read(name, schema)
+
+    def overwrite_gold(self, name: str, rows: DataFrame) -> DataFrame:
+        return self.overwrite(name, rows, schemas.GOLD[name])
