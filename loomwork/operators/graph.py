@@ -197,24 +197,31 @@ def candidate_edges(artifacts: DataFrame, edges: DataFrame, m: topics.TopicMembe
     )
 
 
-def _known_ends(edges: DataFrame, nodes_: DataFrame) -> DataFrame:
-    known = nodes_.select("id")
-    return edges.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(
-        known.withColumnRenamed("id", "target"), "target", "left_semi"
+def node_ids(artifacts: DataFrame, edges: DataFrame, m: topics.TopicMembers) -> DataFrame:
+    """The ids of all nodes, without what the nodes show."""
+    people = authored_targets(artifacts, edges).select(F.col("person").alias("id")).distinct()
+    things = artifacts.filter(F.col("kind").isin("file", "ai_session")).select("id")
+    themes = topics.connected_terms(m).select(F.concat(F.lit("topic:"), "term").alias("id"))
+    return people.unionByName(things).unionByName(themes)
+
+
+def _known_ends(edges: DataFrame, known: DataFrame) -> DataFrame:
+    return edges.join(known.select(F.col("id").alias("source")), "source", "left_semi").join(
+        known.select(F.col("id").alias("target")), "target", "left_semi"
     )
 
 
-def full_edges(artifacts: DataFrame, edges: DataFrame, m: topics.TopicMembers, nodes_: DataFrame) -> DataFrame:
+def full_edges(artifacts: DataFrame, edges: DataFrame, m: topics.TopicMembers) -> DataFrame:
     """Typed edges between known nodes, no loops; silver edges are unique by key already."""
     real = candidate_edges(artifacts, edges, m).filter("source <> target")
     eid = F.concat("relation", F.lit(":"), "source", F.lit("->"), "target")
-    return conform(_known_ends(real, nodes_).withColumn("id", eid), GRAPH_EDGES)
+    kept = _known_ends(real, node_ids(artifacts, edges, m))
+    return conform(kept.withColumn("id", eid), GRAPH_EDGES)
 
 
 def build(artifacts: DataFrame, edges: DataFrame, m: topics.TopicMembers | None = None) -> Graph:
     m = topics.members(artifacts, edges) if m is None else m
-    nodes_ = nodes(artifacts, edges, m)
-    return Graph(nodes_, full_edges(artifacts, edges, m, nodes_))
+    return Graph(nodes(artifacts, edges, m), full_edges(artifacts, edges, m))
 
 
 # --- views of a built graph ---

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EDGE_KEY = ["src_id", "dst_id", "relation"]
+# Relations whose weight is a count that later loads may raise; all others are written once.
+COUNTED = ("co_edited", "ai_touched_file")
 
 
 def one_per_key(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFrame:
@@ -63,6 +65,17 @@ def latest_edges(rows: DataFrame, version: str) -> DataFrame:
     )
 
 
+def current_edges(rows: DataFrame, version: str) -> DataFrame:
+    """One edge per key from an append log: only counted relations can have several versions,
+    so only those are grouped; the others pass as they are."""
+    counted = F.col("relation").isin(*COUNTED)
+    columns = [*EDGE_KEY, "weight", "created_at"]
+    return (
+        rows.filter(~counted).select(*columns)
+        .unionByName(latest_edges(rows.filter(counted), version).select(*columns))
+    )
+
+
 def upsert_edges(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """The edge table after a batch: known edges take the batch's weight, others are added."""
     both = existing.withColumn("_version", F.lit(0)).unionByName(batch.withColumn("_version", F.lit(1)))

@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomwork.functions import text
-from loomwork.operators.incremental import not_yet_in
 from loomwork.schemas import VECTORS, conform
 
 # Size of a vector, texts per encoder call, hits per search and per context.
@@ -66,7 +65,7 @@ def encoded_vectors(df: DataFrame, text_col: str, make_encoder: Callable[[], Enc
 def to_embed(artifacts: DataFrame, vectors: DataFrame) -> DataFrame:
     """Artifacts without a vector, with the text to encode as ``said``: text, else title."""
     said = F.coalesce(text.blank_to_null(F.col("text")), F.col("title"), F.lit(""))
-    return not_yet_in(artifacts, vectors, ["id"]).withColumn("said", said)
+    return artifacts.join(vectors.select("id"), "id", "left_anti").withColumn("said", said)
 
 
 def embed_new(

@@ -22,6 +22,8 @@ from loomwork.operators.incremental import not_yet_in
 LISTED = "abspath string, rel string, size long, mtime timestamp"
 # Directories found on the driver before tasks take over the walk.
 SPREAD = 256
+# Bytes one task reads.
+TASK_BYTES = 128 * 1024 * 1024
 
 
 class FolderError(ValueError):
@@ -98,9 +100,15 @@ def skipped(listed: DataFrame) -> DataFrame:
     return listed.agg(F.count_if(out).alias("skipped_ignored"))
 
 
-def with_bytes(listed: DataFrame, root: str) -> DataFrame:
-    """Adds ``content``; files that cannot be read (any more) are left out."""
+def with_bytes(listed: DataFrame, root: str, total_bytes: int = 0) -> DataFrame:
+    """Adds ``content``; files that cannot be read (any more) are left out.
+
+    A listing is small however much it names, so the number of reading tasks is set from the
+    bytes behind it and not left to the size of the rows.
+    """
     names = listed.columns
+    slots = listed.sparkSession.sparkContext.defaultParallelism
+    tasks = max(slots, -(-total_bytes // TASK_BYTES))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filesystem = filesystem_of(root)
@@ -116,7 +124,7 @@ def with_bytes(listed: DataFrame, root: str) -> DataFrame:
                 yield rows.assign(content=content)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema)
-    spread = listed.repartition("abspath")
+    spread = listed.repartition(tasks, "abspath")
     return spread.mapInPandas(read, f"{fields}, content binary").filter("content IS NOT NULL").select(
         *names, "content"
     )

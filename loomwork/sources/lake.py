@@ -1,7 +1,7 @@
 """The stored tables: silver by append, gold by overwrite, and lookups on them.
 
-A silver table is a Parquet folder partitioned by ``batch_id`` (and month for artifacts). An
-append writes only the partitions of its batch, then one row to the append log; readers see
+A silver table is a Parquet folder partitioned by ``batch_id``, then by month for artifacts and
+by relation for edges. An append writes only the partitions of its batch, then one row to the append log; readers see
 the batches the log names. A failed or repeated append therefore leaves nothing visible twice.
 """
 
@@ -102,9 +102,11 @@ class Lake:
             rows = incremental.latest_artifacts(rows, F.desc("batch_id"))
         return rows.select(*schemas.ARTIFACTS.names)
 
+    def _stored_edges(self, as_of: str | None = None) -> DataFrame:
+        return self._committed("edges", T.StructType([*schemas.EDGES.fields, _BATCH]), as_of)
+
     def edges(self, as_of: str | None = None) -> DataFrame:
-        schema = T.StructType([*schemas.EDGES.fields, _BATCH])
-        rows = incremental.latest_edges(self._committed("edges", schema, as_of), "batch_id")
+        rows = incremental.current_edges(self._stored_edges(as_of), "batch_id")
         return rows.select(*schemas.EDGES.names)
 
     def vectors(self) -> DataFrame:
@@ -162,11 +164,9 @@ class Lake:
 
     def append_edges(self, batch: DataFrame, batch_id: int) -> int:
         """Append the edges that are new or changed their weight; returns how many did."""
-        schema = T.StructType([*schemas.EDGES.fields, _BATCH])
-        stored = self._before(self._committed("edges", schema, None), batch_id)
-        current = incremental.latest_edges(stored, "batch_id")
+        current = incremental.current_edges(self._before(self._stored_edges(), batch_id), "batch_id")
         rows = incremental.changed_edges(current, schemas.conform(batch, schemas.EDGES))
-        return self._append("edges", rows, batch_id, ["batch_id"])
+        return self._append("edges", rows, batch_id, ["batch_id", "relation"])
 
     def append_vectors(self, rows: DataFrame, batch_id: int) -> int:
         return self._append("vectors", schemas.conform(rows, schemas.VECTORS), batch_id, ["batch_id"])

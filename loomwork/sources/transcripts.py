@@ -46,7 +46,7 @@ def read_lines(spark: SparkSession, root: str, max_sessions: int | None = None)
     lines = lines.filter(~_nested(F.col("file")))
     if max_sessions is not None:
         first = lines.select("file").distinct().orderBy("file").limit(max_sessions)
-        lines = lines.join(F.broadcast(first), "file", "left_semi")
+        lines = lines.join(first, "file", "left_semi")
     return lines
 
 
