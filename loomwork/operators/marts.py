@@ -202,7 +202,16 @@ def cross_silo(
     pairs = _topic_list(_set_pairs(sets, min_shared), terms).drop("shared")
     first = named.select(F.col("mask").alias("mask_a"), F.col("person").alias("p"), F.col("name").alias("pn"))
     second = named.select(F.col("mask").alias("mask_b"), F.col("person").alias("q"), F.col("name").alias("qn"))
-    rows = pairs.join(first, "mask_a").join(second, "mask_b")
+    # Many people may hold one set, so the second join is salted: its result is far larger than
+    # its inputs, which is why sizes alone would not make the engine split it.
+    tasks = 2 * people.sparkSession.sparkContext.defaultParallelism
+    halves = pairs.join(first, "mask_a").withColumn(
+        "salt", F.pmod(F.xxhash64("p"), F.lit(PAIR_SALT)).cast("int")
+    )
+    copies = second.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALT - 1))))
+    rows = halves.repartition(tasks, "mask_b", "salt").join(
+        copies.repartition(tasks, "mask_b", "salt"), ["mask_b", "salt"]
+    )
     # Two people of one set meet twice; of different sets once, in either order.
     rows = rows.filter((F.col("mask_a") != F.col("mask_b")) | (F.col("p") < F.col("q")))
     swap = F.col("p") > F.col("q")

@@ -18,10 +18,9 @@ from loomwork.functions import files, ids
 from loomwork.functions.files import IGNORE_DIRS
 from loomwork.operators import blobs, silver
 from loomwork.operators.incremental import not_yet_in
+from loomwork.session import materialize
 
-LISTED = "abspath string, rel string, size long, mtime timestamp"
-# Directories found on the driver before tasks take over the walk.
-SPREAD = 256
+ENTRY = "abspath string, size long, mtime timestamp, is_dir boolean"
 # Bytes one task reads.
 TASK_BYTES = 128 * 1024 * 1024
 
@@ -34,59 +33,55 @@ def _pruned(name: str) -> bool:
     return name in IGNORE_DIRS or name.startswith(".")
 
 
-def _entries(filesystem: pafs.FileSystem, directory: str) -> tuple[list[str], list[pafs.FileInfo]]:
-    """Sub-directories to enter and files of one directory; an unreadable one has neither."""
-    try:
-        found = filesystem.get_file_info(pafs.FileSelector(directory))
-    except OSError:
-        return [], []
-    dirs = [e.path for e in found if e.type == pafs.FileType.Directory and not _pruned(e.base_name)]
-    return dirs, [e for e in found if e.type == pafs.FileType.File]
+def _local(root: str) -> str:
+    return root if "://" in root else f"file://{root}"
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """abspath, rel, size, mtime of all files outside ignored directories.
 
-    The driver walks only until there are ``SPREAD`` directories to hand out; the trees below
-    them are walked by tasks.
+    One round per level of the tree: tasks list the directories found in the round before. What
+    they find is written to the shared folder, so neither files nor directories pass through the
+    driver, and a deep branch is spread like any other.
     """
-    filesystem, base = pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    filesystem, base = pafs.FileSystem.from_uri(_local(root))
     base = base.rstrip("/")
     if filesystem.get_file_info(base).type != pafs.FileType.Directory:
         raise FolderError(f"{root!r} is not a directory")
 
-    def row(e: pafs.FileInfo) -> tuple:
-        return e.path, e.path[len(base) + 1 :], e.size, e.mtime
-
-    near, frontier = [], [base]
-    while frontier and len(frontier) < SPREAD:
-        deeper: list[str] = []
-        for directory in frontier:
-            dirs, found = _entries(filesystem, directory)
-            deeper += dirs
-            near += [row(e) for e in found]
-        frontier = deeper
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def list_level(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source = filesystem_of(root)
         for frame in frames:
-            todo = frame["directory"].tolist()
-            while todo:
-                dirs, found = _entries(filesystem_of(root), todo.pop())
-                todo += dirs
-                if found:
-                    yield pd.DataFrame([row(e) for e in found], columns=["abspath", "rel", "size", "mtime"])
-
-    listed = spark.createDataFrame(near, LISTED)
-    if frontier:
-        handed = spark.createDataFrame([(d,) for d in frontier], "directory string")
-        listed = listed.unionByName(
-            handed.repartition(len(frontier), "directory").mapInPandas(walk, LISTED)
-        )
-    return listed
+            for directory in frame["abspath"]:
+                try:
+                    found = source.get_file_info(pafs.FileSelector(directory))
+                except OSError:  # gone or unreadable: it has no entries
+                    continue
+                rows = [
+                    (e.path, e.size, e.mtime, e.type == pafs.FileType.Directory)
+                    for e in found
+                    if e.type == pafs.FileType.File
+                    or (e.type == pafs.FileType.Directory and not _pruned(e.base_name))
+                ]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["abspath", "size", "mtime", "is_dir"])
+
+    slots = spark.sparkContext.defaultParallelism
+    frontier = spark.createDataFrame([(base,)], "abspath string")
+    n_dirs, levels = 1, None
+    while n_dirs:
+        spread = frontier.repartition(min(n_dirs, slots), "abspath")
+        found = materialize(spread.mapInPandas(list_level, ENTRY), "listing")
+        levels = found if levels is None else levels.unionByName(found)
+        frontier = found.filter("is_dir").select("abspath")
+        n_dirs = frontier.count()
+    return levels.filter("NOT is_dir").select(
+        "abspath", F.expr(f"substring(abspath, {len(base) + 2})").alias("rel"), "size", "mtime"
+    )
 
 
 def filesystem_of(root: str) -> pafs.FileSystem:
-    return pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")[0]
+    return pafs.FileSystem.from_uri(_local(root))[0]
 
 
 def accepted(listed: DataFrame) -> DataFrame:

@@ -105,6 +105,11 @@ class Lake:
     def _stored_edges(self, as_of: str | None = None) -> DataFrame:
         return self._committed("edges", T.StructType([*schemas.EDGES.fields, _BATCH]), as_of)
 
+    def appended(self, batch_id: int) -> DataFrame:
+        """The artifacts one batch added; only its partition is read."""
+        rows = self._stored_artifacts().filter(F.col("batch_id") == batch_id)
+        return rows.select(*schemas.ARTIFACTS.names)
+
     def edges(self, as_of: str | None = None) -> DataFrame:
         rows = incremental.current_edges(self._stored_edges(as_of), "batch_id")
         return rows.select(*schemas.EDGES.names)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
+from loomwork import schemas
 from loomwork.functions import files, ids, text
 from loomwork.operators import blobs, silver, vectors
 from loomwork.operators.incremental import not_yet_in, one_per_key
@@ -103,9 +104,10 @@ def start(
         fresh = not_yet_in(usable(batch), lake.artifacts().select("id"), ["id"])
         lake.append_artifacts(to_artifacts(fresh), base + epoch)
         if embed:
-            lake.append_vectors(
-                vectors.embed_new(lake.artifacts(), lake.vectors(), make_encoder), base + epoch
-            )
+            # The ids of this batch are new to the lake, so none of them has a vector yet.
+            none = schemas.empty(lake.spark, schemas.VECTORS)
+            added = lake.appended(base + epoch)
+            lake.append_vectors(vectors.embed_new(added, none, make_encoder), base + epoch)
 
     return (
         events.writeStream.foreachBatch(step)

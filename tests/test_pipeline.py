@@ -29,9 +29,7 @@ def work(tmp_path_factory):
 KEPT = [".env", "deep/er/and/er/n.txt", "logo.png", "src/__init__.py", "src/a.py", "src/copy.py"]
 
 
-@pytest.mark.parametrize("spread", [1, 2, 256])
-def test_folder_scan(spark, work, monkeypatch, spread):
-    monkeypatch.setattr(folder, "SPREAD", spread)
+def test_folder_scan(spark, work):
     listed = folder.list_files(spark, str(work))
     assert [r[0] for r in rows(folder.accepted(listed), "rel")] == KEPT
     assert folder.skipped(listed).first()["skipped_ignored"] == 3
