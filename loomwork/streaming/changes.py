@@ -1,9 +1,10 @@
 """Change detection: which observations of a key carry another version than the one before.
 
 Observations are (key, at, version) rows, for instance directory listings (path, time, mtime).
-Batch and stream share one rule; the stream keeps the last version per key in a small table
-next to its checkpoint, one folder per micro-batch, so a repeated micro-batch reads the same
-state and writes the same folder again.
+Batch and stream share one rule; the stream keeps the last version per key in a table next to
+its checkpoint. Two folders take turns: a micro-batch reads the state of the one before and
+overwrites the older folder, so a repeated micro-batch starts from the same state, and no more
+than two copies exist.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def start(
 
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        known = _state(spark, f"{folder}/state/{epoch - 1}", schema) if epoch else None
+        known = _state(spark, f"{folder}/state/{(epoch - 1) % 2}", schema) if epoch else None
         if known is None and primed is not None:
             known = primed
         sink(changes(batch, key, at, version, bucket, known, tie), epoch)
@@ -95,7 +96,7 @@ def start(
                 kept = kept.filter(F.col(at).isNull() | (F.col(at) >= F.coalesce(horizon, F.col(at))))
             seen = kept.select(*schema.names).unionByName(seen)
         seen.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
-            f"{folder}/state/{epoch}"
+            f"{folder}/state/{epoch % 2}"
         )
 
     return (
