@@ -53,6 +53,12 @@ def person_id(actor: Column) -> Column:
     return F.concat(F.lit("person:"), digest40(F.lit("person"), normalize_actor(actor)))
 
 
+def known_person_id(actor: Column) -> Column:
+    """``person_id`` of an actor known to be there. Declared not NULL, so that a join on it does
+    not make the optimizer test the digest of every row once more."""
+    return F.coalesce(person_id(actor), F.lit(""))
+
+
 def name_part(actor: Column) -> Column:
     """Text before the first '<', trimmed."""
     return strip(F.substring_index(actor, "<", 1))

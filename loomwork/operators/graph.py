@@ -56,7 +56,7 @@ def person_names(artifacts: DataFrame, name: Column | None = None) -> DataFrame:
         artifacts.filter(F.col("kind").isin("commit", "ai_session") & (actor != ""))
         .groupBy("actor")
         .agg(F.min("created_at").alias("at"))
-        .withColumn("person", ids.person_id(actor))
+        .withColumn("person", ids.known_person_id(actor))
         .withColumn("name", ids.person_display(actor) if name is None else name)
     )
     first = spellings.groupBy("person").agg(F.min(F.struct("at", "actor", "name")).alias("first"))
@@ -66,7 +66,7 @@ def person_names(artifacts: DataFrame, name: Column | None = None) -> DataFrame:
 def person_file(artifacts: DataFrame, edges: DataFrame) -> DataFrame:
     """person -> file with the number of the person's commits that modified it."""
     authors = artifacts.filter("kind = 'commit' AND actor <> ''").select(
-        F.col("id").alias("src_id"), ids.person_id(F.col("actor")).alias("person")
+        F.col("id").alias("src_id"), ids.known_person_id(F.col("actor")).alias("person")
     )
     return (
         edges.filter("relation = 'modified'")

@@ -125,11 +125,11 @@ def members(
     sessions = own.unionByName(heard).groupBy("node").agg(F.bit_or("mask").alias("mask"))
 
     runners = artifacts.filter("kind = 'ai_session' AND actor <> ''").select(
-        F.col("id").alias("node"), ids.person_id(F.col("actor")).alias("person")
+        F.col("id").alias("node"), ids.known_person_id(F.col("actor")).alias("person")
     )
     people = (
         commits.filter("actor <> ''")
-        .select(ids.person_id(F.col("actor")).alias("person"), "mask")
+        .select(ids.known_person_id(F.col("actor")).alias("person"), "mask")
         .unionByName(sessions.join(runners, "node").select("person", "mask"))
         .groupBy(F.col("person").alias("node"))
         .agg(F.bit_or("mask").alias("mask"))
