@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import secrets, sharding
+from loomwork.llm import decontamination, secrets, sharding, suffix_dedup
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,12 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in windows of the benchmark."""
+    marked = decontamination.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return decontamination.digest(marked)
+
+
 @query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text, by kind and place."""
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document in strings of 50 that an earlier document has."""
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 24 shards by doc_id, and in 25."""
