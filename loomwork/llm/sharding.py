@@ -11,9 +11,10 @@ spread equal keys, so no shard is sorted in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.places import numbered
 from loomwork.session import materialize
 
 #: About as many rows of a shard as one task numbers.
@@ -38,25 +39,11 @@ def jump_shard(key: Column, shards: int) -> Column:
 
 
 def with_slots(rows: DataFrame, shard: str, slot: str, label: str = "shard-rows") -> DataFrame:
-    """Number the rows of each shard from 0 without gaps.
-
-    The rows are written once, so that all steps see the same ones. Rows of a shard are dealt to
-    buckets in turn; a row's place is the number of rows in earlier buckets plus its place in its own.
-    """
-    turn, bucket = f"{slot}__turn", f"{slot}__bucket"
+    """Number the rows of each shard from 0 without gaps; the rows are written once, so that all steps see the same ones."""
+    turn = f"{slot}__turn"
     kept = materialize(rows.withColumn(turn, F.monotonically_increasing_id()), label)
     buckets = max(1, -(-kept.count() // ROWS_PER_BUCKET))
-    kept = kept.withColumn(bucket, F.pmod(F.xxhash64(turn), F.lit(buckets)))
-    sizes = kept.groupBy(shard, bucket).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(shard, bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy(shard, bucket).orderBy(turn)
-    return (
-        kept.withColumn(slot, F.row_number().over(own).cast("long") - 1)
-        .join(sizes, [shard, bucket])
-        .withColumn(slot, F.col(slot) + F.col("before"))
-        .select(*rows.columns, slot)
-    )
+    return numbered(kept, shard, turn, F.lit(buckets), slot).select(*rows.columns, slot)
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
