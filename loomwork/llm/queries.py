@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomwork.llm import decontamination, embedding_dedup, minhash_dedup, packing, secrets, sharding, suffix_dedup
+from loomwork.llm import decontamination, embedding_dedup, language_id, minhash_dedup, packing, quality, secrets, sharding, suffix_dedup
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,6 +48,16 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, by a network trained outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs.select("doc_id", "text"), language_id.train(docs), keep=["doc_id"])
+    return found.select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("lang__pred").alias("lang_pred"), F.col("lang__score").alias("score")
+    )
+
+
 @query
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by a similarity of 0.85 or more, and their components."""
@@ -63,3 +74,9 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 24 shards by doc_id, and in 25."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text, by trees trained outside the held-out fold."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
