@@ -221,5 +221,9 @@ def joined(spans: Column) -> Column:
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts of the base kinds, a digest of the base spans, and all spans as text."""
     base = F.filter("found", lambda s: s["order"] < len(BASE))
-    counts = [F.size(F.filter("found", lambda s, i=i: s["order"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
+
+    def count(number: int) -> Column:
+        return F.size(F.filter("found", lambda s: s["order"] == number)).cast("long")
+
+    counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     return found.select(key, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
