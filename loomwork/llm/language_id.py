@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.llm import textbytes as tb
 
@@ -187,7 +188,7 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str] | None = None,
     keep = docs.columns if keep is None else keep
     read = F.when(F.rlike(F.col(text), F.lit(r"\p{L}")), F.col(text))  # others stay without windows
     rows = docs.select(*keep, read.alias("text__read"))
-    schema = docs.select(*keep).schema.add("lang__pred", "string").add("lang__score", "double")
+    schema = T.StructType([*docs.select(*keep).schema, T.StructField("lang__pred", T.StringType()), T.StructField("lang__score", T.DoubleType())])
     return rows.mapInArrow(_predict(net, keep), schema)
 
 

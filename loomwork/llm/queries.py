@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontamination, embedding_dedup, language_id, minhash_dedup, packing, quality, secrets, sharding, suffix_dedup
+import corpus_pipeline
+from loomwork.llm import decontamination, embedding_dedup, language_id, minhash_dedup, packing, personal_data, quality, secrets, sharding, suffix_dedup
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,6 +49,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
+@query
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text, by kind and place."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return personal_data.digest(personal_data.find(docs, personal_data.train(docs), keep=["doc_id"]))
+
+
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, by a network trained outside the held-out fold."""
@@ -80,3 +88,9 @@ def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every text, by trees trained outside the held-out fold."""
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
