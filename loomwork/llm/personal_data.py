@@ -315,8 +315,8 @@ def train(docs: DataFrame, text: str = "text") -> Field | None:
     if not count:
         return None
     chosen = F.pmod(F.xxhash64("text", F.lit("train")), F.lit(1_000_000)) < F.lit(TRAIN_DOCS * 1_000_000 // count + 1)
-    sample = rows.where(chosen).mapInArrow(_train_graphs, "features binary, labels binary, links binary")
-    found = sample.distinct().orderBy("features", "labels", "links").limit(2 * TRAIN_DOCS).collect()
+    sample = rows.where(chosen).dropDuplicates(["text"]).mapInArrow(_train_graphs, "features binary, labels binary, links binary")
+    found = sample.orderBy("features", "labels", "links").limit(2 * TRAIN_DOCS).collect()
     features, labels, links, at = [], [], [], 0
     for r in found:
         features.append(np.frombuffer(r["features"], np.uint8).reshape(-1, FEATURES))
