@@ -20,7 +20,6 @@ one; other columns are not read; an empty table gives no rows. Very long texts a
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -38,19 +37,21 @@ END_ID = 2
 #: About as many pieces as one task numbers.
 PIECES_PER_BLOCK = 20_000
 #: Words whose ids a worker keeps, and bytes of text it encodes at a time.
-KNOWN_WORDS, SLICE = 500_000, 1 << 20
+KNOWN_WORDS, SLICE = 600_000, 2 << 20
 
-#: A space that the tokenizer may join with white space on both of its sides, or with the end.
-JOINED = re.compile(r"\s (?:\s|\Z)")
+_SPACES = tb.word_table([0x20, *range(0x09, 0x0E)])
+_WORD = ~tb.word_table([0x20])
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Token ids of texts as little-endian bytes, for byte-level vocabularies that start a token at a space before a word.
+    """Token ids of texts, for byte-level vocabularies that start a token at a space before a word.
 
-    A text is then the join of its words, each with the space before it, and the ids of words seen
-    before are kept. Texts in which a space may join white space on both sides are encoded whole.
+    A text is then the join of its words, each with the space before it. Words are told apart by
+    64-bit digests; the ids of words seen before are kept, up to ``KNOWN_WORDS`` of them. Texts in
+    which a space stands before white space or at the end are encoded whole, as the tokenizer may
+    join it with what is around it.
     """
 
     def __init__(self, path: str):
@@ -58,7 +59,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, np.bool_)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how the space is written
+        self.slot: dict[int, int] = {}
+        self.pool, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -67,50 +72,88 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        joined = [i for i, t in enumerate(texts) if JOINED.search(t)]
-        parts = [t.split(" ") for t in texts]
-        for i in joined:
-            parts[i] = [""]
-        heads = self.whole([p[0] for p in parts])
-        new = set().union(*(p[1:] for p in parts))
-        new.difference_update(self.known)
-        new = list(new)
-        ids = dict(zip(new, self.whole([" " + w for w in new])))
-        if len(self.known) < KNOWN_WORDS:
-            self.known.update(ids)
-            ids = self.known
-        else:
-            ids.update((w, self.known[w]) for p in parts for w in p[1:] if w not in ids)
-        out = [b"".join([head, *map(ids.__getitem__, p[1:])]) for head, p in zip(heads, parts)]
-        for i, found in zip(joined, self.whole([texts[i] for i in joined])):
-            out[i] = found
+        return [np.array(x.ids, np.uint32) for x in found]
+
+    def words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words with the space before each; many are encoded as one text and parted where a token opens with the space."""
+        out: list[np.ndarray] = []
+        for a in range(0, len(words), 1000):
+            part = words[a : a + 1000]
+            if all(w and not w[0].isspace() for w in part):
+                ids = self.whole([" " + " ".join(part)])[0]
+                cuts = np.flatnonzero(self.opens[ids])
+                if len(cuts) == len(part) and cuts[0] == 0:
+                    out += np.split(ids, cuts[1:])
+                    continue
+            out += self.whole([" " + w for w in part])
         return out
 
+    def _joined(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Texts with a space before white space or at their end."""
+        space = np.flatnonzero(data == 0x20)
+        padded = np.concatenate([data, np.full(3, 0x20, np.uint8)])
+        one, two, three = (padded[space + i] for i in (1, 2, 3))
+        wide = (one == 0xC2) & ((two == 0x85) | (two == 0xA0)) | (one == 0xE1) & (two == 0x9A) | (one == 0xE3) & (two == 0x80)
+        wide |= (one == 0xE2) & ((two == 0x80) & ((three <= 0x8A) | (three >= 0xA8) & (three <= 0xAF)) | (two == 0x81) & (three == 0x9F))
+        at_end = np.zeros(len(data) + 1, np.bool_)
+        at_end[offs[1:]] = True
+        bad = space[_SPACES[one] | wide | at_end[space + 1]]
+        return np.unique(np.searchsorted(offs, bad, "right") - 1)
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+        """Token ids of each text."""
+        starts, ends, before = tb.words(data, offs, _WORD)
+        spaced = np.ones(len(starts), np.bool_)
+        spaced[before[:-1][np.diff(before) > 0]] = False
+        heads = starts[~spaced]
+        spaced[~spaced] = heads > offs[np.searchsorted(offs, heads, "right") - 1]
+        digest = tb.range_digests(data, starts, ends)
+        unique, sample, word = np.unique(np.where(spaced, digest, ~digest), return_index=True, return_inverse=True)
+        keys = unique.tolist()
+        slot = np.fromiter((self.slot.get(k, -1) for k in keys), np.int64, len(keys))
+        missing = np.flatnonzero(slot < 0)
+        raw = data.tobytes()
+        missing = np.concatenate([missing[~spaced[sample[missing]]], missing[spaced[sample[missing]]]])
+        texts = [raw[starts[i] : ends[i]].decode() for i in sample[missing]]
+        first_words = int((~spaced[sample[missing]]).sum())
+        fresh = self.whole(texts[:first_words]) + self.words(texts[first_words:])
+        sizes = np.array([len(x) for x in fresh], np.int64)
+        pool = np.concatenate([self.pool, *fresh])
+        first = np.concatenate([self.first, len(self.pool) + np.cumsum(sizes) - sizes])
+        size = np.concatenate([self.size, sizes])
+        slot[missing] = len(self.size) + np.arange(len(missing))
+        if len(size) <= KNOWN_WORDS:
+            self.slot.update(zip((keys[i] for i in missing), slot[missing].tolist()))
+            self.pool, self.first, self.size = pool, first, size
+        slot = slot[word]
+        length = size[slot]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        ids = pool[np.repeat(first[slot] - upto[:-1], length) + np.arange(upto[-1])]
+        out = [ids[a:b] for a, b in zip(upto[before[:-1]], upto[before[1:]])]
+        rest = self._joined(data, offs)
+        for t, found in zip(rest, self.whole([raw[offs[t] : offs[t + 1]].decode() for t in rest])):
+            out[t] = found
+        return out
 
-def _pieces(path: str, capacity: int):
-    end = np.array([END_ID], "<u4").tobytes()
 
+def _pieces(path: str, capacity: int):
     def step(batches):
         encoder = Encoder.of(path)
         for batch in batches:
-            for part, _, _ in tb.slices(batch, "text", SLICE):
-                texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+            for part, data, offs in tb.slices(batch, "text", SLICE):
                 row, piece, start, length, crc = [], [], [], [], []
-                for r, ids in enumerate(encoder.encode(texts)):
-                    ids += end
-                    total = len(ids) // 4
+                for r, ids in enumerate(encoder.encode(data, offs)):
+                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4", copy=False)
+                    total = len(ids)
                     cuts = [0, *range(total % capacity or capacity, total + 1, capacity)] if total > capacity else [0, total]
                     for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
                         row.append(r)
                         piece.append(p)
                         start.append(a)
                         length.append(b - a)
-                        crc.append(zlib.crc32(ids[4 * a : 4 * b]))
+                        crc.append(zlib.crc32(ids[a:b]))
                 keys = part.column(part.schema.get_field_index("doc_id")).take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [keys, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
