@@ -14,20 +14,24 @@ found, over all documents.
    up a string together with the left extension its members share, it is a repeat of all its
    occurrences; where its left extensions differ, its members are parted by them.
 
-Buckets hold packed rows of bounded size. Within a slice equal entries are combined before any shuffle:
-an anchor that thousands of documents share sends one entry a slice, and its further documents
-are answered from the slice itself.
+The texts are stored once, as compressed slices of some megabytes; only slices are joined with what was
+found for them. Buckets hold packed arrays. Equal entries are combined within a slice before any
+shuffle: an anchor, or a suffix with all its bytes, that thousands of documents share is sent once a
+slice, for the first of its documents, as that answers the others.
 
 Null texts are empty; rows with a null id neither lose bytes nor count as earlier ones; rows with the
-same id have no order among them and lose nothing to each other; texts shorter than ``least`` stay whole.
+same id have no order among them and lose nothing to each other; texts shorter than ``least`` stay
+whole; an empty table gives no rows. Columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +42,9 @@ from loomwork.session import materialize
 LEAST = 50
 GRAM = 16
 SLICE = 4 << 20
-#: About as many anchors, and as many suffixes, as a bucket holds.
+#: About as many anchors as a bucket of anchors holds, and as a bucket of suffixes would hold if all were shared.
 ANCHORS_PER_BUCKET = 1_000_000
-SUFFIXES_PER_BUCKET = 60_000
+ANCHORS_PER_SUFFIX_BUCKET = 250_000
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -72,98 +76,150 @@ def anchors(data: np.ndarray, offs: np.ndarray, least: int = LEAST) -> tuple[np.
     return place, digest[place], np.searchsorted(offs, place, "right") - 1
 
 
-def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """One row for each bucket with its entries as binary values."""
+def _packed(bucket: np.ndarray, slice_: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row for each bucket with the slice and its entries as compressed arrays."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
-    counts = np.diff(np.append(first, len(bucket)))
-    arrays = [pa.array(bucket[first].astype(np.int64))]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
+    arrays = [pa.array(bucket[cuts[:-1]].astype(np.int64)), pa.array(np.full(len(cuts) - 1, slice_, np.int64))]
     for values in columns.values():
-        width = values.shape[1] if values.ndim == 2 else 1
-        arrays.append(tb.binary_column(values[order].reshape(-1), counts * width))
-    return pa.RecordBatch.from_arrays(arrays, names=["bucket", *columns])
+        values = values[order]
+        arrays.append(pa.array([_shrink(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()))
+    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "slice", *columns])
+
+
+def _shrink(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+
+
+def _grow(raw: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype)
 
 
 def _unpacked(table: pa.Table, name: str, dtype) -> np.ndarray:
-    return np.concatenate([np.frombuffer(v.as_buffer(), dtype) for v in table.column(name)])
+    return np.concatenate([_grow(v, dtype) for v in table.column(name).to_pylist()])
+
+
+def _store(batches):
+    """Map step: slices with the ids, whether they are known, the offsets and the bytes of their texts."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for part, data, offs in tb.slices(batch, "text", SLICE):
+            ids = part.column(part.schema.get_field_index("doc_id"))
+            known = np.asarray(ids.is_valid())
+            ids = ids.fill_null(0).to_numpy()
+            row = [number, _shrink(ids), _shrink(known), _shrink(offs), zstandard.ZstdCompressor(level=3).compress(data.tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["slice", "ids", "known", "offs", "text"])
+            number += 1
+
+
+def _slices(batches):
+    """(slice, ids, known, offs, bytes, the row's further columns) one by one."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
+            yield row["slice"], _grow(row["ids"], np.int64), _grow(row["known"], np.bool_), _grow(row["offs"], np.int64), _grow(row["text"], np.uint8), row
 
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64)
+@dataclass(frozen=True)
+class Short:
+    """Digests cut to what tells anchors apart at this size; a rare clash only keeps an anchor that could go."""
 
+    buckets: int
+    bits: int
 
-def _send_anchors(buckets: int, least: int):
-    """Map step: distinct (anchor, document) entries of a slice; of documents that share one, all but the first are known."""
+    def of(self, digest: np.ndarray) -> np.ndarray:
+        return digest % np.uint64(min(self.buckets << self.bits, (1 << 64) - 1))
+
+    def bytes(self) -> str:
+        return "<u4" if self.bits <= 32 else "<u8"
+
+
+def _slice_anchors(data, offs, known, ids, least):
+    """Anchors of texts with known ids, and which of them at least two documents of the slice have."""
+    place, digest, text = anchors(data, offs, least)
+    keep = known[text]
+    place, digest, text = place[keep], digest[keep], text[keep]
+    unique, number = np.unique(digest, return_inverse=True)
+    low, high = np.full(len(unique), np.iinfo(np.int64).max), np.full(len(unique), np.iinfo(np.int64).min)
+    np.minimum.at(low, number, ids[text])
+    np.maximum.at(high, number, ids[text])
+    return place, digest, text, unique, low != high, number
+
+
+def _send_anchors(short: Short, least: int):
+    """Map step: the distinct anchors of a slice, with a flag for those that it knows to be shared."""
 
     def step(batches):
-        for batch in batches:
-            for part, data, offs in tb.slices(batch, "text", SLICE):
-                _, digest, text = anchors(data, offs, least)
-                if not len(digest):
-                    continue
-                doc = _ids(part)[text]
-                order = np.lexsort((doc, digest))
-                digest, doc = digest[order], doc[order]
-                new = np.concatenate([[True], digest[1:] != digest[:-1]])
-                fresh = new | np.concatenate([[True], doc[1:] != doc[:-1]])
-                digest, doc, new = digest[fresh], doc[fresh], new[fresh]
-                shared = new & np.concatenate([~new[1:], [False]])
-                flag = np.where(new, shared.astype(np.uint8), np.uint8(2))
-                bucket = np.where(flag == 2, tb.mix(doc.astype(np.uint64)) % np.uint64(buckets), digest % np.uint64(buckets))
-                yield _packed(bucket, {"anchors": digest, "docs": doc, "flags": flag})
+        for slice_, ids, known, offs, data, _ in _slices(batches):
+            _, _, _, unique, shared, _ = _slice_anchors(data, offs, known, ids, least)
+            if len(unique):
+                key = short.of(unique)
+                bucket = key % np.uint64(short.buckets)
+                yield _packed(bucket, slice_, {"keys": (key // np.uint64(short.buckets)).astype(short.bytes()), "flags": shared.astype(np.uint8)})
 
     return step
 
 
-def _shared_anchors(batches):
-    """Reduce step: (document, its anchors that other documents have as well)."""
-    for table in grouped(batches, ["bucket"]):
-        digest, doc, flag = _unpacked(table, "anchors", np.uint64), _unpacked(table, "docs", np.int64), _unpacked(table, "flags", np.uint8)
-        own = flag != 2
-        known_digest, known_doc = digest[~own], doc[~own]
-        digest, doc, flag = digest[own], doc[own], flag[own]
-        if len(digest):
-            order = np.lexsort((doc, digest))
-            digest, doc, flag = digest[order], doc[order], flag[order]
-            first = np.flatnonzero(np.concatenate([[True], digest[1:] != digest[:-1]]))
-            last = np.append(first[1:], len(digest)) - 1
-            shared = (doc[first] != doc[last]) | (np.maximum.reduceat(flag, first) > 0)
-            pick = np.repeat(shared, last - first + 1)
-            known_digest, known_doc = np.concatenate([known_digest, digest[pick]]), np.concatenate([known_doc, doc[pick]])
-        if not len(known_doc):
-            continue
-        order = np.argsort(known_doc, kind="stable")
-        known_digest, known_doc = known_digest[order], known_doc[order]
-        first = np.flatnonzero(np.concatenate([[True], known_doc[1:] != known_doc[:-1]]))
-        counts = np.diff(np.append(first, len(known_doc)))
-        yield pa.RecordBatch.from_arrays([pa.array(known_doc[first]), tb.binary_column(known_digest, counts)], names=["doc_id", "anchors"])
+def _shared_anchors(short: Short):
+    """Reduce step: for each slice, its anchors that other slices have as well."""
 
+    def step(batches):
+        for table in grouped(batches, ["bucket"]):
+            keys = [_grow(v, short.bytes()) for v in table.column("keys").to_pylist()]
+            flag = _unpacked(table, "flags", np.uint8)
+            _, number = np.unique(np.concatenate(keys), return_inverse=True)
+            shared = ((np.bincount(number) > 1) | (np.bincount(number, flag) > 0))[number] & (flag == 0)
+            bucket, at = np.uint64(table.column("bucket")[0].as_py()), 0
+            slices_, found = [], []
+            for slice_, key in zip(table.column("slice").to_pylist(), keys):
+                pick = key[shared[at : at + len(key)]].astype(np.uint64) * np.uint64(short.buckets) + bucket
+                at += len(key)
+                if len(pick):
+                    slices_.append(slice_)
+                    found.append(pick.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(slices_, pa.int64()), pa.array(found, pa.binary())], names=["slice", "anchors"])
+
+    return step
 
-def _send_suffixes(buckets: int, least: int):
-    """Map step: the suffixes at shared anchors with the bytes around them."""
+
+def _send_suffixes(short: Short, buckets: int, least: int):
+    """Map step: the suffixes at shared anchors with the bytes around them; of equal ones the first document's."""
     side = least - GRAM
 
     def step(batches):
-        for batch in batches:
-            for part, data, offs in tb.slices(batch, "text", SLICE):
-                place, digest, text = anchors(data, offs, least)
-                lists = part.column(part.schema.get_field_index("anchors")).to_pylist()
-                salt = np.arange(len(lists), dtype=np.uint64) * _C1
-                wanted = [np.frombuffer(b"".join(x), np.uint64) + salt[t] for t, x in enumerate(lists)]
-                pick = np.isin(digest + salt[text], np.concatenate(wanted))
-                place, digest, text = place[pick], digest[pick], text[pick]
-                for a in range(0, len(place), 100_000):
-                    p, d, t = place[a : a + 100_000], digest[a : a + 100_000], text[a : a + 100_000]
-                    left, right = np.minimum(p - offs[t], side), np.minimum(offs[t + 1] - p, least)
-                    at = p[:, None] + np.arange(-side, least)
-                    around = data[np.clip(at, 0, len(data) - 1)]
-                    around[(at < (p - left)[:, None]) | (at >= (p + right)[:, None])] = 0
-                    tag = part.column(part.schema.get_field_index("tag")).to_numpy().astype(np.int64)
-                    yield _packed(d % np.uint64(buckets), {
-                        "anchors": d, "docs": _ids(part)[t], "tags": tag[t], "places": p - offs[t],
-                        "lefts": left.astype(np.uint8), "rights": right.astype(np.uint8), "around": around,
-                    })
+        for slice_, ids, known, offs, data, row in _slices(batches):
+            place, digest, text, unique, shared, number = _slice_anchors(data, offs, known, ids, least)
+            if not len(place):
+                continue
+            told = np.frombuffer(b"".join(row["anchors"] or []), np.uint64)
+            pick = (shared | np.isin(short.of(unique), told))[number]
+            place, digest, text = place[pick], digest[pick], text[pick]
+            left, right = np.minimum(place - offs[text], side), np.minimum(offs[text + 1] - place, least)
+            around = tb.range_digests(data, place - left, place + right) + left.astype(np.uint64)
+            order = np.lexsort((ids[text], around, digest))
+            new = np.concatenate([[True], (around[order[1:]] != around[order[:-1]]) | (digest[order[1:]] != digest[order[:-1]])])[: len(order)]
+            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            later = np.zeros(len(order), np.bool_)
+            later[order] = ids[text[lead]] < ids[text[order]]
+            done = later & (left + right >= least)
+            spans = np.stack([text, place - left - offs[text], place + right - offs[text]], 1)[done].astype(np.int32)
+            send = np.flatnonzero(~later)
+            for a in range(0, len(send), 50_000):
+                s = send[a : a + 50_000]
+                p, t, x, y = place[s], text[s], left[s], right[s]
+                at = p[:, None] + np.arange(-side, least)
+                bytes_ = data[np.clip(at, 0, len(data) - 1)]
+                bytes_[(at < (p - x)[:, None]) | (at >= (p + y)[:, None])] = 0
+                found = _packed(digest[s] % np.uint64(buckets), slice_, {
+                    "anchors": digest[s], "docs": ids[t], "rows": t.astype(np.int32), "places": (p - offs[t]).astype(np.int32),
+                    "lefts": x.astype(np.uint8), "rights": y.astype(np.uint8), "around": bytes_,
+                })
+                yield tb.replace_column(found, ["spans"], [pa.nulls(found.num_rows, pa.binary())])
+            if len(spans):
+                empty = [pa.array([b""], pa.binary())] * 7
+                names = ["bucket", "slice", "anchors", "docs", "rows", "places", "lefts", "rights", "around", "spans"]
+                yield pa.RecordBatch.from_arrays([pa.array([slice_ % buckets]), pa.array([slice_]), *empty, pa.array([_shrink(spans)], pa.binary())], names=names)
 
     return step
 
@@ -268,98 +324,84 @@ def covered(digest: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.nda
 
 
 def _spans(least: int):
-    """Reduce step: covered ranges (document, text, first byte, last byte plus one)."""
+    """Reduce step: for each slice, covered ranges (row, first byte, last byte plus one)."""
 
     def step(batches):
         for table in grouped(batches, ["bucket"]):
-            doc, place = _unpacked(table, "docs", np.int64), _unpacked(table, "places", np.int64)
-            near, far = covered(
-                _unpacked(table, "anchors", np.uint64), doc, _unpacked(table, "lefts", np.uint8), _unpacked(table, "rights", np.uint8),
-                _unpacked(table, "around", np.uint8).reshape(len(doc), -1), least,
-            )
-            hit = far >= 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[hit]) for x in (doc, _unpacked(table, "tags", np.int64), place - far, place - near + least)],
-                names=["doc_id", "tag", "start", "end"],
-            )
+            done = table.filter(table.column("spans").is_valid())
+            table = table.filter(table.column("spans").is_null())
+            slices_, found = done.column("slice").to_pylist(), done.column("spans").to_pylist()
+            if table.num_rows:
+                counts = [len(_grow(v, np.uint8)) for v in table.column("lefts").to_pylist()]
+                place = _unpacked(table, "places", np.int32)
+                near, far = covered(
+                    _unpacked(table, "anchors", np.uint64), _unpacked(table, "docs", np.int64), _unpacked(table, "lefts", np.uint8),
+                    _unpacked(table, "rights", np.uint8), _unpacked(table, "around", np.uint8).reshape(len(place), -1), least,
+                )
+                spans = np.stack([_unpacked(table, "rows", np.int32), place - far, place - near + least], 1).astype(np.int32)
+                at = 0
+                for slice_, n in zip(table.column("slice").to_pylist(), counts):
+                    hit = spans[at : at + n][far[at : at + n] >= 0]
+                    at += n
+                    if len(hit):
+                        slices_.append(slice_)
+                        found.append(_shrink(hit))
+            yield pa.RecordBatch.from_arrays([pa.array(slices_, pa.int64()), pa.array(found, pa.binary())], names=["slice", "spans"])
 
     return step
 
 
+def _cut(batches):
+    """Map step: each text without its covered ranges."""
+    for _, ids, known, offs, data, row in _slices(batches):
+        spans = [_grow(x, np.int32).reshape(-1, 3) for x in row["spans"] or []]
+        spans = np.concatenate(spans).astype(np.int64) if spans else np.empty((0, 3), np.int64)
+        edge = np.zeros(len(data) + 1, np.int32)
+        np.add.at(edge, offs[spans[:, 0]] + spans[:, 1], 1)
+        np.add.at(edge, offs[spans[:, 0]] + spans[:, 2], -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        begin = gone & ~np.concatenate([[False], gone[:-1]])[: len(gone)]
+        heads = offs[:-1][offs[:-1] < len(data)]
+        begin[heads] = gone[heads]
+        removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[offs])
+        runs = np.diff(np.concatenate([[0], np.cumsum(begin)])[offs])
+        size = np.diff(offs)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids, mask=~known), pa.array(size), pa.array(removed.astype(np.int64)), pa.array(runs.astype(np.int64)),
+                tb.binary_column(data[~gone], size - removed),
+            ],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+        )
+
+
 def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
 
-def repeats(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Documents that share an anchor with another (doc_id, tag, text), and the ranges (doc_id, tag, start, end) to remove.
-
-    Ranges may overlap. ``tag`` tells apart texts that have the same id.
-    """
+def remove_repeats(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and the kept bytes, one row per row of ``docs``."""
     if least < 2 * GRAM:
         raise ValueError(f"strings of {2 * GRAM} bytes or more can be searched")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(max(1, -(-size // (ANCHORS_PER_BUCKET * (least - GRAM) // 2))))
-    sent = rows.mapInArrow(_send_anchors(buckets, least), "bucket long, anchors binary, docs binary, flags binary")
-    shared = _dealt(sent, buckets).mapInArrow(_shared_anchors, "doc_id long, anchors binary")
-    shared = shared.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
-    suspects = materialize(rows.join(shared, "doc_id").withColumn("tag", F.xxhash64("text")), "repeat-suspects")
-    count = suspects.agg(F.sum(F.aggregate("anchors", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x)))).first()[0] or 0
-    buckets = int(max(1, -(-count // (8 * SUFFIXES_PER_BUCKET))))
-    sent = suspects.mapInArrow(
-        _send_suffixes(buckets, least),
-        "bucket long, anchors binary, docs binary, tags binary, places binary, lefts binary, rights binary, around binary",
-    )
-    spans = _dealt(sent, buckets).mapInArrow(_spans(least), "doc_id long, tag long, start long, end long")
-    return suspects.drop("anchors"), spans
-
-
-def _cut(batches):
-    for batch in batches:
-        columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        texts = columns["text"].to_pylist()
-        removed, spans, kept = [], [], []
-        for text, ranges in zip(texts, columns["ranges"].to_pylist()):
-            raw, at, gone, runs, parts = text.encode(), 0, 0, 0, []
-            edge = -1
-            for r in sorted((r["start"], r["end"]) for r in ranges):
-                if r[0] > edge:
-                    parts.append(raw[at : r[0]])
-                    runs += 1
-                    gone += r[1] - r[0]
-                elif r[1] > edge:
-                    gone += r[1] - edge
-                edge = max(edge, r[1])
-                at = edge
-            removed.append(gone)
-            spans.append(runs)
-            kept.append(b"".join(parts) + raw[at:])
-        yield pa.RecordBatch.from_arrays(
-            [columns["doc_id"], columns["tag"], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
-            names=["doc_id", "tag", "n_removed", "n_spans", "kept"],
-        )
-
-
-def cut(suspects: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, tag, n_removed, n_spans, kept bytes) of the texts that lose bytes."""
-    ranges = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    return suspects.dropDuplicates(["doc_id", "tag"]).join(ranges, ["doc_id", "tag"]).mapInArrow(
-        _cut, "doc_id long, tag long, n_removed long, n_spans long, kept binary"
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    stored = materialize(rows.mapInArrow(_store, "slice long, ids binary, known binary, offs binary, text binary"), "slices")
+    count = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 2 // (least - GRAM + 1)  # anchors, about
+    buckets = max(1, -(-count // ANCHORS_PER_BUCKET))
+    short = Short(buckets, max(16, min(63, int(count).bit_length() + 12 - int(buckets).bit_length())))
+    sent = stored.mapInArrow(_send_anchors(short, least), "bucket long, slice long, keys binary, flags binary")
+    shared = _dealt(sent, buckets).mapInArrow(_shared_anchors(short), "slice long, anchors binary")
+    shared = shared.groupBy("slice").agg(F.collect_list("anchors").alias("anchors"))
+    buckets = max(1, -(-count // ANCHORS_PER_SUFFIX_BUCKET))
+    sent = stored.join(shared, "slice", "left").mapInArrow(
+        _send_suffixes(short, buckets, least),
+        "bucket long, slice long, anchors binary, docs binary, rows binary, places binary, lefts binary, rights binary, around binary, spans binary",
     )
+    spans = _dealt(sent, buckets).mapInArrow(_spans(least), "slice long, spans binary")
+    spans = spans.groupBy("slice").agg(F.collect_list("spans").alias("spans"))
+    return stored.join(spans, "slice", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Sizes, removed bytes and runs, and a digest of what is kept, one row per row of ``docs``."""
-    suspects, spans = repeats(docs, least, key, text)
-    changed = cut(suspects, spans).select("doc_id", "tag", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(
-        F.col(key).alias("row_id"), F.xxhash64(F.col(text)).alias("row_tag"),
-        F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("whole"),
-    )
-    return base.join(changed, (F.col("row_id") == F.col("doc_id")) & (F.col("row_tag") == F.col("tag")), "left").select(
-        F.col("row_id").alias(key), "n_bytes",
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-        F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
-    )
+    found = remove_repeats(docs, least, key, text)
+    return found.select(F.col("doc_id").alias(key), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
