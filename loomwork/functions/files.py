@@ -32,11 +32,8 @@ CODE_EXTS = (
 DOCUMENT_EXTS = (".pdf", ".docx", ".pptx")
 NOTEBOOK_EXT = ".ipynb"
 
-# Size bounds in bytes, snippet bounds in characters.
-MAX_BLOB_BYTES = 10 * 1024 * 1024
-MAX_INGEST_BYTES = 6 * 1024 * 1024
-NUL_PROBE_BYTES = 8000
-SNIPPET_CHARS, NOTEBOOK_CHARS = 4000, 6000
+# A binary value holds less than 2 GiB; the bytes of larger files stay where they are.
+MAX_VALUE_BYTES = 2**31 - 2**20
 
 
 def extension(path: Column) -> Column:
@@ -55,13 +52,14 @@ def is_ignored(path: Column) -> Column:
     return in_ignored_dir(path) | extension(path).isin(*IGNORE_EXTS)
 
 
-def size_in_bounds(size: Column) -> Column:
-    return (size > 0) & (size <= MAX_INGEST_BYTES)
+def size_in_bounds(size: Column, most: int | None = None) -> Column:
+    """Not empty, and at most ``most`` bytes if a bound is given."""
+    return size > 0 if most is None else (size > 0) & (size <= most)
 
 
 def looks_textual(content: Column) -> Column:
-    """No NUL near the start, and valid UTF-8."""
-    has_nul = F.contains(F.substring(content, 1, NUL_PROBE_BYTES), F.lit(b"\x00"))
+    """No NUL anywhere, and valid UTF-8."""
+    has_nul = F.contains(content, F.lit(b"\x00"))
     return ~has_nul & F.is_valid_utf8(content.cast("string"))
 
 
@@ -99,12 +97,12 @@ def document_stub(path: Column, size: Column) -> Column:
     return F.format_string("[%s document, %d bytes]", _bare(extension(path)), size)
 
 
-def snippet(content: Column) -> Column:
-    """Start of a text file; NULL if the bytes are not UTF-8."""
-    return clip(F.try_validate_utf8(content.cast("string")), SNIPPET_CHARS)
+def snippet(content: Column, chars: int | None = None) -> Column:
+    """A text file, or its first ``chars`` characters; NULL if the bytes are not UTF-8."""
+    return clip(F.try_validate_utf8(content.cast("string")), chars)
 
 
-def notebook_text(content: Column) -> Column:
+def notebook_text(content: Column, chars: int | None = None) -> Column:
     """Cell sources joined by newlines; a source is a string or a list of strings.
 
     NULL if the bytes are not a notebook.
@@ -117,7 +115,7 @@ def notebook_text(content: Column) -> Column:
         return F.coalesce(F.array_join(listed, ""), F.try_variant_get(cell, "$.source", "string"), F.lit(""))
 
     joined = F.array_join(F.transform(F.coalesce(cells, F.array().cast("array<variant>")), source), "\n")
-    return F.when(F.schema_of_variant(doc).startswith("OBJECT"), clip(joined, NOTEBOOK_CHARS))
+    return F.when(F.schema_of_variant(doc).startswith("OBJECT"), clip(joined, chars))
 
 
 def stub_text(path: Column, size: Column) -> Column:
@@ -138,7 +136,7 @@ def classify(path: Column, content: Column) -> Column:
 
 
 def file_text(path: Column, content: Column, size: Column, modality_col: Column) -> Column:
-    """What a file says: its snippet, its notebook cells, or a typed stub."""
+    """What a file says: its text, its notebook cells, or a typed stub."""
     said = F.when(modality_col.isin("text", "code"), snippet(content)).when(
         modality_col == "notebook", notebook_text(content)
     )

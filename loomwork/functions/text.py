@@ -44,18 +44,18 @@ NOISE_PREFIXES = (
     "[Request interrupted",
 )
 
-# Lengths of the truncating projections, in characters.
+# Lengths of titles, in characters. Texts are kept whole; a length is an argument where a
+# page or a prompt has to bound one.
 COMMIT_TITLE, MESSAGE_TITLE, SESSION_TITLE = 200, 120, 200
-MESSAGE_TEXT, PROMPT_TEXT = 4000, 2000
-VECTOR_TITLE, VECTOR_TEXT, SNIPPET = 300, 2000, 400
+VECTOR_TITLE = 300
 
 # The characters that end a line, beyond the line feed itself.
 _LINE_ENDS = "\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029"
 
 
-def clip(col: Column, n: int) -> Column:
-    """First ``n`` code points."""
-    return F.substring(col, 1, n)
+def clip(col: Column, n: int | None) -> Column:
+    """First ``n`` code points; all of them for None."""
+    return col if n is None else F.substring(col, 1, n)
 
 
 def blank_to_null(col: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.functions.files import MAX_BLOB_BYTES
 from loomwork.operators.incremental import not_yet_in, one_per_key
 
 BLOB_PREFIX = "blobs"
@@ -15,11 +14,6 @@ def object_uri(content_hash: Column, bucket: str) -> Column:
     return F.concat(F.lit(f"s3://{bucket}/{BLOB_PREFIX}/"), content_hash)
 
 
-def bounded_uri(content_hash: Column, size: Column, bucket: str) -> Column:
-    """URI of bytes that are small enough to be stored; NULL for larger ones."""
-    return F.when(size <= MAX_BLOB_BYTES, object_uri(content_hash, bucket))
-
-
 def encoded_name(filename: Column) -> Column:
     """Percent-encoded file name; '/', '.', '_' and '-' stay as they are."""
     form = F.url_encode(filename)
@@ -31,24 +25,26 @@ def encoded_name(filename: Column) -> Column:
 def put(files: DataFrame, stored: DataFrame, bucket: str) -> DataFrame:
     """Blob rows to write: contents not stored yet, once each, under the smallest name.
 
-    ``files``: bytes, filename. Each map task passes on one copy of a content, so bytes that
-    exist a million times are exchanged once per task.
+    ``files``: bytes, filename. The winning file of a content is found on hash and name alone; only
+    the bytes of winners are exchanged, and of equal winners one.
     """
-    hashed = files.filter(F.octet_length("bytes") <= MAX_BLOB_BYTES).select(
-        F.sha2("bytes", 256).alias("content_hash"), "filename", "bytes"
-    )
-    rows = not_yet_in(one_per_key(hashed, ["content_hash"], ["filename"]), stored, ["content_hash"])
+    hashed = files.select(F.sha2("bytes", 256).alias("content_hash"), "filename", "bytes")
+    names = hashed.groupBy("content_hash").agg(F.min("filename").alias("filename"))
+    fresh = not_yet_in(names, stored, ["content_hash"])
+    winners = hashed.join(fresh, ["content_hash", "filename"], "left_semi")
+    rows = one_per_key(winners, ["content_hash"], ["filename"])
     return rows.select(
         "content_hash",
         object_uri(F.col("content_hash"), bucket).alias("object_uri"),
         encoded_name(F.col("filename")).alias("filename"),
+        F.octet_length("bytes").cast("long").alias("size"),
         "bytes",
     )
 
 
 def resolve(artifacts: DataFrame, blobs: DataFrame) -> DataFrame:
     """id, content_hash, size of the bytes behind each artifact that has any."""
-    stored = blobs.select("object_uri", F.octet_length("bytes").cast("long").alias("size"))
+    stored = blobs.select("object_uri", "size")
     return artifacts.filter(F.col("object_uri").isNotNull()).select("id", "object_uri").join(
         stored, "object_uri"
     )

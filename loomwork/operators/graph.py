@@ -4,24 +4,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import ids, text
 from loomwork.operators import topics
-from loomwork.schemas import GRAPH_EDGES, GRAPH_NODES, conform
+from loomwork.schemas import GRAPH_EDGES, GRAPH_MEMBERS, GRAPH_NODES, conform
+from loomwork.session import materialize
 
-# List bounds of the graph.
-MAX_TOPIC_FILES = 20
-MAX_NODE_ARTIFACTS = 60
+# Fixed value: nodes of the default view.
 MAX_NODES = 220
-DRILL_DOWN = 20
 
 
 @dataclass(frozen=True)
 class Graph:
+    """Nodes, typed edges, and which artifacts each node stands for (node, artifact)."""
+
     nodes: DataFrame
     edges: DataFrame
+    members: DataFrame
 
 
 def scope_to_repo(artifacts: DataFrame, edges: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
@@ -96,35 +97,25 @@ def ran(artifacts: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _listed(pairs: DataFrame, node: str) -> DataFrame:
-    """node, artifacts (the first ids only), artifact_count (all of them).
-
-    The bound is applied by a ranked window, which limits rows before the shuffle; no task ever
-    sees all artifacts of a busy node at once.
-    """
-    first = Window.partitionBy(node).orderBy("id")
-    listed = (
-        pairs.select(node, "id")
-        .withColumn("_rn", F.row_number().over(first))
-        .filter(F.col("_rn") <= MAX_NODE_ARTIFACTS)
-        .groupBy(node)
-        .agg(F.array_sort(F.collect_list("id")).alias("artifacts"))
-    )
-    sizes = pairs.groupBy(node).agg(F.count("*").alias("artifact_count"))
-    return listed.join(sizes, node)
+def memberships(artifacts: DataFrame, edges: DataFrame, m: topics.TopicMembers) -> DataFrame:
+    """node, artifact: what people authored, files and sessions themselves, what mentions a topic."""
+    authored = authored_targets(artifacts, edges).select(F.col("person").alias("node"), F.col("id").alias("artifact")).distinct()
+    things = artifacts.filter(F.col("kind").isin("file", "ai_session")).select(F.col("id").alias("node"), F.col("id").alias("artifact"))
+    about = topics.explode_mask(m.artifacts, m.terms).join(topics.connected_terms(m), "term", "left_semi")
+    themes = about.select(F.concat(F.lit("topic:"), "term").alias("node"), F.col("id").alias("artifact"))
+    return conform(authored.unionByName(things).unionByName(themes), GRAPH_MEMBERS)
 
 
 def nodes(artifacts: DataFrame, edges: DataFrame, m: topics.TopicMembers) -> DataFrame:
     authored = authored_targets(artifacts, edges).groupBy("person", "id").agg(F.lit(1))
     people = (
-        _listed(authored, "person")
+        authored.groupBy("person").agg(F.count("*").alias("artifact_count"))
         .join(person_names(artifacts), "person", "left")
         .select(
             F.col("person").alias("id"),
             F.coalesce("name", "person").alias("label"),
             F.lit("person").alias("kind"),
             F.lit("").alias("modality"),
-            "artifacts",
             "artifact_count",
         )
     )
@@ -136,37 +127,26 @@ def nodes(artifacts: DataFrame, edges: DataFrame, m: topics.TopicMembers) -> Dat
         F.coalesce(text.blank_to_null(F.col("title")), "id").alias("label"),
         "kind",
         modality.alias("modality"),
-        F.array("id").alias("artifacts"),
         F.lit(1).cast("long").alias("artifact_count"),
     )
-    about = topics.explode_mask(m.artifacts, m.terms).select("term", "id")
     themes = (
-        _listed(about, "term")
+        topics.explode_mask(m.artifacts, m.terms).groupBy("term").agg(F.count("*").alias("artifact_count"))
         .join(topics.connected_terms(m), "term", "left_semi")
         .select(
             F.concat(F.lit("topic:"), "term").alias("id"),
             F.col("term").alias("label"),
             F.lit("topic").alias("kind"),
             F.lit("").alias("modality"),
-            "artifacts",
             "artifact_count",
         )
     )
     return conform(people.unionByName(things).unionByName(themes), GRAPH_NODES)
 
 
-def about(m: topics.TopicMembers, file_cap: int | None = MAX_TOPIC_FILES) -> DataFrame:
-    """topic -> person, session, and the first ``file_cap`` files by id (None: all files)."""
-    whole = topics.explode_mask(m.people.unionByName(m.sessions), m.terms)
-    files = topics.explode_mask(m.files, m.terms)
-    if file_cap is not None:
-        by_id = Window.partitionBy("term").orderBy("node")
-        files = (
-            files.withColumn("_rn", F.row_number().over(by_id))
-            .filter(F.col("_rn") <= file_cap)
-            .drop("_rn")
-        )
-    return whole.unionByName(files).select(
+def about(m: topics.TopicMembers) -> DataFrame:
+    """topic -> person, session, file."""
+    whole = topics.explode_mask(m.people.unionByName(m.sessions).unionByName(m.files), m.terms)
+    return whole.select(
         F.concat(F.lit("topic:"), "term").alias("source"),
         F.col("node").alias("target"),
         F.lit(1.0).alias("weight"),
@@ -211,17 +191,26 @@ def _known_ends(edges: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def full_edges(artifacts: DataFrame, edges: DataFrame, m: topics.TopicMembers) -> DataFrame:
-    """Typed edges between known nodes, no loops; silver edges are unique by key already."""
+def full_edges(
+    artifacts: DataFrame, edges: DataFrame, m: topics.TopicMembers, known: DataFrame | None = None
+) -> DataFrame:
+    """Typed edges between known nodes, no loops; silver edges are unique by key already.
+
+    ``known``: the node ids where they are stored; both ends of every branch are looked up in them.
+    """
     real = candidate_edges(artifacts, edges, m).filter("source <> target")
     eid = F.concat("relation", F.lit(":"), "source", F.lit("->"), "target")
-    kept = _known_ends(real, node_ids(artifacts, edges, m))
+    kept = _known_ends(real, node_ids(artifacts, edges, m) if known is None else known)
     return conform(kept.withColumn("id", eid), GRAPH_EDGES)
 
 
-def build(artifacts: DataFrame, edges: DataFrame, m: topics.TopicMembers | None = None) -> Graph:
-    m = topics.members(artifacts, edges) if m is None else m
-    return Graph(nodes(artifacts, edges, m), full_edges(artifacts, edges, m))
+def build(
+    artifacts: DataFrame, edges: DataFrame, m: topics.TopicMembers | None = None, known: DataFrame | None = None
+) -> Graph:
+    """The graph. Topic members and node ids are written once, as every part reads them."""
+    m = topics.stored(topics.members(artifacts, edges)) if m is None else m
+    known = materialize(node_ids(artifacts, edges, m), "node-ids") if known is None else known
+    return Graph(nodes(artifacts, edges, m), full_edges(artifacts, edges, m, known), memberships(artifacts, edges, m))
 
 
 # --- views of a built graph ---
@@ -229,7 +218,8 @@ def build(artifacts: DataFrame, edges: DataFrame, m: topics.TopicMembers | None
 
 def induced(graph: Graph, kept: DataFrame) -> Graph:
     """The given nodes and the edges with both ends among them."""
-    return Graph(kept, _known_ends(graph.edges, kept))
+    members = graph.members.join(kept.select(F.col("id").alias("node")), "node", "left_semi")
+    return Graph(kept, _known_ends(graph.edges, kept), members)
 
 
 def focus(graph: Graph, node: str) -> Graph:
@@ -290,9 +280,9 @@ def view(
     return induced(graph, shown)
 
 
-def node_artifacts(graph: Graph, artifacts: DataFrame, node: str, n: int = DRILL_DOWN) -> DataFrame:
-    """The first artifacts of a node, resolved to rows (at most ``n``)."""
-    listed = graph.nodes.filter(F.col("id") == node).select(
-        F.explode(F.slice("artifacts", 1, n)).alias("id")
-    )
-    return artifacts.join(F.broadcast(listed), "id", "left_semi")
+def node_artifacts(graph: Graph, artifacts: DataFrame, node: str, n: int | None = None) -> DataFrame:
+    """The artifacts of a node, or the first ``n`` by id, resolved to rows."""
+    listed = graph.members.filter(F.col("node") == node).select(F.col("artifact").alias("id"))
+    if n is not None:
+        listed = listed.orderBy("id").limit(n)
+    return artifacts.join(listed, "id", "left_semi")

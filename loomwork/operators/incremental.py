@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EDGE_KEY = ["src_id", "dst_id", "relation"]
-# Relations whose weight is a count that later loads may raise; all others are written once.
-COUNTED = ("co_edited", "ai_touched_file")
 
 
 def one_per_key(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFrame:
@@ -54,26 +52,17 @@ def latest_artifacts(rows: DataFrame, *newest_first) -> DataFrame:
     return one_per_key(rows, ["id"], [*newest_first, F.desc("created_at"), F.col("content_hash")])
 
 
-def latest_edges(rows: DataFrame, version: str) -> DataFrame:
-    """One edge per (source, target, relation): weight and time of the highest version.
-
-    Both aggregates run on fixed-width buffers, so they are hash-combined before the shuffle.
-    """
+def latest_edges(rows: DataFrame, version: str | Column) -> DataFrame:
+    """One edge per (source, target, relation): weight and time of the highest version."""
     return rows.groupBy(*EDGE_KEY).agg(
         F.max_by("weight", version).alias("weight"),
         F.max_by("created_at", version).alias("created_at"),
     )
 
 
-def current_edges(rows: DataFrame, version: str) -> DataFrame:
-    """One edge per key from an append log: only counted relations can have several versions,
-    so only those are grouped; the others pass as they are."""
-    counted = F.col("relation").isin(*COUNTED)
-    columns = [*EDGE_KEY, "weight", "created_at"]
-    return (
-        rows.filter(~counted).select(*columns)
-        .unionByName(latest_edges(rows.filter(counted), version).select(*columns))
-    )
+def current_edges(rows: DataFrame, version: str | Column) -> DataFrame:
+    """One edge per key from an append log, whatever the relation: any of them may be sent again."""
+    return latest_edges(rows, version).select(*EDGE_KEY, "weight", "created_at")
 
 
 def upsert_edges(existing: DataFrame, batch: DataFrame) -> DataFrame:
@@ -87,4 +76,8 @@ def changed_edges(existing: DataFrame, batch: DataFrame) -> DataFrame:
     rows = batch.groupBy(*EDGE_KEY).agg(
         F.max("weight").alias("weight"), F.max("created_at").alias("created_at")
     )
-    return not_yet_in(rows, existing, [*EDGE_KEY, "weight"]).select(*EDGE_KEY, "weight", "created_at")
+    # Weights are compared as text, in which an absent one is a value like any other.
+    weighed = F.coalesce(F.col("weight").cast("string"), F.lit("")).alias("_weight")
+    known = existing.select(*EDGE_KEY, weighed)
+    fresh = not_yet_in(rows.select("*", weighed), known, [*EDGE_KEY, "_weight"])
+    return fresh.select(*EDGE_KEY, "weight", "created_at")

@@ -12,7 +12,6 @@ from loomwork.operators import graph, topics
 from loomwork.schemas import GOLD, conform
 from loomwork.session import materialize
 
-TOPICS_LISTED = 8
 # Tasks that share the work of one topic when topic sets are paired.
 PAIR_SALT = 32
 
@@ -111,13 +110,8 @@ def topic_summary(
     artifacts: DataFrame,
     edges: DataFrame,
     m: topics.TopicMembers,
-    file_cap: int | None = graph.MAX_TOPIC_FILES,
 ) -> DataFrame:
-    """Per topic: artifacts that mention it, and the people, files and sessions it is about.
-
-    Files are counted after the bound on listed files, as the graph shows them; pass
-    ``file_cap=None`` for all of them.
-    """
+    """Per topic: artifacts that mention it, and the people, files and sessions it is about."""
     things = artifacts.filter(F.col("kind").isin("file", "ai_session")).select(
         F.col("id").alias("target"), "kind"
     )
@@ -125,7 +119,7 @@ def topic_summary(
         F.lit("person").alias("kind")
     )
     linked = (
-        graph.about(m, file_cap)
+        graph.about(m)
         .join(things.unionByName(people), "target")
         .groupBy(F.expr("substring(source, 7)").alias("topic"))
         .agg(
@@ -179,10 +173,9 @@ def _set_pairs(sets: DataFrame, min_shared: int = 1) -> DataFrame:
 
 
 def _topic_list(df: DataFrame, terms: list[str]) -> DataFrame:
-    """Adds shared_topics and topics (the first names) of the mask ``shared``."""
-    listed = F.slice(topics.names(F.col("shared"), terms), 1, TOPICS_LISTED)
+    """Adds shared_topics and topics (their names) of the mask ``shared``."""
     return df.withColumn("shared_topics", F.bit_count("shared").cast("long")).withColumn(
-        "topics", F.array_join(listed, ", ")
+        "topics", F.array_join(topics.names(F.col("shared"), terms), ", ")
     )
 
 

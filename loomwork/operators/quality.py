@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import ids
+from loomwork.operators.incremental import EDGE_KEY
 from loomwork.schemas import ARTIFACT_KINDS, ARTIFACT_SOURCES, EDGE_RELATIONS
 
 
@@ -68,18 +69,14 @@ def well_formed(artifacts: DataFrame) -> DataFrame:
 def dangling_edges(artifacts: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with an end that is neither an artifact nor a person or topic; each once.
 
-    Ends are made distinct before they meet the artifacts, so a busy node is looked up once and
-    not once per edge; the unknown ids that remain are usually none.
+    One pass: both ends of an edge are looked up with its key, and the keys that are left, usually
+    none, are made distinct. A busy node is a key the join may split.
     """
-    ends = edges.select(F.explode(F.array("src_id", "dst_id")).alias("id")).filter(
+    columns = [F.col(c) for c in edges.columns]
+    ends = edges.select(*columns, F.explode(F.array_distinct(F.array("src_id", "dst_id"))).alias("id")).filter(
         ~(ids.is_person(F.col("id")) | ids.is_topic(F.col("id")))
     )
-    unknown = ends.distinct().join(artifacts.select("id"), "id", "left_anti")
-    by_src, by_dst = (unknown.withColumnRenamed("id", end) for end in ("src_id", "dst_id"))
-    return (
-        edges.join(by_src, "src_id", "left_semi")
-        .unionByName(edges.join(by_src, "src_id", "left_anti").join(by_dst, "dst_id", "left_semi"))
-    )
+    return ends.join(artifacts.select("id"), "id", "left_anti").drop("id").dropDuplicates(EDGE_KEY)
 
 
 def referential_integrity(artifacts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def daily(activity: DataFrame) -> DataFrame:
 
 
 def cross_silo(pairs: DataFrame, n: int = TOP_ROWS) -> DataFrame:
-    """Top pairs of a stored pair mart, or of ``marts.top_cross_silo`` where none is stored."""
+    """The first pairs of people as the panel shows them."""
     return (
         pairs.orderBy(F.desc("shared_topics"), "person_a", "person_b").limit(n)
         .select("person_a_name", "person_b_name", "shared_topics", "topics")
@@ -113,17 +113,18 @@ def platform_counts(**tables: DataFrame) -> DataFrame:
 
 
 def summary(
-    artifacts: DataFrame, edges: DataFrame, gold: dict[str, DataFrame]
+    artifacts: DataFrame, edges: DataFrame, gold: dict[str, DataFrame], pairs: DataFrame
 ) -> dict[str, DataFrame]:
     """All dashboard panels. ``gold`` holds the marts; an absent one is an empty frame of its
-    schema (see ``sources.lake.Lake.gold``), so its panel is empty and the others still answer."""
+    schema (see ``sources.lake.Lake.gold``), so its panel is empty and the others still answer.
+    ``pairs``: the first pairs of people, see ``plans.pipeline.cross_silo``."""
     return {
         "totals": totals(artifacts),
         "edges_total": edges_total(edges),
         "top_authors": top_authors(gold["gold_author_activity"]),
         "top_topics": top_topics(gold["gold_topic_summary"]),
         "daily": daily(gold["gold_daily_activity"]),
-        "cross_silo": cross_silo(gold["gold_cross_silo"]),
+        "cross_silo": cross_silo(pairs),
         "hotspots": hotspots(gold["gold_file_hotspots"]),
         "modality_mix": modality_mix(gold["gold_file_hotspots"]),
     }

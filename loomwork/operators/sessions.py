@@ -70,7 +70,7 @@ def kept_turns(records: DataFrame) -> DataFrame:
     return ordered.row_number(kept, ["file"], "block", ["seq"], "n")
 
 
-def messages(turns: DataFrame, heads: DataFrame, local_actor: Column) -> DataFrame:
+def messages(turns: DataFrame, heads: DataFrame, local_actor: Column, chars: int | None = None) -> DataFrame:
     """Message artifacts plus their session: the artifact columns and ``session``, ``n``, ``file``."""
     wanted = ("file", "session", "session_id", "created_at", "actor")
     rows = turns.drop("session_id", "cwd", "branch", "ai_title").join(
@@ -89,7 +89,7 @@ def messages(turns: DataFrame, heads: DataFrame, local_actor: Column) -> DataFra
         F.when(role == "assistant", "assistant").otherwise(local_actor).alias("actor"),
         F.coalesce("ts", "created_at").alias("created_at"),
         text.clip(F.col("text"), text.MESSAGE_TITLE).alias("title"),
-        text.clip(F.col("text"), text.MESSAGE_TEXT).alias("text"),
+        text.clip(F.col("text"), chars).alias("text"),
         extra.alias("extra"),
         "session",
         "file",
@@ -98,7 +98,7 @@ def messages(turns: DataFrame, heads: DataFrame, local_actor: Column) -> DataFra
     )
 
 
-def first_prompts(turns: DataFrame) -> DataFrame:
+def first_prompts(turns: DataFrame, chars: int | None = None) -> DataFrame:
     """The first kept user text of each transcript: file, first_prompt.
 
     The position is found on two narrow columns; only that one text per file is then fetched.
@@ -106,7 +106,7 @@ def first_prompts(turns: DataFrame) -> DataFrame:
     user = turns.filter(F.col("rtype") == "user")
     where = user.groupBy("file").agg(F.min("n").alias("n"))
     return user.join(where, ["file", "n"], "left_semi").select(
-        "file", text.clip(F.col("text"), text.PROMPT_TEXT).alias("first_prompt")
+        "file", text.clip(F.col("text"), chars).alias("first_prompt")
     )
 
 
@@ -146,7 +146,7 @@ def session_artifacts(turns: DataFrame, heads: DataFrame, local_actor: Column) -
             local_actor.alias("actor"),
             "created_at",
             text.clip(title, text.SESSION_TITLE).alias("title"),
-            text.clip(text.compose(title, prompt), text.MESSAGE_TEXT).alias("text"),
+            text.compose(title, prompt).alias("text"),
             uri.alias("object_uri"),
             extra.alias("extra"),
         ),

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from loomwork.functions import ids, text
 from loomwork.schemas import ARTIFACTS, EDGES, conform
 
-# Fan-out and list bounds of the edge rules.
+# Fixed value: commits that change more files make no co_edited edges.
 MAX_COEDIT_FILES = 25
-MAX_FILE_TITLES = 10
 
 
 def _edges(df: DataFrame, src: Column, dst: Column, relation: str, weight: Column | None = None) -> DataFrame:
@@ -117,6 +116,11 @@ def co_edited(present: DataFrame, max_files: int = MAX_COEDIT_FILES) -> DataFram
     return _edges(counted, F.col("a"), F.col("b"), "co_edited", F.col("n"))
 
 
+def sprawling(present: DataFrame, max_files: int = MAX_COEDIT_FILES) -> DataFrame:
+    """commit_id, n_files of the commits the fan-out bound leaves out."""
+    return _files_per_commit(present).filter(F.col("n_files") > max_files)
+
+
 def co_edit_skipped(present: DataFrame, max_files: int = MAX_COEDIT_FILES) -> DataFrame:
     """How many commits the fan-out bound leaves out."""
     return _files_per_commit(present).agg(F.count_if(F.col("n_files") > max_files).alias("skipped"))
@@ -130,8 +134,8 @@ def last_touch(touches: DataFrame, tree: DataFrame) -> DataFrame:
     ).drop("touched_at")
 
 
-def recent_titles(present: DataFrame, commits: DataFrame, n: int = MAX_FILE_TITLES) -> DataFrame:
-    """Up to ``n`` distinct commit titles per file, newest first: file_id, titles."""
+def recent_titles(present: DataFrame, commits: DataFrame, n: int | None = None) -> DataFrame:
+    """The distinct commit titles of each file, newest first, or the first ``n``: file_id, titles."""
     titled = commits.select(
         ids.commit_id(F.col("repo"), F.col("sha")).alias("commit_id"),
         text.commit_title(text.strip(F.coalesce("message", F.lit(""))), F.col("sha")).alias("title"),
@@ -141,10 +145,12 @@ def recent_titles(present: DataFrame, commits: DataFrame, n: int = MAX_FILE_TITL
         .groupBy("file_id", "title")
         .agg(F.max("created_at").alias("at"))
     )
-    newest = Window.partitionBy("file_id").orderBy(F.desc("at"), "title")
-    kept = distinct.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= n)
-    return kept.groupBy("file_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rn", "title"))), lambda t: t["title"]).alias("titles")
+    if n is not None:
+        newest = Window.partitionBy("file_id").orderBy(F.desc("at"), "title")
+        distinct = distinct.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= n)
+    age = -F.unix_micros(F.col("at").cast("timestamp"))
+    return distinct.groupBy("file_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(age.alias("age"), "title"))), lambda t: t["title"]).alias("titles")
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import ids, text
+from loomwork.session import materialize
 
 # How many topics there are, and in how many artifacts a term must occur.
 MAX_TOPICS = 24
@@ -145,6 +146,13 @@ def members(
     return TopicMembers(terms, masks, people, sessions, files)
 
 
+def stored(m: TopicMembers) -> TopicMembers:
+    """The same members from written tables, for callers that read them more than once."""
+    return TopicMembers(
+        m.terms, *[materialize(df, "members") for df in (m.artifacts, m.people, m.sessions, m.files)]
+    )
+
+
 def explode_mask(df: DataFrame, terms: Sequence[str]) -> DataFrame:
     """One row per (node, topic): adds ``term``."""
     return df.withColumn("term", F.explode(names(F.col("mask"), terms)))

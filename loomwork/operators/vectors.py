@@ -79,7 +79,7 @@ def embed_new(
         "id", "kind", "source",
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("repo", "actor", "object_uri")],
         text.clip(F.coalesce("title", F.lit("")), text.VECTOR_TITLE).alias("title"),
-        text.clip(F.coalesce("text", F.lit("")), text.VECTOR_TEXT).alias("text"),
+        F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(text.iso_utc(F.col("created_at")), F.lit("")).alias("created_at"),
         "said",
     )
@@ -103,7 +103,7 @@ def _candidates(vectors: DataFrame, kind: str | None, repo: str | None) -> DataF
     if repo:
         rows = rows.filter(F.col("repo") == repo)
     shown = {
-        "snippet": text.clip(F.coalesce("text", F.lit("")), text.SNIPPET),
+        "snippet": F.coalesce("text", F.lit("")),
         **{c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in HIT_COLUMNS if c != "snippet"},
     }
     return rows.select("id", "vector", *[shown[c].alias(c) for c in HIT_COLUMNS])
@@ -241,13 +241,13 @@ def search_many(
 NO_HITS = "No matching artifacts were found, so there is nothing to ground an answer in."
 
 
-def context(hits: DataFrame, queries: DataFrame, k: int = CONTEXT_K) -> DataFrame:
-    """Numbered context text per question: query_id, n_hits, context, note."""
+def context(hits: DataFrame, queries: DataFrame, k: int = CONTEXT_K, chars: int | None = None) -> DataFrame:
+    """Numbered context text per question: query_id, n_hits, context, note. ``chars`` bounds each text."""
     uri = F.when(F.col("object_uri") != "", F.concat(F.lit(" object_uri="), "object_uri")).otherwise("")
     block = F.concat(
         F.lit("["), F.col("rank").cast("string"), F.lit("] id="), F.col("id").cast("string"),
         F.lit(" kind="), "kind", F.lit(" source="), "source", uri,
-        F.lit("\n    title: "), "title", F.lit("\n    text: "), "snippet",
+        F.lit("\n    title: "), "title", F.lit("\n    text: "), text.clip(F.col("snippet"), chars),
     )
     blocks = (
         hits.filter(F.col("rank") <= k)

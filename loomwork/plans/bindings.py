@@ -8,6 +8,7 @@ by the library's operators from these frames.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import files, text
 from loomwork.operators import blobs, graph, marts, sessions, silver, topics
 from loomwork.session import scratch_path
+from loomwork.sources.lake import Lake
 
 BUCKET = "work"
 ROOT = "/work/"
@@ -152,7 +154,7 @@ class Tables:
             F.col("last_touch").alias("created_at"),
             "said",
             "content_hash",
-            blobs.bounded_uri(F.col("content_hash"), F.col("size"), BUCKET).alias("object_uri"),
+            blobs.object_uri(F.col("content_hash"), BUCKET).alias("object_uri"),
             files.file_extra(F.col("path"), F.col("size"), F.col("modality")).alias("extra"),
         )
         return silver.file_artifacts(rows, silver.recent_titles(self.present, self.commits))
@@ -255,12 +257,18 @@ class Tables:
 
     @cached_property
     def members(self) -> topics.TopicMembers:
-        return topics.members(self.artifacts, self.edges, self.tokens)
+        """Topic members, stored: every mart and graph query reads them."""
+        terms = topics.chosen(self.stored("topic_terms", lambda: topics.topic_terms(self.tokens)))
+        m = topics.members(self.artifacts, self.edges, self.tokens, terms)
+        return topics.TopicMembers(
+            terms,
+            *[self.stored(f"topic_{n}", lambda n=n: getattr(m, n)) for n in ("artifacts", "people", "sessions", "files")],
+        )
 
     @cached_property
     def topic_people(self) -> DataFrame:
         """Topic masks of people, stored; pair answers are computed from them."""
-        return self.stored("topic_people", lambda: marts.topic_people(self.artifacts, self.edges, self.members))
+        return self.stored("topic_authors", lambda: marts.topic_people(self.artifacts, self.edges, self.members))
 
     @cached_property
     def names(self) -> DataFrame:
@@ -268,7 +276,8 @@ class Tables:
 
     @cached_property
     def fresh_graph(self) -> graph.Graph:
-        return graph.build(self.artifacts, self.edges, self.members)
+        known = self.stored("node_ids", lambda: graph.node_ids(self.artifacts, self.edges, self.members))
+        return graph.build(self.artifacts, self.edges, self.members, known)
 
     @cached_property
     def graph(self) -> graph.Graph:
@@ -276,6 +285,7 @@ class Tables:
         return graph.Graph(
             self.stored("graph_nodes", lambda: self.fresh_graph.nodes),
             self.stored("graph_edges", lambda: self.fresh_graph.edges),
+            self.stored("graph_members", lambda: self.fresh_graph.members),
         )
 
     def fresh_gold(self, name: str) -> DataFrame:
@@ -289,10 +299,14 @@ class Tables:
     def blobs(self) -> DataFrame:
         """Stored bytes of the file contents: one row per distinct content."""
         content = self.read("part").select(
-            F.col("p_name").cast("binary").alias("bytes"), part_path().alias("filename")
+            "p_partkey", F.col("p_name").cast("binary").alias("bytes"), part_path().alias("filename")
         )
-        stored = self.spark.createDataFrame([], "content_hash string")
-        return blobs.put(content, stored, BUCKET)
+        # Put in two batches, the second against what the first stored.
+        even = F.col("p_partkey") % 2 == 0
+        none = self.spark.createDataFrame([], "content_hash string")
+        first = self.stored("blobs_first", lambda: blobs.put(content.filter(even).drop("p_partkey"), none, BUCKET))
+        second = blobs.put(content.drop("p_partkey"), first, BUCKET)
+        return self.stored("blobs", lambda: first.unionByName(second))
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -307,10 +321,24 @@ class Tables:
             F.coalesce("lang", F.lit("")).alias("repo"),
             F.lit("").alias("actor"),
             text.clip(text.first_line(F.coalesce("text", F.lit(""))), text.VECTOR_TITLE).alias("title"),
-            text.clip(F.coalesce("text", F.lit("")), text.VECTOR_TEXT).alias("text"),
+            F.coalesce("text", F.lit("")).alias("text"),
             F.lit("").alias("object_uri"),
         )
 
+    @cached_property
+    def history(self) -> Lake:
+        """A lake to which the commits were appended year by year, as of the end of each year."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "history")
+        if key not in _WRITTEN:
+            lake = Lake(self.spark, scratch_path(self.spark, "history"))
+            rows = self.stored("commit_rows", lambda: self.commit_rows)
+            years = sorted(r[0] for r in rows.select(F.year("created_at")).distinct().collect())
+            for year in years:
+                part = rows.filter(F.year("created_at") <= year)  # sent again with every year after it
+                lake.append_artifacts(part, str(year), at=datetime(year, 12, 31, tzinfo=timezone.utc))
+            _WRITTEN[key] = lake.root
+        return Lake(self.spark, _WRITTEN[key])
+
     @cached_property
     def questions(self) -> DataFrame:
         """One query per label: the vector of the label's first row."""

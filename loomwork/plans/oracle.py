@@ -48,7 +48,7 @@ head_line AS (
   SELECT l_orderkey, l_partkey FROM lineitem
   QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1),
 n_files AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS files_changed FROM lineitem GROUP BY l_orderkey),
-commits AS (
+commits AS MATERIALIZED (
   SELECT o.o_orderkey, d.repo, d.actor, CAST(o.o_orderkey AS VARCHAR) AS sha, o.o_orderdate AS created_at,
          o.o_orderpriority AS title,
          o.o_orderpriority || coalesce(chr(10) || p.p_name, '') AS message,
@@ -58,19 +58,18 @@ commits AS (
   LEFT JOIN head_line h ON h.l_orderkey = o.o_orderkey
   LEFT JOIN fpart p ON p.p_partkey = h.l_partkey
   LEFT JOIN n_files n ON n.l_orderkey = o.o_orderkey),
-touch AS (
+touch AS MATERIALIZED (
   SELECT DISTINCT c.repo, c.sha, c.id AS commit_id, c.created_at, f.path, f.p_partkey,
          {_h('file', 'git', "c.repo || ':' || f.path")} AS file_id
   FROM lineitem l JOIN commits c ON l.l_orderkey = c.o_orderkey JOIN fpart f ON l.l_partkey = f.p_partkey),
-files AS (
+files AS MATERIALIZED (
   SELECT t.file_id AS id, t.repo, t.path, max(t.created_at) AS created_at, any_value(f.p_size) AS size,
          any_value(f.modality) AS modality, any_value(sha256(f.p_name)) AS content_hash,
          any_value(f.p_type || ' ' || f.p_brand) AS said
   FROM touch t JOIN fpart f USING (p_partkey) GROUP BY t.file_id, t.repo, t.path),
 file_titles AS (
   SELECT file_id, list(title ORDER BY touched_at DESC, title) AS titles FROM (
-    SELECT t.file_id, c.title, max(t.created_at) AS touched_at FROM touch t JOIN commits c ON c.id = t.commit_id GROUP BY 1, 2
-    QUALIFY row_number() OVER (PARTITION BY t.file_id ORDER BY max(t.created_at) DESC, c.title) <= 10)
+    SELECT t.file_id, c.title, max(t.created_at) AS touched_at FROM touch t JOIN commits c ON c.id = t.commit_id GROUP BY 1, 2)
   GROUP BY file_id),
 file_text AS (
   SELECT f.id, f.path || chr(10) || chr(10) || (CASE modality
@@ -103,14 +102,14 @@ messages AS (
          CASE WHEN role = 'assistant' THEN 'assistant' ELSE actor END AS said_by
   FROM (SELECT *, CASE WHEN role = 'user' THEN 'u' || turn ELSE sid || ':' || n END AS uuid FROM kept)),
 prompt AS (
-  SELECT conv_id, substr(text, 1, 2000) AS first_prompt FROM kept WHERE role = 'user'
+  SELECT conv_id, text AS first_prompt FROM kept WHERE role = 'user'
   QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n) = 1),
 sessions AS (
   SELECT s.*, p.first_prompt, coalesce(m.n_messages, 0) AS n_messages,
          coalesce(substr(p.first_prompt, 1, 120), 'session ' || substr(s.sid, 1, 8)) AS title
   FROM span s LEFT JOIN prompt p USING (conv_id)
   LEFT JOIN (SELECT conv_id, count(*) AS n_messages FROM kept GROUP BY conv_id) m USING (conv_id)),
-artifacts AS (
+artifacts AS MATERIALIZED (
   SELECT id, 'commit' AS kind, 'git' AS source, repo, actor, created_at, title, message AS text,
          CAST(NULL AS VARCHAR) AS object_uri, CAST(NULL AS VARCHAR) AS modality FROM commits
   UNION ALL
@@ -118,9 +117,9 @@ artifacts AS (
   FROM files JOIN file_text w USING (id)
   UNION ALL
   SELECT session, 'ai_session', 'claude_code', repo, actor, created_at, substr(title, 1, 200),
-         substr(title || coalesce(chr(10) || chr(10) || first_prompt, ''), 1, 4000), NULL, NULL FROM sessions
+         title || coalesce(chr(10) || chr(10) || first_prompt, ''), NULL, NULL FROM sessions
   UNION ALL
-  SELECT id, 'ai_message', 'claude_code', NULL, said_by, ts, substr(text, 1, 120), substr(text, 1, 4000), NULL, NULL
+  SELECT id, 'ai_message', 'claude_code', NULL, said_by, ts, substr(text, 1, 120), text, NULL, NULL
   FROM messages),
 authored AS (
   SELECT {_person('actor')} AS src_id, id AS dst_id, created_at FROM commits WHERE actor IS NOT NULL
@@ -139,7 +138,7 @@ ai_touched AS (
   JOIN fpart p ON p.p_partkey = (t.conv_id * 31 + t.turn) % (SELECT count(*) FROM part)
   JOIN files f ON f.repo = t.repo AND f.path = p.path
   WHERE t.role = 'assistant' GROUP BY t.session, f.id),
-edges AS (
+edges AS MATERIALIZED (
   SELECT src_id, dst_id, 'authored' AS relation, CAST(1 AS DOUBLE) AS weight, created_at FROM authored
   UNION ALL SELECT commit_id, file_id, 'modified', 1, created_at FROM touch
   UNION ALL SELECT src_id, dst_id, 'co_edited', weight, created_at FROM co_edited
@@ -150,12 +149,12 @@ edges AS (
 def topics_sql(art: str = "artifacts", edg: str = "edges") -> str:
     """CTEs of the topic rules over the named artifact and edge tables."""
     return f""",
-tok AS (
+tok AS MATERIALIZED (
   SELECT id, kind, actor, unnest({_tokens("coalesce(title, '') || ' ' || coalesce(text, '')")}) AS term
   FROM {art} WHERE kind IN ('commit', 'ai_message', 'ai_session')),
 terms AS (
   SELECT term, count(*) AS df FROM tok GROUP BY term HAVING count(*) >= 2 ORDER BY df DESC, term LIMIT 24),
-hit AS (SELECT tok.* FROM tok JOIN terms USING (term)),
+hit AS MATERIALIZED (SELECT tok.* FROM tok JOIN terms USING (term)),
 msg_session AS (
   SELECT h.term, e.dst_id AS sid FROM hit h JOIN {edg} e ON e.src_id = h.id AND e.relation = 'message_of_session'
   WHERE h.kind = 'ai_message'),
@@ -169,38 +168,35 @@ topic_people AS (
 topic_files AS (
   SELECT DISTINCT h.term, e.dst_id AS fid FROM hit h JOIN {edg} e ON e.src_id = h.id AND e.relation = 'modified'
   WHERE h.kind = 'commit'),
-members AS (
+members AS MATERIALIZED (
   SELECT term, 'person' AS member_kind, pid AS member FROM topic_people
   UNION ALL SELECT term, 'ai_session', sid FROM topic_sessions
   UNION ALL SELECT term, 'file', fid FROM topic_files),
 about AS (
   SELECT 'topic:' || term AS source, member AS target, CAST(1 AS DOUBLE) AS weight FROM members WHERE member_kind <> 'file'
-  UNION ALL
-  SELECT 'topic:' || term, fid, 1 FROM
-    (SELECT *, row_number() OVER (PARTITION BY term ORDER BY fid) AS rn FROM topic_files) WHERE rn <= 20),
+  UNION ALL SELECT 'topic:' || term, fid, 1 FROM topic_files),
 names AS (
   SELECT pid, name FROM (
     SELECT {_person('actor')} AS pid, {_name('actor')} AS name, min(created_at) AS seen_at, actor
     FROM {art} WHERE kind IN ('commit', 'ai_session') AND actor IS NOT NULL GROUP BY actor)
   QUALIFY row_number() OVER (PARTITION BY pid ORDER BY seen_at, actor) = 1),
-authored_to AS (
+authored_to AS MATERIALIZED (
   SELECT DISTINCT e.src_id AS pid, e.dst_id AS id, a.kind FROM {edg} e JOIN {art} a ON a.id = e.dst_id
   WHERE e.relation = 'authored' AND a.kind IN ('commit', 'ai_session'))"""
 
 
 def graph_sql(art: str = "artifacts", edg: str = "edges") -> str:
     return topics_sql(art, edg) + f""",
-g_nodes AS (
+g_nodes AS MATERIALIZED (
   SELECT pid AS id, coalesce(any_value(names.name), pid) AS label, 'person' AS kind, '' AS modality,
-         array_to_string(list_slice(list_sort(list(authored_to.id)), 1, 60), ',') AS artifacts,
          count(*) AS artifact_count
   FROM authored_to LEFT JOIN names USING (pid) GROUP BY pid
   UNION ALL
-  SELECT id, title, kind, coalesce(modality, ''), id, 1 FROM {art} WHERE kind IN ('file', 'ai_session')
+  SELECT id, title, kind, coalesce(modality, ''), 1 FROM {art} WHERE kind IN ('file', 'ai_session')
   UNION ALL
-  SELECT 'topic:' || term, term, 'topic', '', array_to_string(list_slice(list_sort(list(id)), 1, 60), ','), count(*)
+  SELECT 'topic:' || term, term, 'topic', '', count(*)
   FROM hit WHERE term IN (SELECT term FROM members) GROUP BY term),
-g_raw AS (
+g_raw AS MATERIALIZED (
   SELECT {_person('a.actor')} AS source, e.dst_id AS target, 'modified' AS relation, CAST(count(*) AS DOUBLE) AS weight
   FROM {edg} e JOIN {art} a ON a.id = e.src_id AND a.kind = 'commit' AND a.actor IS NOT NULL
   WHERE e.relation = 'modified' GROUP BY 1, 2
@@ -208,7 +204,7 @@ g_raw AS (
   UNION ALL SELECT pid, id, 'ran', 1 FROM authored_to WHERE kind = 'ai_session'
   UNION ALL SELECT src_id, dst_id, 'ai_touched', weight FROM {edg} WHERE relation = 'ai_touched_file'
   UNION ALL SELECT source, target, 'about', weight FROM about),
-g_edges AS (
+g_edges AS MATERIALIZED (
   SELECT * FROM g_raw WHERE source <> target
     AND source IN (SELECT id FROM g_nodes) AND target IN (SELECT id FROM g_nodes)),
 g_degree AS (
@@ -256,7 +252,7 @@ gold_topic_summary AS (
          coalesce(p.n, 0) AS n_people, coalesce(f.n, 0) AS n_files, coalesce(s.n, 0) AS n_sessions
   FROM (SELECT term, count(*) AS n FROM hit GROUP BY term) h
   LEFT JOIN (SELECT term, count(*) AS n FROM topic_people WHERE pid IN (SELECT pid FROM authored_to) GROUP BY 1) p USING (term)
-  LEFT JOIN (SELECT term, least(20, count(*)) AS n FROM topic_files GROUP BY 1) f USING (term)
+  LEFT JOIN (SELECT term, count(*) AS n FROM topic_files GROUP BY 1) f USING (term)
   LEFT JOIN (SELECT term, count(*) AS n FROM topic_sessions GROUP BY 1) s USING (term)
   WHERE h.term IN (SELECT term FROM members))"""
 
@@ -265,7 +261,7 @@ about_people AS (SELECT term, pid FROM topic_people WHERE pid IN (SELECT pid FRO
 gold_cross_silo AS (
   SELECT person_a, na.name AS person_a_name, person_b, nb.name AS person_b_name, shared_topics, topics FROM (
     SELECT a.pid AS person_a, b.pid AS person_b, count(*) AS shared_topics,
-           array_to_string(list_slice(list_sort(list(a.term)), 1, 8), ', ') AS topics
+           array_to_string(list_sort(list(a.term)), ', ') AS topics
     FROM about_people a JOIN about_people b ON a.term = b.term AND a.pid < b.pid GROUP BY 1, 2)
   JOIN names na ON na.pid = person_a JOIN names nb ON nb.pid = person_b)"""
 
@@ -284,7 +280,7 @@ VECTORS = f"""
 docs AS (
   SELECT vec_id AS id, embedding, 'label_' || label AS kind, label, coalesce(source, '') AS source, coalesce(lang, '') AS repo,
          substr(regexp_extract(coalesce(text, ''), '^[^\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]*'), 1, 300) AS title,
-         substr(substr(coalesce(text, ''), 1, 2000), 1, 400) AS snippet
+         coalesce(text, '') AS snippet
   FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
 first_vec AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1),
 questions AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY label),
@@ -298,13 +294,12 @@ EVENT_CHANGES = """
     SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)
   WHERE prev IS DISTINCT FROM event_type"""
 
-MONTHS = """
-months AS (
-  SELECT strftime(created_at, '%Y-%m') AS snapshot_id, date_trunc('month', created_at) AS month_at, count(*) AS added_records
-  FROM commits GROUP BY 1, 2),
+YEARS = """
+years AS (
+  SELECT strftime(created_at, '%Y') AS snapshot_id, count(*) AS added_records FROM commits GROUP BY 1),
 snaps AS (
-  SELECT snapshot_id, strftime(month_at, '%Y-%m-%d %H:%M:%S') AS committed_at, 'append' AS operation, added_records,
-         CAST(sum(added_records) OVER (ORDER BY month_at) AS BIGINT) AS total_records FROM months)"""
+  SELECT snapshot_id, snapshot_id || '-12-31 00:00:00' AS committed_at, 'append' AS operation, added_records,
+         CAST(sum(added_records) OVER (ORDER BY snapshot_id) AS BIGINT) AS total_records FROM years)"""
 
 
 def _silver(body: str, *ctes: str) -> str:
@@ -340,7 +335,7 @@ WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS path,
 e AS (SELECT *, {ext} AS ext,
        len(list_filter(string_split(path, '/')[:-2], lambda d: d IN ({_list(IGNORE_DIRS)}) OR starts_with(d, '.'))) > 0 AS ignored_dir FROM p)
 SELECT page_id, path, ext, ignored_dir,
-       NOT ignored_dir AND ext NOT IN ({_list(IGNORE_EXTS)}) AND size > 0 AND size <= 6291456 AS kept FROM e""",
+       NOT ignored_dir AND ext NOT IN ({_list(IGNORE_EXTS)}) AND size > 0 AS kept FROM e""",
         "commit_artifacts": _silver(f"""
 SELECT id, 'commit' AS kind, 'git' AS source, repo, actor, {TS}, title, message AS text, sha AS content_hash,
        CAST(json_object('hexsha', sha, 'branch', 'main', 'files_changed', files_changed) AS VARCHAR) AS extra FROM commits"""),
@@ -366,7 +361,8 @@ FROM co_edited c LEFT JOIN (
   WHERE created_at >= TIMESTAMP '1998-01-01' GROUP BY 1, 2) l ON l.src_id = c.src_id AND l.dst_id = c.dst_id"""),
         "content_addressed_blobs": """
 SELECT sha256(text) AS content_hash, 's3://work/blobs/' || sha256(text) AS object_uri,
-       min(source || '/doc%20' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.txt') AS filename,
+       coalesce(min(source || '/doc%20' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.txt') FILTER (WHERE source = 'src0'),
+                min(source || '/doc%20' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.txt')) AS filename,
        octet_length(encode(any_value(text))) AS size
 FROM documents GROUP BY sha256(text)""",
         "partition_counts": _silver("SELECT strftime(created_at, '%Y-%m') AS created_month, count(*) AS n FROM artifacts GROUP BY 1"),
@@ -411,13 +407,13 @@ SELECT session, sid AS session_id, '/work/' || repo AS cwd, 'main' AS branch, CA
        strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(ended_at, '%Y-%m-%d %H:%M:%S') AS ended_at FROM span"""),
         "session_messages": _silver("""
 SELECT id, said_by AS actor, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at, substr(text, 1, 120) AS title,
-       substr(text, 1, 4000) AS text,
+       text,
        CAST(json_object('session_id', sid, 'role', role, 'uuid', uuid) AS VARCHAR) AS extra, session FROM messages"""),
         "edges_message_of": _silver(f"SELECT src_id, dst_id, relation, {TS} FROM edges WHERE relation = 'message_of_session'"),
         "first_prompt": _silver("SELECT CAST(conv_id AS VARCHAR) AS session_id, first_prompt FROM prompt"),
         "session_artifacts": _silver(f"""
 SELECT session AS id, repo, actor, {TS}, substr(title, 1, 200) AS title,
-       substr(title || coalesce(chr(10) || chr(10) || first_prompt, ''), 1, 4000) AS text,
+       title || coalesce(chr(10) || chr(10) || first_prompt, '') AS text,
        CAST(json_object('session_id', sid, 'cwd', '/work/' || repo, 'branch', 'main', 'messages', n_messages,
             'ended_at', strftime(ended_at, '%Y-%m-%dT%H:%M:%S+00:00'), 'source_file', sid) AS VARCHAR) AS extra FROM sessions"""),
         "edges_ai_touched": _silver(f"SELECT src_id, dst_id, weight, {TS} FROM ai_touched"),
@@ -428,7 +424,11 @@ FROM touch t JOIN commits c ON c.id = t.commit_id WHERE c.actor IS NOT NULL GROU
 SELECT src_id AS source, dst_id AS target, CAST(1 AS DOUBLE) AS weight FROM authored WHERE dst_id LIKE 'ai_session:%'"""),
         "topic_terms": _silver("SELECT term, df, row_number() OVER (ORDER BY df DESC, term) - 1 AS bit FROM terms", topics),
         "topic_members": _silver("SELECT term AS topic, member_kind, member FROM members", topics),
-        "graph_nodes": _silver("SELECT id, label, kind, modality, artifacts, artifact_count FROM g_nodes", graph),
+        "graph_nodes": _silver("SELECT id, label, kind, modality, artifact_count FROM g_nodes", graph),
+        "graph_members": _silver("""
+SELECT pid AS node, id AS artifact FROM authored_to
+UNION ALL SELECT id, id FROM artifacts WHERE kind IN ('file', 'ai_session')
+UNION ALL SELECT 'topic:' || term, id FROM hit WHERE term IN (SELECT term FROM members)""", topics),
         "graph_about": _silver("SELECT source, target, weight FROM about", topics),
         "graph_edges": _silver(f"SELECT {EDGE4} FROM g_edges", graph),
         "graph_repo_scope": _silver(
@@ -446,7 +446,7 @@ SELECT {EDGE4} FROM g_edges
 WHERE source IN (SELECT id FROM g_top WHERE kind IN ('person', 'topic'))
   AND target IN (SELECT id FROM g_top WHERE kind IN ('person', 'topic'))""", graph),
         "node_artifacts": _silver("""
-SELECT id, kind, title FROM artifacts WHERE id IN (SELECT id FROM hit WHERE term = 'red' ORDER BY id LIMIT 20)""", topics),
+SELECT id, kind, title FROM artifacts WHERE id IN (SELECT id FROM hit WHERE term = 'red')""", topics),
         "gold_daily_activity": _silver("SELECT * FROM gold_daily_activity", DAILY),
         "gold_file_hotspots": _silver("SELECT * FROM gold_file_hotspots", HOTSPOTS),
         "gold_author_activity": _silver("SELECT * FROM gold_author_activity", AUTHORS),
@@ -584,10 +584,10 @@ SELECT 'all' AS scope, count(*) FILTER (WHERE NOT (s AND d)) AS dangling_edges,
   SELECT src_id LIKE 'person:%' OR src_id IN (SELECT id FROM artifacts) AS s, dst_id IN (SELECT id FROM artifacts) AS d FROM edges)
 UNION ALL
 SELECT 'no_files', count(*) FILTER (WHERE relation IN ('modified', 'co_edited', 'ai_touched_file')), count(*) FROM edges"""),
-        "snapshot_history": _silver("SELECT * FROM snaps", MONTHS),
-        "snapshot_recent": _silver("SELECT * FROM snaps ORDER BY snapshot_id DESC LIMIT 8", MONTHS),
+        "snapshot_history": _silver("SELECT * FROM snaps", YEARS),
+        "snapshot_recent": _silver("SELECT * FROM snaps ORDER BY snapshot_id DESC LIMIT 4", YEARS),
         "as_of": _silver("""
-SELECT repo, count(*) AS n FROM commits WHERE date_trunc('month', created_at) <= TIMESTAMP '1998-06-15' GROUP BY repo"""),
+SELECT repo, count(*) AS n FROM commits WHERE year(created_at) <= 1995 GROUP BY repo"""),
         "cdc_changes": EVENT_CHANGES,
         "stream_cdc": EVENT_CHANGES,
         "stream_dedup": f"""

@@ -41,10 +41,6 @@ def stamp(col: str | Column) -> Column:
     return F.date_format(col, "yyyy-MM-dd HH:mm:ss")
 
 
-def joined(col: str | Column) -> Column:
-    return F.array_join(col, ",")
-
-
 # --- sources ---
 
 
@@ -133,15 +129,17 @@ def edges_upsert(t: Tables) -> DataFrame:
 
 @query
 def content_addressed_blobs(t: Tables) -> DataFrame:
-    """Documents stored once per content."""
+    """Documents stored once per content, those of one source first."""
     docs = t.read("documents").select(
         F.col("text").cast("binary").alias("bytes"),
         F.concat("source", F.lit("/doc "), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".txt")).alias("filename"),
+        "source",
     )
-    stored = t.spark.createDataFrame([], "content_hash string")
-    return blobs.put(docs, stored, BUCKET).select(
-        "content_hash", "object_uri", "filename", F.octet_length("bytes").cast("long").alias("size")
-    )
+    none = t.spark.createDataFrame([], "content_hash string")
+    early = docs.filter("source = 'src0'").drop("source")
+    first = t.stored("blobs_early", lambda: blobs.put(early, none, BUCKET))
+    second = blobs.put(docs.drop("source"), first, BUCKET)
+    return first.unionByName(second).select("content_hash", "object_uri", "filename", "size")
 
 
 @query
@@ -334,7 +332,13 @@ def topic_members(t: Tables) -> DataFrame:
 @query
 def graph_nodes(t: Tables) -> DataFrame:
     """G6."""
-    return t.fresh_graph.nodes.withColumn("artifacts", joined("artifacts"))
+    return t.fresh_graph.nodes
+
+
+@query
+def graph_members(t: Tables) -> DataFrame:
+    """Which artifacts each node stands for."""
+    return t.fresh_graph.members
 
 
 @query
@@ -818,25 +822,20 @@ def dq_dangling_edges(t: Tables) -> DataFrame:
 
 @query
 def snapshot_history(t: Tables) -> DataFrame:
-    """V1: one append per month of orders."""
-    month = F.date_trunc("month", F.col("authored_at"))
-    log = history.log_from_rows(t.orders, F.date_format(month, "yyyy-MM"), month)
-    return history.snapshots(log)
+    """V1: the commits stored year by year."""
+    return t.history.snapshots()
 
 
 @query
 def snapshot_recent(t: Tables) -> DataFrame:
-    """V1: the last eight appends."""
-    month = F.date_trunc("month", F.col("authored_at"))
-    log = history.log_from_rows(t.orders, F.date_format(month, "yyyy-MM"), month)
-    return history.recent(history.snapshots(log))
+    """V1: the last four appends."""
+    return history.recent(t.history.snapshots(), 4)
 
 
 @query
 def as_of(t: Tables) -> DataFrame:
-    """V6: commits per repo as the table stood in the middle of 1998."""
-    month = F.date_trunc("month", F.col("authored_at"))
-    return history.as_of(t.orders, month, "1998-06-15").groupBy("repo").agg(F.count("*").alias("n"))
+    """V6: commits per repo as the stored table stood in the middle of 1996."""
+    return t.history.artifacts(as_of="1996-06-15").groupBy("repo").agg(F.count("*").alias("n"))
 
 
 # --- streaming ---

@@ -37,7 +37,7 @@ EDGES = _struct(
 )
 
 BLOBS = _struct(
-    ("content_hash", _S), ("object_uri", _S), ("filename", _S), ("bytes", T.BinaryType()),
+    ("content_hash", _S), ("object_uri", _S), ("filename", _S), ("size", _L), ("bytes", T.BinaryType()),
     required=("content_hash", "object_uri"),
 )
 
@@ -49,9 +49,11 @@ VECTORS = _struct(
 
 GRAPH_NODES = _struct(
     ("id", _S), ("label", _S), ("kind", _S), ("modality", _S),
-    ("artifacts", T.ArrayType(_S)), ("artifact_count", _L),
+    ("artifact_count", _L),
 )
 
+GRAPH_MEMBERS = _struct(("node", _S), ("artifact", _S))
+
 GRAPH_EDGES = _struct(
     ("id", _S), ("source", _S), ("target", _S), ("relation", _S), ("weight", _D),
 )

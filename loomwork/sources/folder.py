@@ -55,7 +55,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
             for directory in frame["abspath"]:
                 try:
                     found = source.get_file_info(pafs.FileSelector(directory))
-                except OSError:  # gone or unreadable: it has no entries
+                except FileNotFoundError:  # gone meanwhile; any other error fails the listing
                     continue
                 rows = [
                     (e.path, e.size, e.mtime, e.type == pafs.FileType.Directory)
@@ -96,7 +96,7 @@ def skipped(listed: DataFrame) -> DataFrame:
 
 
 def with_bytes(listed: DataFrame, root: str, total_bytes: int = 0) -> DataFrame:
-    """Adds ``content``; files that cannot be read (any more) are left out.
+    """Adds ``content``; files that are gone meanwhile are left out, any other error fails the read.
 
     A listing is small however much it names, so the number of reading tasks is set from the
     bytes behind it and not left to the size of the rows.
@@ -114,7 +114,7 @@ def with_bytes(listed: DataFrame, root: str, total_bytes: int = 0) -> DataFrame:
                     try:
                         with filesystem.open_input_stream(path) as stream:
                             content.append(stream.read())
-                    except OSError:
+                    except FileNotFoundError:
                         content.append(None)
                 yield rows.assign(content=content)
 
@@ -140,7 +140,7 @@ def describe(read: DataFrame, repo: str, bucket: str, **extra) -> DataFrame:
             F.col("mtime").alias("created_at"),
             files.file_text(F.col("rel"), F.col("content"), F.col("size"), F.col("modality")).alias("said"),
             "content_hash",
-            blobs.bounded_uri(F.col("content_hash"), F.col("size"), bucket).alias("object_uri"),
+            blobs.object_uri(F.col("content_hash"), bucket).alias("object_uri"),
             files.file_extra(F.col("rel"), F.col("size"), F.col("modality"), **extra).alias("extra"),
         )
     )

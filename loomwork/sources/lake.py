@@ -1,12 +1,15 @@
 """The stored tables: silver by append, gold by overwrite, and lookups on them.
 
-A silver table is a Parquet folder partitioned by ``batch_id``, then by month for artifacts and
-by relation for edges. An append writes only the partitions of its batch, then one row to the append log; readers see
-the batches the log names. A failed or repeated append therefore leaves nothing visible twice.
+A silver table is a Parquet folder, artifacts partitioned by month and edges by relation. Every row
+names the batch that appended it and when. Batches have ids of their own, so writers cannot collide,
+and an append is one job that becomes visible as a whole or not at all. What is new is decided by
+keys, so a repeated append adds nothing. Two writers that add the same id at the same time both
+succeed; the check after each append notes which of the rows came later, and readers leave it out.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
@@ -18,16 +21,12 @@ from pyspark.sql import types as T
 from loomwork import schemas
 from loomwork.operators import history, incremental
 
-_BATCH = T.StructField("batch_id", T.LongType())
+_BATCH = T.StructField("batch_id", T.StringType())
+_AT = T.StructField("appended_at", T.TimestampType())
 _MONTH = T.StructField("created_month", T.StringType())
-LOG = T.StructType(
-    [
-        T.StructField("table", T.StringType()),
-        _BATCH,
-        T.StructField("committed_at", T.TimestampType()),
-        T.StructField("added", T.LongType()),
-    ]
-)
+LATER = T.StructType([T.StructField("id", T.StringType()), _BATCH])
+# The order of appends; ties are broken by the batch.
+VERSION = ["appended_at", "batch_id"]
 
 
 def with_month(artifacts: DataFrame) -> DataFrame:
@@ -83,44 +82,39 @@ class Lake:
                 raise
             return schemas.empty(self.spark, schema)
 
-    def log(self, table: str) -> DataFrame:
-        return self.read("append_log", LOG).filter(F.col("table") == table).drop("table")
-
-    def _committed(self, table: str, schema: T.StructType, as_of: str | None) -> DataFrame:
-        log = self.log(table)
-        if as_of is not None:
-            log = history.as_of(log, F.col("committed_at"), as_of)
-        return self.read(table, schema).join(log.select("batch_id"), "batch_id", "left_semi")
+    def _rows(self, table: str, schema: T.StructType, as_of: str | None = None) -> DataFrame:
+        rows = self.read(table, T.StructType([*schema.fields, _BATCH, _AT]))
+        return rows if as_of is None else history.as_of(rows, F.col("appended_at"), as_of)
 
     def _stored_artifacts(self, as_of: str | None = None) -> DataFrame:
-        schema = T.StructType([*schemas.ARTIFACTS.fields, _BATCH, _MONTH])
-        return self._committed("artifacts", schema, as_of)
+        rows = self._rows("artifacts", T.StructType([*schemas.ARTIFACTS.fields, _MONTH]), as_of)
+        return rows.join(self.read("artifacts_later", LATER), ["id", "batch_id"], "left_anti")
 
-    def artifacts(self, as_of: str | None = None, mode: str = "first") -> DataFrame:
+    def artifacts(self, as_of: str | None = None, mode: str = "first", since: str | None = None) -> DataFrame:
+        """Artifacts, as of a time of appending, or created ``since`` a day; older months are not read."""
         rows = self._stored_artifacts(as_of)
+        if since is not None:
+            rows = rows.filter((F.col("created_month") >= since[:7]) & (F.col("created_at") >= F.lit(since).cast("timestamp")))
         if mode == "latest":
-            rows = incremental.latest_artifacts(rows, F.desc("batch_id"))
+            rows = incremental.latest_artifacts(rows, F.desc("appended_at"), F.desc("batch_id"))
         return rows.select(*schemas.ARTIFACTS.names)
 
     def _stored_edges(self, as_of: str | None = None) -> DataFrame:
-        return self._committed("edges", T.StructType([*schemas.EDGES.fields, _BATCH]), as_of)
+        return self._rows("edges", schemas.EDGES, as_of)
 
-    def appended(self, batch_id: int) -> DataFrame:
-        """The artifacts one batch added; only its partition is read."""
+    def appended(self, batch_id: str) -> DataFrame:
+        """The artifacts one batch added; files of other batches are skipped by their statistics."""
         rows = self._stored_artifacts().filter(F.col("batch_id") == batch_id)
         return rows.select(*schemas.ARTIFACTS.names)
 
     def edges(self, as_of: str | None = None) -> DataFrame:
-        rows = incremental.current_edges(self._stored_edges(as_of), "batch_id")
-        return rows.select(*schemas.EDGES.names)
+        return incremental.current_edges(self._stored_edges(as_of), F.struct(*VERSION)).select(*schemas.EDGES.names)
 
     def vectors(self) -> DataFrame:
-        schema = T.StructType([*schemas.VECTORS.fields, _BATCH])
-        return self._committed("vectors", schema, None).select(*schemas.VECTORS.names)
+        return self._rows("vectors", schemas.VECTORS).select(*schemas.VECTORS.names)
 
     def blobs(self) -> DataFrame:
-        schema = T.StructType([*schemas.BLOBS.fields, _BATCH])
-        return self._committed("blobs", schema, None).select(*schemas.BLOBS.names)
+        return self._rows("blobs", schemas.BLOBS).select(*schemas.BLOBS.names)
 
     def gold(self, name: str) -> DataFrame:
         return self.read(name, schemas.GOLD[name])
@@ -132,52 +126,61 @@ class Lake:
     def get_artifact(self, artifact_id: str) -> DataFrame:
         return lookup(self.artifacts(), [artifact_id])
 
+    def log(self, table: str) -> DataFrame:
+        """batch_id, committed_at, added: one row for each append that added rows."""
+        stored = {"artifacts": self._stored_artifacts, "edges": self._stored_edges}[table]()
+        return history.log_from_rows(stored, F.col("batch_id"), F.col("appended_at"))
+
     def snapshots(self, table: str = "artifacts") -> DataFrame:
         return history.snapshots(self.log(table))
 
     # --- writing ---
 
-    def next_batch(self) -> int:
-        """One more than the highest batch of any table."""
-        top = self.read("append_log", LOG).agg(F.max("batch_id")).first()[0]
-        return 0 if top is None else top + 1
-
-    def _before(self, rows: DataFrame, batch_id: int) -> DataFrame:
-        """Stored rows other than those of an earlier try of the same batch."""
-        return rows.filter(F.col("batch_id") != batch_id)
+    def new_batch(self) -> str:
+        """An id no other writer has."""
+        return uuid.uuid4().hex
 
-    def _append(self, table: str, rows: DataFrame, batch_id: int, by: list[str]) -> int:
-        stamped = rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
+    def _append(self, table: str, rows: DataFrame, batch_id: str, by: list[str], at: datetime | None = None) -> int:
+        when = F.lit(at or datetime.now(timezone.utc)).cast("timestamp")
+        stamped = rows.withColumns({"batch_id": F.lit(batch_id), "appended_at": when})
         # Rebalancing gives each partition value few files, and splits a value that is large.
-        stamped.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy(*by).parquet(f"{self.root}/{table}")
-        added = self.read(table, stamped.schema).filter(F.col("batch_id") == batch_id).count()
-        entry = self.spark.createDataFrame(
-            [(table, batch_id, datetime.now(timezone.utc), added)], LOG
-        )
-        entry.coalesce(1).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("table", "batch_id").parquet(f"{self.root}/append_log")
-        return added
-
-    def append_artifacts(self, batch: DataFrame, batch_id: int, mode: str = "first") -> int:
+        spread = stamped.hint("rebalance", *[F.col(c) for c in by]) if by else stamped.hint("rebalance")
+        writer = spread.write.mode("append")
+        (writer.partitionBy(*by) if by else writer).parquet(f"{self.root}/{table}")
+        # Other appends' files are skipped by their statistics.
+        own = (F.col("batch_id") == batch_id) & (F.col("appended_at") == when)
+        return self.read(table, stamped.schema).filter(own).count()
+
+    def _note_later(self, batch_id: str) -> int:
+        """Of ids that several batches added at the same time, note the rows that came later."""
+        stored = self._stored_artifacts().select("id", "batch_id", "appended_at")
+        mine = stored.filter(F.col("batch_id") == batch_id).select("id")
+        shared = stored.join(mine, "id", "left_semi")
+        first = shared.groupBy("id").agg(F.min(F.struct(*VERSION)).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        later = shared.join(first, "id").filter(F.struct(*VERSION) > F.col("first")).select("id", "batch_id")
+        count = later.count()
+        if count:
+            later.write.mode("append").parquet(f"{self.root}/artifacts_later")
+        return count
+
+    def append_artifacts(self, batch: DataFrame, batch_id: str, mode: str = "first", at: datetime | None = None) -> int:
         """Append the artifacts that are new; returns how many were."""
-        stored = self._before(self._stored_artifacts(), batch_id)
-        rows = incremental.new_artifacts(schemas.conform(batch, schemas.ARTIFACTS), stored, mode)
-        return self._append("artifacts", with_month(rows), batch_id, ["batch_id", "created_month"])
+        rows = incremental.new_artifacts(schemas.conform(batch, schemas.ARTIFACTS), self._stored_artifacts(), mode)
+        added = self._append("artifacts", with_month(rows), batch_id, ["created_month"], at)
+        return added - self._note_later(batch_id) if mode == "first" and added else added
 
-    def append_edges(self, batch: DataFrame, batch_id: int) -> int:
+    def append_edges(self, batch: DataFrame, batch_id: str) -> int:
         """Append the edges that are new or changed their weight; returns how many did."""
-        current = incremental.current_edges(self._before(self._stored_edges(), batch_id), "batch_id")
-        rows = incremental.changed_edges(current, schemas.conform(batch, schemas.EDGES))
-        return self._append("edges", rows, batch_id, ["batch_id", "relation"])
+        rows = schemas.conform(batch, schemas.EDGES)
+        known = self._stored_edges().join(rows.select(*incremental.EDGE_KEY), incremental.EDGE_KEY, "left_semi")
+        changed = incremental.changed_edges(incremental.current_edges(known, F.struct(*VERSION)), rows)
+        return self._append("edges", changed, batch_id, ["relation"])
 
-    def append_vectors(self, rows: DataFrame, batch_id: int) -> int:
-        return self._append("vectors", schemas.conform(rows, schemas.VECTORS), batch_id, ["batch_id"])
+    def append_vectors(self, rows: DataFrame, batch_id: str) -> int:
+        return self._append("vectors", schemas.conform(rows, schemas.VECTORS), batch_id, [])
 
-    def append_blobs(self, rows: DataFrame, batch_id: int) -> int:
-        return self._append("blobs", schemas.conform(rows, schemas.BLOBS), batch_id, ["batch_id"])
+    def append_blobs(self, rows: DataFrame, batch_id: str) -> int:
+        return self._append("blobs", schemas.conform(rows, schemas.BLOBS), batch_id, [])
 
     def overwrite(self, name: str, rows: DataFrame, schema: T.StructType) -> DataFrame:
         """Recompute a derived table: full overwrite, then read back."""

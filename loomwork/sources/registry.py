@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +17,15 @@ DEFAULT_KIND = "folder"
 
 
 def load(spark: SparkSession, location: str) -> DataFrame:
-    """Registered sources; a missing or unreadable list is empty, entries without a path go."""
+    """Registered sources; a list that was never written is empty, malformed entries and those without a path go.
+
+    Any other trouble is an error, as a list that seems empty would be overwritten by the next ``add``.
+    """
     try:
         rows = spark.read.schema(SOURCES).option("mode", "DROPMALFORMED").json(location)
-        rows.limit(1).count()
-    except PySparkException:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return empty(spark, SOURCES)
     return rows.filter(F.coalesce("path", F.lit("")) != "").select(
         "path", F.coalesce("kind", F.lit(DEFAULT_KIND)).alias("kind")

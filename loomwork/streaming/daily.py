@@ -6,32 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from loomwork.operators import marts
 from loomwork.schemas import GOLD, conform
 
-LATENESS = "1 day"
 KEYS = ["day", "source", "kind"]
 
 
-def counts(artifacts: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Counts per day window, source and kind; a day leaves the state once it is too old."""
-    return (
-        artifacts.withWatermark("created_at", lateness)
-        .groupBy(F.window("created_at", "1 day").alias("w"), "source", "kind")
-        .agg(F.count("*").alias("count"))
-        .select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "source", "kind", "count")
-    )
-
+def start(artifacts: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Write the counts of each micro-batch under its epoch.
 
-def start(artifacts: DataFrame, folder: str, lateness: str = LATENESS, **trigger) -> StreamingQuery:
-    """Write the counts each micro-batch changed, one folder per micro-batch."""
+    A repeated micro-batch replaces its own counts. There is no state and no lateness: a row of any day
+    counts whenever it comes, and the cost of a step follows its rows.
+    """
 
     def step(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
-            f"{folder}/updates/epoch={epoch}"
+        marts.daily_activity(batch).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+            f"{folder}/counts/epoch={epoch}"
         )
 
     return (
-        counts(artifacts, lateness).writeStream.outputMode("update").foreachBatch(step)
+        artifacts.writeStream.foreachBatch(step)
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(**(trigger or {"processingTime": "120 seconds"}))
         .start()
@@ -39,10 +33,6 @@ def start(artifacts: DataFrame, folder: str, lateness: str = LATENESS, **trigger
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """The current counts: they only grow, so the highest update of a key is its latest."""
-    updates = spark.read.schema("day string, source string, kind string, count long").parquet(
-        f"{folder}/updates"
-    )
-    return conform(
-        updates.groupBy(*KEYS).agg(F.max("count").alias("count")), GOLD["gold_daily_activity"]
-    )
+    """The counts so far: those of all micro-batches summed."""
+    parts = spark.read.schema("day string, source string, kind string, count long").parquet(f"{folder}/counts")
+    return conform(parts.groupBy(*KEYS).agg(F.sum("count").alias("count")), GOLD["gold_daily_activity"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -9,16 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from loomwork import schemas
 from loomwork.functions import files, ids, text
 from loomwork.operators import blobs, silver, vectors
 from loomwork.operators.incremental import not_yet_in, one_per_key
+from loomwork.session import materialize
 from loomwork.sources import folder
 from loomwork.sources.lake import Lake
 
 EVENT = T.StructType([T.StructField(n, T.StringType()) for n in ("repo", "abspath", "rel", "ts")])
-# How long the stream itself remembers an id; older repeats are found in the stored table.
-HORIZON = "1 day"
 
 
 def decode(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -50,22 +49,17 @@ def poison(events: DataFrame) -> DataFrame:
     return events.filter(F.col("id").isNull()).select("raw")
 
 
-def first_events(events: DataFrame, horizon: str = HORIZON) -> DataFrame:
-    """The first event per id within the horizon; the state is dropped beyond it."""
-    timed = events.withColumn("seen_at", F.coalesce("ts", F.current_timestamp()))
-    return timed.withWatermark("seen_at", horizon).dropDuplicatesWithinWatermark(["id"])
-
-
-def event_artifacts(events: DataFrame, bucket: str = "work") -> DataFrame:
-    """File artifacts of a micro-batch, as of now; missing, empty and oversized files give none."""
+def event_files(events: DataFrame) -> DataFrame:
+    """repo, rel, content and size of the files that events name; missing and empty files give none."""
     wanted = one_per_key(usable(events), ["id"], [F.col("ts"), F.col("abspath")])
     read = folder.with_bytes(wanted.select("repo", "abspath", "rel"), "/")
-    size = F.octet_length("content").cast("long")
-    rows = (
-        read.withColumn("size", size)
-        .filter(files.size_in_bounds(F.col("size")))
-        .withColumn("modality", files.classify(F.col("rel"), F.col("content")))
-        .withColumn("content_hash", F.sha2("content", 256))
+    return read.withColumn("size", F.octet_length("content").cast("long")).filter(F.col("size") > 0)
+
+
+def event_artifacts(read: DataFrame, bucket: str = "work") -> DataFrame:
+    """File artifacts of read files, as of now."""
+    rows = read.withColumn("modality", files.classify(F.col("rel"), F.col("content"))).withColumn(
+        "content_hash", F.sha2("content", 256)
     )
     return silver.file_artifacts(
         rows.select(
@@ -74,7 +68,7 @@ def event_artifacts(events: DataFrame, bucket: str = "work") -> DataFrame:
             F.current_timestamp().alias("created_at"),
             files.file_text(F.col("rel"), F.col("content"), F.col("size"), F.col("modality")).alias("said"),
             "content_hash",
-            blobs.bounded_uri(F.col("content_hash"), F.col("size"), bucket).alias("object_uri"),
+            blobs.object_uri(F.col("content_hash"), bucket).alias("object_uri"),
             files.file_extra(F.col("rel"), F.col("size"), F.col("modality"), streamed=F.lit(True)).alias("extra"),
         )
     )
@@ -84,30 +78,36 @@ def start(
     raw: DataFrame,
     lake: Lake,
     folder_path: str,
-    to_artifacts: Callable[[DataFrame], DataFrame] = event_artifacts,
+    to_artifacts: Callable[[DataFrame], DataFrame] | None = None,
     make_encoder: Callable[[], vectors.Encoder] | None = None,
     embed: bool = True,
     column: str = "value",
     **trigger,
 ) -> StreamingQuery:
-    """Append the files of a stream of JSON events to the lake, and embed them.
+    """Append the files of a stream of JSON events to the lake with their bytes, and embed them.
 
-    Each micro-batch is one batch of the lake, numbered after the batches the lake had when the
-    query first ran, so a repeated micro-batch replaces itself. Ids already stored are ignored
-    whatever their content. Poison events go to ``<folder>/poison``.
+    Each micro-batch is a batch of the lake, named after the query's folder and its epoch. What it
+    adds is decided by ids, so a repeated micro-batch adds what the first try did not. Ids already
+    stored are ignored whatever their content. Poison events go to ``<folder>/poison``.
+    ``to_artifacts`` replaces reading the files, and then no bytes are stored.
     """
-    base = _first_batch(lake, folder_path)
     events = decode(raw, column)
+    writer = hashlib.sha256(folder_path.encode()).hexdigest()[:16]
 
     def step(batch: DataFrame, epoch: int) -> None:
+        name = f"{writer}-{epoch}"
         poison(batch).write.mode("overwrite").text(f"{folder_path}/poison/epoch={epoch}")
-        fresh = not_yet_in(usable(batch), lake.artifacts().select("id"), ["id"])
-        lake.append_artifacts(to_artifacts(fresh), base + epoch)
+        fresh = not_yet_in(usable(batch), lake.existing_ids(), ["id"])
+        if to_artifacts is None:
+            read = materialize(event_files(fresh), "event-files")
+            put = blobs.put(read.select(F.col("content").alias("bytes"), F.col("rel").alias("filename")), lake.blobs(), "work")
+            lake.append_blobs(put, name)
+            made = event_artifacts(read)
+        else:
+            made = to_artifacts(fresh)
+        lake.append_artifacts(made, name)
         if embed:
-            # The ids of this batch are new to the lake, so none of them has a vector yet.
-            none = schemas.empty(lake.spark, schemas.VECTORS)
-            added = lake.appended(base + epoch)
-            lake.append_vectors(vectors.embed_new(added, none, make_encoder), base + epoch)
+            lake.append_vectors(vectors.embed_new(lake.appended(name), lake.vectors(), make_encoder), name)
 
     return (
         events.writeStream.foreachBatch(step)
@@ -115,18 +115,3 @@ def start(
         .trigger(**(trigger or {"processingTime": "2 seconds"}))
         .start()
     )
-
-
-def _first_batch(lake: Lake, folder_path: str) -> int:
-    """The batch number of epoch 0, kept beside the checkpoint so a restart agrees with it."""
-    spark = lake.spark
-    path = f"{folder_path}/first_batch"
-    schema = "batch_id long"
-    try:
-        return spark.read.schema(schema).json(path).first()["batch_id"]
-    except Exception as exc:
-        if getattr(exc, "getCondition", lambda: None)() != "PATH_NOT_FOUND":
-            raise
-    first = lake.next_batch()
-    spark.createDataFrame([(first,)], schema).coalesce(1).write.json(path)
-    return first

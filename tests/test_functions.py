@@ -111,17 +111,18 @@ def test_ignored_paths(spark):
 
 
 def test_size_bounds(spark):
-    sizes = [0, 1, files.MAX_INGEST_BYTES, files.MAX_INGEST_BYTES + 1]
-    assert col_values(spark, sizes, files.size_in_bounds, "long") == [False, True, True, False]
+    sizes = [0, 1, 10, 1 << 40]
+    assert col_values(spark, sizes, files.size_in_bounds, "long") == [False, True, True, True]
+    assert col_values(spark, sizes, lambda c: files.size_in_bounds(c, 9), "long") == [False, True, False, False]
 
 
 NB = json.dumps({"cells": [{"source": ["a = 1\n", "b"]}, {"source": "# t"}, {}]}).encode()
 BYTES = [
     ("a.py", b"x = 1\n", "code", False, "x = 1"),
-    ("a.md", "é".encode() * 5000, "text", False, "é" * 4000),
+    ("a.md", "é".encode() * 5000, "text", False, "é" * 5000),
     ("a.py", b"x\x00y", "binary", True, "[binary file py, 3 bytes]"),
     ("a.txt", b"\xff\xfe", "binary", True, "[binary file txt, 2 bytes]"),
-    ("noext", b"x" * 9000 + b"\x00", "text", False, "x" * 4000),
+    ("noext", b"x" * 9000 + b"\x00", "binary", True, "[binary file no-ext, 9001 bytes]"),
     ("LICENSE", b"\x00", "binary", True, "[binary file no-ext, 1 bytes]"),
     ("a.png", b"\x89PNG", "image", True, "[image file png]"),
     ("a.pdf", b"%PDF", "pdf", True, "[pdf document, 4 bytes]"),

@@ -64,7 +64,7 @@ def person(actor):
 class Model:
     """The rules, evaluated row by row."""
 
-    def __init__(self, arts, edges, cap=20):
+    def __init__(self, arts, edges):
         kind = {a[0]: a[1] for a in arts}
         actor = {a[0]: a[4] for a in arts}
         toks = {
@@ -109,7 +109,7 @@ class Model:
             if rel == "authored" and kind.get(d) == "ai_session":
                 out["ran", s, d] = 1.0
         for t, m in self.members.items():
-            for x in [*m["p"], *m["s"], *sorted(m["f"])[:cap]]:
+            for x in [*m["p"], *m["s"], *m["f"]]:
                 out["about", f"topic:{t}", x] = 1.0
         self.edges = {
             (s, d, rel, w) for (rel, s, d), w in out.items() if s != d and s in self.nodes and d in self.nodes
@@ -129,7 +129,7 @@ def members(lake):
 @pytest.fixture(scope="module")
 def built(lake, members):
     g = graph.build(lake[2], lake[3], members)
-    return graph.Graph(g.nodes.cache(), g.edges.cache())
+    return graph.Graph(g.nodes.cache(), g.edges.cache(), g.members.cache())
 
 
 def test_terms_and_members(model, members):
@@ -144,7 +144,12 @@ def test_nodes(model, built, lake):
     assert set(got) == model.nodes
     for t, m in model.members.items():
         node = got[f"topic:{t}"]
-        assert node["artifacts"] == sorted(m["a"])[:60] and node["artifact_count"] == len(m["a"])
+        assert node["artifact_count"] == len(m["a"])
+    listed = defaultdict(set)
+    for node, artifact in rows(built.members):
+        listed[node].add(artifact)
+    assert {n: len(a) for n, a in listed.items()} == {i: r["artifact_count"] for i, r in got.items()}
+    assert all(listed[f"topic:{t}"] == m["a"] for t, m in model.members.items())
     assert got["file:00"]["modality"] == "" and got["file:01"]["modality"] == "code"
     # A person without a name part is shown by the whole actor here ...
     cy = person("<cy@x>")
@@ -158,12 +163,15 @@ def test_edges(model, built):
     assert built.edges.count() == len(model.edges)
 
 
-def test_long_node_lists_are_cut_but_counted(spark):
+def test_long_node_lists_are_whole(spark):
     arts = [(f"commit:{i:03}", "commit", "git", "r", "Ann <a@x>", naive(2024, 1, 1), "t", "word", None, None, None) for i in range(75)]
     edges = [(person("Ann <a@x>"), a[0], "authored", 1.0, None) for a in arts]
     a, e = spark.createDataFrame(arts, schemas.ARTIFACTS), spark.createDataFrame(edges, schemas.EDGES)
-    for node in graph.build(a, e).nodes.collect():
-        assert node["artifact_count"] == 75 and node["artifacts"] == [f"commit:{i:03}" for i in range(60)]
+    g = graph.build(a, e)
+    assert {r["artifact_count"] for r in g.nodes.collect()} == {75}
+    assert {r["count"] for r in g.members.groupBy("node").count().collect()} == {75}
+    node = g.nodes.first()["id"]
+    assert graph.node_artifacts(g, a, node).count() == 75 and graph.node_artifacts(g, a, node, 20).count() == 20
 
 
 def test_focus_and_fallback(model, built):
@@ -201,16 +209,14 @@ def test_repo_scope(lake):
 def test_node_drill_down(built, lake, model):
     t = model.terms[0]
     got = graph.node_artifacts(built, lake[2], f"topic:{t}")
-    assert {r["id"] for r in got.collect()} == set(sorted(model.members[t]["a"])[:20])
+    assert {r["id"] for r in got.collect()} == model.members[t]["a"]
 
 
-def test_topic_summary_counts_files_after_the_cap(lake, members, model):
+def test_topic_summary_counts_all_files(lake, members, model):
     kind = {a[0] for a in lake[0] if a[1] == "file"}
-    for cap in (3, None):
-        got = {r["topic"]: tuple(r)[1:] for r in marts.topic_summary(lake[2], lake[3], members, cap).collect()}
-        for t, m in model.members.items():
-            files = [f for f in sorted(m["f"])[:cap] if f in kind]
-            assert got[t] == (len(m["a"]), len(m["p"] & model.people), len(files), len(m["s"]))
+    got = {r["topic"]: tuple(r)[1:] for r in marts.topic_summary(lake[2], lake[3], members).collect()}
+    for t, m in model.members.items():
+        assert got[t] == (len(m["a"]), len(m["p"] & model.people), len(m["f"] & kind), len(m["s"]))
 
 
 def test_author_activity(lake):

@@ -26,13 +26,13 @@ def work(tmp_path_factory):
     return base
 
 
-KEPT = [".env", "deep/er/and/er/n.txt", "logo.png", "src/__init__.py", "src/a.py", "src/copy.py"]
+KEPT = [".env", "big.dat", "deep/er/and/er/n.txt", "logo.png", "src/__init__.py", "src/a.py", "src/copy.py"]
 
 
 def test_folder_scan(spark, work):
     listed = folder.list_files(spark, str(work))
     assert [r[0] for r in rows(folder.accepted(listed), "rel")] == KEPT
-    assert folder.skipped(listed).first()["skipped_ignored"] == 3
+    assert folder.skipped(listed).first()["skipped_ignored"] == 2
     with pytest.raises(folder.FolderError):
         folder.list_files(spark, str(work / "src/a.py"))
 
@@ -40,15 +40,15 @@ def test_folder_scan(spark, work):
 def test_folder_ingest(spark, work, tmp_path):
     lake = Lake(spark, str(tmp_path / "lake"))
     stats, index = pipeline.ingest_folder(lake, str(work), max_files=2)
-    assert stats["files"] == 2 and rows(lake.artifacts(), "title") == [(".env",), ("deep/er/and/er/n.txt",)]
+    assert stats["files"] == 2 and rows(lake.artifacts(), "title") == [(".env",), ("big.dat",)]
     stats, index = pipeline.ingest_folder(lake, str(work))
-    assert stats == {"folder": "app", "files": 4, "blobs_uploaded": 3, "skipped_existing": 2, "skipped_ignored": 3}
+    assert stats == {"folder": "app", "files": 5, "blobs_uploaded": 4, "skipped_existing": 2, "skipped_ignored": 2}
     got = {r["title"]: r for r in lake.artifacts().collect()}
     assert got["src/a.py"]["text"] == "src/a.py\n\ndef parse(): pass"
     assert got["logo.png"]["text"] == "logo.png\n\n[image file png]"
     assert got["src/a.py"]["object_uri"] == got["src/copy.py"]["object_uri"]
     assert got["src/a.py"]["actor"] is None and json.loads(got["src/a.py"]["extra"])["modality"] == "code"
-    assert index.count() == 6 and lake.blobs().count() == 5
+    assert index.count() == 7 and lake.blobs().count() == 6
     # An edited file keeps its first version.
     (work / ".env").write_bytes(b"KEY=2")
     assert pipeline.ingest_folder(lake, str(work))[0]["files"] == 0
@@ -87,22 +87,27 @@ def test_a_second_sync_changes_nothing(spark, work, commit_log, logs, tmp_path):
     registry.add(spark, at, str(work), "folder")
     registry.add(spark, at, commit_log, "repo")
     registry.add(spark, at, "/not/there", "folder")
-    out = pipeline.sync_once(lake, at, logs, "me")
-    assert (out["repos"], out["folders"], out["ai_sessions"]) == (1, 1, 1)
-    assert out["sources_failed"] == 1 and "/not/there" in out["errors"][0]
+    steps = pipeline.sync_once(lake, at, logs, "me")
+    out = {(r["kind"], r["status"]): r for r in steps.collect()}
+    assert out["repo", "done"]["added"] == 4 and out["transcripts", "done"]["added"] == 1
+    assert "/not/there" in out["folder", "failed"]["error"] and out["folder", "done"]["error"] is None
+    totals = {(r["kind"], r["status"]): (r["steps"], r["added"]) for r in pipeline.sync_totals(steps).collect()}
+    assert totals["folder", "failed"] == (1, 0) and totals["marts", "done"][0] == 1
     by_kind = {r["kind"]: r["count"] for r in lake.artifacts().groupBy("kind").count().collect()}
-    assert by_kind == {"file": 8, "commit": 2, "ai_session": 1, "ai_message": 2} and out["embedded"] == 13
+    assert by_kind == {"file": 9, "commit": 2, "ai_session": 1, "ai_message": 2} and out["embedding", "done"]["added"] == 14
     by_rel = {r["relation"]: r["count"] for r in lake.edges().groupBy("relation").count().collect()}
     assert by_rel == {"authored": 3, "modified": 4, "co_edited": 1, "message_of_session": 2, "ai_touched_file": 1}
-    assert out["marts"]["gold_author_activity"] == 3 and out["marts"]["gold_cross_silo"] == 3
-    pairs = lake.gold("gold_cross_silo")
-    assert rows(pipeline.cross_silo(lake)) == rows(pairs)
+    # The marts report what they wrote; pairs of people are answered from one row per person.
+    written = pipeline.build_marts(lake)
+    assert written["gold_author_activity"] == 3 and written["topic_people"] == 3 and "gold_cross_silo" not in written
+    assert all(lake.gold(n).count() == c for n, c in written.items() if n.startswith("gold_"))
+    pairs = pipeline.cross_silo(lake)
+    assert pairs.count() == 3
     top = pairs.orderBy(F.desc("shared_topics"), "person_a", "person_b").limit(2)
     assert rows(pipeline.cross_silo(lake, top=2)) == rows(top)
-    # Above the bound the pairs are not written, but still answered.
-    assert pipeline.build_marts(lake, max_pairs=2)["gold_cross_silo"] == 3
-    assert lake.gold("gold_cross_silo").count() == 0 and pipeline.cross_silo(lake).count() == 3
-    me = pipeline.cross_silo(lake).first()["person_a"]
+    assert pipeline.dashboard(lake)["cross_silo"].count() == 3
+    assert pipeline.console_tables(lake)["gold_cross_silo"].count() == 3
+    me = pairs.first()["person_a"]
     assert pipeline.cross_silo(lake, person=me).count() == 2
     spots = {r["path"]: r for r in lake.gold("gold_file_hotspots").collect()}
     assert (spots["lib/p.py"]["times_modified"], spots["lib/p.py"]["ai_touches"], spots["lib/p.py"]["coedit_degree"]) == (2, 1, 1)
@@ -112,8 +117,8 @@ def test_a_second_sync_changes_nothing(spark, work, commit_log, logs, tmp_path):
     assert quality.embedding_coverage(lake.artifacts(), lake.vectors()).first()["passed"]
 
     before = rows(lake.artifacts()), rows(lake.edges())
-    again = pipeline.sync_once(lake, at, logs, "me")
-    assert again["embedded"] == 0 and "marts" not in again
+    again = {r["kind"]: r["added"] for r in pipeline.sync_once(lake, at, logs, "me").collect()}
+    assert again["embedding"] == 0 and "marts" not in again
     assert (rows(lake.artifacts()), rows(lake.edges())) == before
 
 
@@ -122,6 +127,9 @@ def test_commit_stats(spark, commit_log, tmp_path):
     commits, tree = (spark.read.parquet(f"{commit_log}/{n}") for n in ("commits", "tree"))
     stats, index = pipeline.ingest_commits(lake, commits, tree, max_commits=1)
     assert stats == {"commits": 1, "files": 2, "edges": 4, "coedit_skipped": 0}
+    # A bound on commits does not lower the weights of pairs.
+    assert lake.edges().filter("relation = 'co_edited'").first()["weight"] == 2.0
+    assert lake.artifacts().filter("object_uri IS NOT NULL").count() == 0 and lake.blobs().count() == 0
     assert rows(index, "abspath") == [("/work/app/lib/p.py",), ("/work/app/lib/q.py",)]
     stats, _ = pipeline.ingest_commits(lake, commits, tree)
     assert stats["commits"] == 1 and stats["files"] == 0

@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from loomwork.plans import oracle
+from loomwork.plans.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no benchmark tables")
@@ -29,7 +31,8 @@ def db():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(oracle.sql()) == set(REGISTRY)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", SAMPLE)
@@ -61,6 +64,13 @@ def test_limits_per_key_apply_before_the_shuffle(spark):
         assert "Partial" in plan[plan.index("WindowGroupLimit"):], name
 
 
+def test_graph_queries_read_few_tables(spark):
+    """Topic members and node ids are read from tables; no branch derives them again."""
+    for name, most in (("graph_edges", 40), ("graph_nodes", 8), ("gold_topic_summary", 10), ("dq_dangling_edges", 8)):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") <= most, (name, plan.count("FileScan"))
+
+
 def test_no_query_plans_a_cross_join(spark):
     for name in ("gold_cross_silo", "vector_topk_batch", "graph_edges", "edges_co_edited"):
         plan = _plan(entry.queries()[name](spark, SF))

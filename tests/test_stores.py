@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from conftest import naive, rows
 from loomwork import schemas
-from loomwork.operators import blobs, console, history, quality, serving
+from loomwork.operators import blobs, console, history, quality
+from loomwork.plans import pipeline
 from loomwork.sources import registry
 from loomwork.sources.lake import Lake, detail, lookup
 
@@ -26,54 +27,85 @@ def lake(spark, tmp_path):
 
 def test_nothing_stored_yet(lake):
     assert lake.artifacts().count() == 0 and lake.artifacts().schema.names == schemas.ARTIFACTS.names
-    assert lake.edges().count() == 0 and lake.next_batch() == 0
+    assert lake.edges().count() == 0 and lake.new_batch() != lake.new_batch()
     for name, schema in schemas.GOLD.items():
         assert lake.gold(name).schema.names == schema.names and lake.gold(name).count() == 0
-    panels = serving.summary(lake.artifacts(), lake.edges(), {n: lake.gold(n) for n in schemas.GOLD})
+    panels = pipeline.dashboard(lake)
     assert panels["top_authors"].count() == 0 and panels["edges_total"].first()["n"] == 0
+    assert panels["cross_silo"].count() == 0 and panels["hotspots"].count() == 0
 
 
 def test_append_is_idempotent(spark, lake):
-    assert lake.append_artifacts(arts(spark, "a", "b"), 0) == 2
-    assert lake.append_artifacts(arts(spark, "b", "c", text="new"), 1) == 1
-    assert lake.append_artifacts(arts(spark, "a", "b", "c"), 2) == 0
+    assert lake.append_artifacts(arts(spark, "a", "b"), "0") == 2
+    assert lake.append_artifacts(arts(spark, "b", "c", text="new"), "1") == 1
+    assert lake.append_artifacts(arts(spark, "a", "b", "c"), "2") == 0
+    # A repeated batch adds nothing.
+    assert lake.append_artifacts(arts(spark, "b", "c", text="again"), "1") == 0
     assert {r["id"]: r["text"] for r in lake.artifacts().collect()} == {"a": "x", "b": "x", "c": "new"}
-    # A repeated batch replaces itself.
-    assert lake.append_artifacts(arts(spark, "b", "c", text="again"), 1) == 1
-    assert lake.artifacts().filter("id = 'c'").first()["text"] == "again"
-    got = [(r["snapshot_id"], r["added_records"], r["total_records"]) for r in lake.snapshots().orderBy("snapshot_id").collect()]
-    assert sorted(n for _, n, _ in got) == [0, 1, 2] and max(t for _, _, t in got) == 3
+    got = [(r["snapshot_id"], r["added_records"], r["total_records"]) for r in lake.snapshots().orderBy("total_records").collect()]
+    assert got == [("0", 2, 2), ("1", 1, 3)]
 
 
-def test_unlogged_rows_stay_invisible(spark, lake):
-    lake.append_artifacts(arts(spark, "a"), 0)
-    from loomwork.sources.lake import with_month
+def test_writers_that_interleave_lose_nothing(spark, lake):
+    """A stream's epochs and syncs between them; batches have names of their own."""
+    lake.append_artifacts(arts(spark, "s0"), "stream-0")
+    lake.append_artifacts(arts(spark, "sync1", "sync2"), lake.new_batch())
+    lake.append_artifacts(arts(spark, "s1"), "stream-1")
+    lake.append_artifacts(arts(spark, "s1", "s2"), "stream-1")  # the epoch is tried again with one row more
+    assert [r[0] for r in rows(lake.artifacts(), "id")] == ["s0", "s1", "s2", "sync1", "sync2"]
 
-    half = with_month(arts(spark, "z")).withColumn("batch_id", F.lit(9).cast("long"))
-    half.write.mode("append").partitionBy("batch_id", "created_month").parquet(f"{lake.root}/artifacts")
-    assert rows(lake.artifacts(), "id") == [("a",)]
+
+def test_writers_that_add_one_id_at_the_same_time(spark, lake, monkeypatch):
+    """Neither sees the other's rows while it decides what is new; readers show the first."""
+    from datetime import datetime, timezone
+
+    from loomwork.operators import incremental
+
+    plain = incremental.new_artifacts
+    monkeypatch.setattr(incremental, "new_artifacts", lambda batch, existing, mode: plain(batch, existing.limit(0), mode))
+    late, early = (datetime(2024, 1, d, tzinfo=timezone.utc) for d in (2, 1))
+    assert lake.append_artifacts(arts(spark, "a", "b", text="late"), "x", at=late) == 2
+    assert lake.append_artifacts(arts(spark, "a", "c", text="early"), "y", at=early) == 2 - 1
+    assert {r["id"]: r["text"] for r in lake.artifacts().collect()} == {"a": "early", "b": "late", "c": "early"}
+    assert lake.existing_ids().count() == lake.artifacts().count() == 3
+
+
+def test_a_failed_append_leaves_nothing(spark, lake):
+    lake.append_artifacts(arts(spark, "a"), "0")
+    broken = arts(spark, "z").withColumn("title", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        lake.append_artifacts(broken, "1")
+    lake.append_artifacts(arts(spark, "b", day=2), "1")
+    assert rows(lake.artifacts(), "id") == [("a",), ("b",)]
 
 
 def test_latest_mode_and_as_of(spark, lake):
-    lake.append_artifacts(arts(spark, "a", text="v1"), 0)
+    lake.append_artifacts(arts(spark, "a", text="v1"), "0")
     cut = lake.log("artifacts").first()["committed_at"]
-    lake.append_artifacts(arts(spark, "a", text="v2"), 1, mode="latest")
+    lake.append_artifacts(arts(spark, "a", text="v2"), "1", mode="latest")
     assert lake.artifacts(mode="latest").first()["text"] == "v2"
     assert rows(lake.artifacts(as_of=str(cut)), "text") == [("v1",)]
 
 
 def test_months_are_partitions(spark, lake):
-    lake.append_artifacts(arts(spark, "a", day=1).unionByName(arts(spark, "b", day=2)), 0)
-    plan = lake._stored_artifacts().filter("created_month = '2024-02'")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(created_month" in plan
+    lake.append_artifacts(arts(spark, "a", day=1).unionByName(arts(spark, "b", day=2)), "0")
+    old = arts(spark, "old").withColumn("created_at", F.lit("2023-05-01").cast("timestamp"))
+    lake.append_artifacts(old, "1")
+    recent = lake.artifacts(since="2024-01-01")
+    assert rows(recent, "id") == [("a",), ("b",)]
+    assert "PartitionFilters: [isnotnull(created_month" in recent._jdf.queryExecution().toString()
     assert lake.get_artifact("a").count() == 1 and lookup(lake.artifacts(), []).count() == 0
 
 
 def test_edges_keep_one_row_per_key(spark, lake):
-    assert lake.append_edges(edges(spark, ("a", "b", "co_edited", 1.0), ("a", "b", "co_edited", 1.0)), 0) == 1
-    assert lake.append_edges(edges(spark, ("a", "b", "co_edited", 1.0)), 1) == 0
-    assert lake.append_edges(edges(spark, ("a", "b", "co_edited", 4.0)), 2) == 1
+    assert lake.append_edges(edges(spark, ("a", "b", "co_edited", 1.0), ("a", "b", "co_edited", 1.0)), "0") == 1
+    assert lake.append_edges(edges(spark, ("a", "b", "co_edited", 1.0)), "1") == 0
+    assert lake.append_edges(edges(spark, ("a", "b", "co_edited", 4.0)), "2") == 1
     assert rows(lake.edges(), "src_id", "weight") == [("a", 4.0)]
+    # Any relation may be sent again, with another weight or with none.
+    assert lake.append_edges(edges(spark, ("p", "q", "authored", 1.0), ("r", "s", "authored", None)), "3") == 2
+    assert lake.append_edges(edges(spark, ("p", "q", "authored", 2.0), ("r", "s", "authored", None)), "4") == 1
+    assert rows(lake.edges(), "src_id", "weight") == [("a", 4.0), ("p", 2.0), ("r", None)]
 
 
 def test_gold_is_overwritten(spark, lake):
@@ -96,8 +128,10 @@ def test_blobs(spark):
     for bad in ("http://x/y", "s3://", "s3://bucket", "s3:///key"):
         with pytest.raises(ValueError):
             blobs.fetch(put, bad)
-    sizes = spark.createDataFrame([("h", 10 * 1024 * 1024), ("h", 10 * 1024 * 1024 + 1)], "h string, n long")
-    assert [r[0] for r in sizes.select(blobs.bounded_uri(F.col("h"), F.col("n"), "w")).collect()] == ["s3://w/blobs/h", None]
+    behind = arts(spark, "a").withColumn("object_uri", F.lit(uri))
+    assert rows(blobs.resolve(behind, put), "id", "size") == [("a", 1)]
+    plan = blobs.resolve(behind, put.select("object_uri", "size"))
+    assert plan.count() == 1
 
 
 def test_detail(spark):
@@ -132,7 +166,11 @@ def test_console(spark):
 
 
 @pytest.mark.parametrize("sql", ["", None, "DROP TABLE artifacts", "insert into artifacts select 1", "SELEC 1",
-                                 "WITH x AS (SELECT 1) INSERT INTO artifacts SELECT * FROM x", "SELECT nope FROM artifacts"])
+                                 "WITH x AS (SELECT 1) INSERT INTO artifacts SELECT * FROM x", "SELECT nope FROM artifacts",
+                                 "SELECT TRANSFORM(id) USING 'echo x' AS (x) FROM artifacts", "SELECT * FROM parquet.`/tmp`",
+                                 "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')", "SELECT * FROM other",
+                                 "SELECT java_method('java.lang.System', 'nanoTime')",
+                                 "SELECT 1 WHERE EXISTS (SELECT * FROM text.`/etc/hosts`)"])
 def test_console_refuses(spark, sql):
     console.register({"artifacts": spark.range(1)})
     with pytest.raises(ValueError):
