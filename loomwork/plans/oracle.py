@@ -349,6 +349,23 @@ FROM files f JOIN file_extra x USING (id) JOIN file_text w USING (id)"""),
         "scan_kind": _silver(f"SELECT id, actor, title, {TS} FROM artifacts WHERE kind = 'ai_message'"),
         "scan_relation": _silver(f"SELECT src_id, dst_id, weight, {TS} FROM edges WHERE relation = 'ai_touched_file'"),
         "lookup_ids": _silver("SELECT id, kind, repo, title FROM artifacts WHERE id IN (SELECT dst_id FROM ai_touched)"),
+        "transcript_records": """
+SELECT CAST(conv_id AS VARCHAR) AS file, turn AS seq, role AS rtype, CAST(conv_id AS VARCHAR) AS session_id,
+       strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(turn AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS ts,
+       sha256(trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13))) AS text_digest,
+       CASE WHEN role = 'assistant' THEN '/x/' || turn || '.py' ELSE '' END AS paths
+FROM conversations WHERE role <> 'system'""",
+        "iso_times": """
+SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL
+       ELSE strftime(date_trunc('second', ts) - to_hours(CASE event_id % 4 WHEN 1 THEN 2 ELSE 0 END), '%Y-%m-%d %H:%M:%S') END AS parsed
+FROM events""",
+        "file_bytes": """
+WITH b AS (SELECT doc_id, text, doc_id % 5 = 0 AS nul, octet_length(encode(text)) + CAST(doc_id % 5 = 0 AS INTEGER) AS size FROM documents)
+SELECT doc_id, CASE WHEN nul THEN 'binary' ELSE 'text' END AS modality, size,
+       sha256(CASE WHEN nul THEN '[binary file txt, ' || size || ' bytes]'
+                   ELSE coalesce(nullif(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), ''), '') END) AS text_digest FROM b""",
+        "json_values": """
+SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders""",
         "blob_resolve": _silver("""
 SELECT a.id, a.object_uri, b.size FROM artifacts a
 JOIN (SELECT DISTINCT 's3://work/blobs/' || sha256(p_name) AS object_uri, octet_length(encode(p_name)) AS size FROM part) b

@@ -14,7 +14,7 @@ from loomwork.operators import (
 )
 from loomwork.plans.bindings import BUCKET, Tables
 from loomwork.session import scratch_path, tune
-from loomwork.sources import lake
+from loomwork.sources import lake, transcripts
 from loomwork.sources.lake import Lake
 from loomwork.streaming import changes, daily, ingest
 
@@ -101,6 +101,56 @@ def lookup_ids(t: Tables) -> DataFrame:
     return lake.lookup(t.artifacts, wanted).select("id", "kind", "repo", "title")
 
 
+@query
+def transcript_records(t: Tables) -> DataFrame:
+    """Conversation turns as JSON lines, some of them broken, parsed into records."""
+    said = F.coalesce("text", F.lit(""))
+    call = F.struct(F.lit("tool_use").alias("type"), F.struct(F.concat(F.lit("/x/"), "turn", F.lit(".py")).alias("file_path")).alias("input"))
+
+    def line(content: Column) -> Column:
+        message = F.struct("role", content.alias("content")).alias("message")
+        at = F.date_format(F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("turn").cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        return F.to_json(F.struct(F.col("role").alias("type"), F.col("conv_id").cast("string").alias("sessionId"), at.alias("timestamp"), message))
+
+    block = F.struct(F.lit("text").alias("type"), said.alias("text"))
+    blocks = F.array(F.to_json(block), F.to_json(call))
+    whole = F.replace(line(F.lit("BLOCKS")), F.lit('"BLOCKS"'), F.concat(F.lit("["), F.array_join(blocks, ","), F.lit("]")))
+    lines = t.read("conversations").select(
+        F.col("conv_id").cast("string").alias("file"), F.lit(0).cast("long").alias("block"), F.col("turn").alias("seq"),
+        F.when(F.col("role") == "system", "{broken").when(F.col("role") == "assistant", whole).otherwise(line(said)).alias("line"),
+    )
+    return transcripts.parse(lines).select(
+        "file", "seq", "rtype", "session_id", stamp("ts").alias("ts"), F.sha2("text", 256).alias("text_digest"),
+        F.array_join("paths", ",").alias("paths"),
+    )
+
+
+@query
+def iso_times(t: Tables) -> DataFrame:
+    """P5: event times as text in four forms, one of them no time at all."""
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    form = F.col("event_id") % 4
+    said = F.when(form == 0, F.concat(at, F.lit("Z"))).when(form == 1, F.concat(at, F.lit("+02:00"))).when(form == 2, at)
+    return _events(t).select("event_id", stamp(text.parse_iso(F.coalesce(said, F.lit("soon")))).alias("parsed"))
+
+
+@query
+def file_bytes(t: Tables) -> DataFrame:
+    """Documents as the bytes of text files; every fifth ends with a NUL."""
+    path = F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    tail = F.when(F.col("doc_id") % 5 == 0, F.lit(bytearray(b"\x00"))).otherwise(F.lit(bytearray()))
+    rows = t.read("documents").select("doc_id", path.alias("path"), F.concat(F.col("text").cast("binary"), tail).alias("content"))
+    rows = rows.withColumn("size", F.octet_length("content").cast("long")).withColumn("modality", files.classify(F.col("path"), F.col("content")))
+    said = files.file_text(F.col("path"), F.col("content"), F.col("size"), F.col("modality"))
+    return rows.select("doc_id", "modality", "size", F.sha2(said, 256).alias("text_digest"))
+
+
+@query
+def json_values(t: Tables) -> DataFrame:
+    """P20: orders as a console page shows them."""
+    return console.jsonable(t.read("orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority"))
+
+
 @query
 def blob_resolve(t: Tables) -> DataFrame:
     """The size of the bytes behind each artifact."""
@@ -112,19 +162,23 @@ def blob_resolve(t: Tables) -> DataFrame:
 
 @query
 def incremental_append(t: Tables) -> DataFrame:
-    """A batch that is sent twice, over commits stored up to 1998."""
-    stored = t.commit_rows.filter(F.col("created_at") < F.lit("1998-01-01").cast("timestamp"))
-    batch = t.commit_rows.unionByName(t.commit_rows)
-    return incremental.new_artifacts(batch, stored).select("id", "repo", stamp("created_at").alias("created_at"))
+    """What a stored table gains by a batch that is sent twice, over commits stored up to 1998."""
+    store = Lake(t.spark, scratch_path(t.spark, "append"))
+    store.append_artifacts(t.commit_rows.filter(F.col("created_at") < F.lit("1998-01-01").cast("timestamp")), "old")
+    for name in ("new", "again"):
+        store.append_artifacts(t.commit_rows.unionByName(t.commit_rows), name)
+    added = store.artifacts(since="1998-01-01")
+    return added.select("id", "repo", stamp("created_at").alias("created_at"))
 
 
 @query
 def edges_upsert(t: Tables) -> DataFrame:
-    """Co-edits of all commits, updated by those of the commits since 1998."""
+    """Stored co-edits of all commits, updated by those of the commits since 1998."""
     late = t.present.filter(F.col("created_at") >= F.lit("1998-01-01").cast("timestamp"))
-    return incremental.upsert_edges(silver.co_edited(t.present), silver.co_edited(late)).select(
-        "src_id", "dst_id", "relation", "weight"
-    )
+    store = Lake(t.spark, scratch_path(t.spark, "upsert"))
+    for name, batch in (("all", t.present), ("late", late), ("again", late)):
+        store.append_edges(silver.co_edited(batch), name)
+    return store.edges().select("src_id", "dst_id", "relation", "weight")
 
 
 @query
