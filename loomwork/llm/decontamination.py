@@ -295,5 +295,4 @@ def digest(marked: DataFrame, key: str = "doc_id", out: str = "contamination") -
     return marked.select(
         key, c["n_words"].alias("n_words"), hit.alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
-        c["longest"]["n_words"].alias("longest_words"), c["longest"]["item_id"].alias("longest_item"),
     )

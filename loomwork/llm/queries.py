@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomwork.llm import decontamination, embedding_dedup, language_id, minhash_dedup, packing, personal_data, quality, secrets, sharding, suffix_dedup
+from loomwork.llm import decontamination, embedding_dedup, language_id, minhash_dedup, oracle, packing, personal_data, quality, secrets, sharding, suffix_dedup
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.sql()
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
