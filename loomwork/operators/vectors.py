@@ -235,6 +235,31 @@ def search_many(
     return answers
 
 
+def encode_questions(
+    questions: DataFrame, make_encoder: Callable[[], Encoder] | None = None, dim: int = DIM
+) -> DataFrame:
+    """query_id, query_vector of (query_id, question), by the encoder that made the stored vectors."""
+    rows = questions.select("query_id", F.coalesce("question", F.lit("")).alias("question"))
+    made = (
+        hashing_vectors(rows, "question", dim) if make_encoder is None
+        else encoded_vectors(rows, "question", make_encoder)
+    )
+    return made.select("query_id", F.col("vector").alias("query_vector"))
+
+
+def search_text(
+    vectors: DataFrame,
+    questions: DataFrame,
+    k: int = TOP_K,
+    kind: str | None = None,
+    repo: str | None = None,
+    make_encoder: Callable[[], Encoder] | None = None,
+    dim: int = DIM,
+) -> DataFrame:
+    """The nearest rows of every question, asked as text."""
+    return search_many(vectors, encode_questions(questions, make_encoder, dim), k, kind, repo)
+
+
 # --- V4: context for a grounded answer ---
 
 # Fixed value: what an answer says when nothing was found.

@@ -116,6 +116,13 @@ def test_a_second_sync_changes_nothing(spark, work, commit_log, logs, tmp_path):
     quality.require_enums(lake.artifacts(), lake.edges())
     assert quality.embedding_coverage(lake.artifacts(), lake.vectors()).first()["passed"]
 
+    # Questions are asked as text and encoded like the stored vectors.
+    asked = spark.createDataFrame([(1, "parser question"), (2, "def parse"), (3, None)], "query_id int, question string")
+    hits = {r["query_id"]: r["title"] for r in pipeline.search(lake, asked, k=1).filter("score > 0").collect()}
+    assert hits[1] == "parser question" and hits[2].endswith((".py",)) and 3 not in hits
+    told = {r["query_id"]: r for r in pipeline.context_for(lake, asked, k=2).collect()}
+    assert told[1]["n_hits"] == 2 and "title: parser question" in told[1]["context"]
+
     before = rows(lake.artifacts()), rows(lake.edges())
     again = {r["kind"]: r["added"] for r in pipeline.sync_once(lake, at, logs, "me").collect()}
     assert again["embedding"] == 0 and "marts" not in again
