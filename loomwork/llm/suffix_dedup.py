@@ -76,6 +76,13 @@ def anchors(data: np.ndarray, offs: np.ndarray, least: int = LEAST) -> tuple[np.
     return place, digest[place], np.searchsorted(offs, place, "right") - 1
 
 
+def gram_digest(around: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """The digest of the anchor that stands amid the bytes around each suffix."""
+    side = least - GRAM
+    gram = np.ascontiguousarray(around[:, side : side + GRAM]).view("<u8").astype(np.uint64)
+    return tb.mix(gram[:, 0] * _C1 + gram[:, 1] * _C2)
+
+
 def _packed(bucket: np.ndarray, slice_: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     """One row for each bucket with the slice and its entries as compressed arrays."""
     order = np.argsort(bucket, kind="stable")
@@ -108,7 +115,7 @@ def _store(batches):
             ids = part.column(part.schema.get_field_index("doc_id"))
             known = np.asarray(ids.is_valid())
             ids = ids.fill_null(0).to_numpy()
-            row = [number, _shrink(ids), _shrink(known), _shrink(offs), zstandard.ZstdCompressor(level=3).compress(data.tobytes())]
+            row = [number, _shrink(ids), _shrink(known), _shrink(offs), zstandard.ZstdCompressor(level=6).compress(data.tobytes())]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["slice", "ids", "known", "offs", "text"])
             number += 1
 
@@ -212,13 +219,13 @@ def _send_suffixes(short: Short, buckets: int, least: int):
                 bytes_ = data[np.clip(at, 0, len(data) - 1)]
                 bytes_[(at < (p - x)[:, None]) | (at >= (p + y)[:, None])] = 0
                 found = _packed(digest[s] % np.uint64(buckets), slice_, {
-                    "anchors": digest[s], "docs": ids[t], "rows": t.astype(np.int32), "places": (p - offs[t]).astype(np.int32),
+                    "docs": ids[t], "rows": t.astype(np.int32), "places": (p - offs[t]).astype(np.int32),
                     "lefts": x.astype(np.uint8), "rights": y.astype(np.uint8), "around": bytes_,
                 })
                 yield tb.replace_column(found, ["spans"], [pa.nulls(found.num_rows, pa.binary())])
             if len(spans):
-                empty = [pa.array([b""], pa.binary())] * 7
-                names = ["bucket", "slice", "anchors", "docs", "rows", "places", "lefts", "rights", "around", "spans"]
+                empty = [pa.array([b""], pa.binary())] * 6
+                names = ["bucket", "slice", "docs", "rows", "places", "lefts", "rights", "around", "spans"]
                 yield pa.RecordBatch.from_arrays([pa.array([slice_ % buckets]), pa.array([slice_]), *empty, pa.array([_shrink(spans)], pa.binary())], names=names)
 
     return step
@@ -334,9 +341,10 @@ def _spans(least: int):
             if table.num_rows:
                 counts = [len(_grow(v, np.uint8)) for v in table.column("lefts").to_pylist()]
                 place = _unpacked(table, "places", np.int32)
+                around = _unpacked(table, "around", np.uint8).reshape(len(place), -1)
                 near, far = covered(
-                    _unpacked(table, "anchors", np.uint64), _unpacked(table, "docs", np.int64), _unpacked(table, "lefts", np.uint8),
-                    _unpacked(table, "rights", np.uint8), _unpacked(table, "around", np.uint8).reshape(len(place), -1), least,
+                    gram_digest(around, least), _unpacked(table, "docs", np.int64), _unpacked(table, "lefts", np.uint8),
+                    _unpacked(table, "rights", np.uint8), around, least,
                 )
                 spans = np.stack([_unpacked(table, "rows", np.int32), place - far, place - near + least], 1).astype(np.int32)
                 at = 0
@@ -394,7 +402,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, key: str = "doc_id", tex
     buckets = max(1, -(-count // ANCHORS_PER_SUFFIX_BUCKET))
     sent = stored.join(shared, "slice", "left").mapInArrow(
         _send_suffixes(short, buckets, least),
-        "bucket long, slice long, anchors binary, docs binary, rows binary, places binary, lefts binary, rights binary, around binary, spans binary",
+        "bucket long, slice long, docs binary, rows binary, places binary, lefts binary, rights binary, around binary, spans binary",
     )
     spans = _dealt(sent, buckets).mapInArrow(_spans(least), "slice long, spans binary")
     spans = spans.groupBy("slice").agg(F.collect_list("spans").alias("spans"))
