@@ -18,17 +18,19 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: every vertex points its larger neighbours at its least
     one, then its smaller ones. The links shrink to stars in a number of rounds that grows with the
-    logarithm of the vertices. Neighbours are never collected; a vertex with very many is one value
-    of an aggregate that is combined before the shuffle, and the joins may be split.
+    logarithm of the vertices. Neighbours are never collected: a vertex with very many is one value
+    of an aggregate that is combined before the shuffle. The least neighbours are written before they are
+    joined, so that the engine sees two plain shuffles and can split a vertex that most links have.
     """
     links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     links = materialize(links, "links")
     before = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _least(both).withColumn("low", F.least("u", "low"))
+        low = materialize(_least(both).withColumn("low", F.least("u", "low")), "least")
         links = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        own = _least(links)
+        links = materialize(links, "links")
+        own = materialize(_least(links), "least")
         links = links.join(own, "u").select(F.explode(F.array(F.struct("u", "low"), F.struct(F.col("v").alias("u"), "low"))).alias("s"))
         links = links.select("s.u", F.col("s.low").alias("v")).where("u <> v").distinct()
         links = materialize(links, "links")

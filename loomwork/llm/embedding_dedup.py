@@ -190,7 +190,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     component = connected_components(found.where("v is not null").select("u", "v"))
     links = found.where("v is null").groupBy(F.col("u").alias("vertex")).agg(F.sum("n").alias("n"))
     whole = classes.join(component, "vertex", "left").join(links, "vertex", "left").withColumn("root", F.coalesce("component", "vertex"))
-    least = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
+    # Written, so that the join sees two plain shuffles and a component of most classes can be split.
+    whole = materialize(whole, "roots")
+    least = materialize(whole.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     whole = whole.join(least, "root").select(
         F.col("vector").alias("class_vector"), "component_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")
     )

@@ -246,7 +246,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     component = connected_components(dealt.mapInArrow(_verify, "u long, v long"))
 
     whole = classes.select("key", "rep", "vertex").join(component, "vertex", "left").withColumn("root", F.coalesce("component", "vertex"))
-    least = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
+    # Written, so that the join sees two plain shuffles and a component of most classes can be split.
+    whole = materialize(whole, "roots")
+    least = materialize(whole.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     found = whole.join(least, "root").select(F.col("key").alias("class_key"), "component_id")
     out = signed.join(found, F.col("key") == F.col("class_key"), "left")
     component_id = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
