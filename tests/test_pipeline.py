@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import naive, rows
 from loomwork.operators import quality
 from loomwork.plans import pipeline
+from loomwork.session import shared_dir
 from loomwork.sources import folder, registry
 from loomwork.sources.lake import Lake
 from loomwork.streaming import changes  # noqa: F401  (imports must not need a session)
@@ -87,7 +89,10 @@ def test_a_second_sync_changes_nothing(spark, work, commit_log, logs, tmp_path):
     registry.add(spark, at, str(work), "folder")
     registry.add(spark, at, commit_log, "repo")
     registry.add(spark, at, "/not/there", "folder")
+    scratch = os.path.join(shared_dir(spark), "loomwork")
+    kept = set(os.listdir(scratch)) if os.path.isdir(scratch) else set()
     steps = pipeline.sync_once(lake, at, logs, "me")
+    assert set(os.listdir(scratch)) <= kept  # intermediate tables are gone
     out = {(r["kind"], r["status"]): r for r in steps.collect()}
     assert out["repo", "done"]["added"] == 4 and out["transcripts", "done"]["added"] == 1
     assert "/not/there" in out["folder", "failed"]["error"] and out["folder", "done"]["error"] is None
