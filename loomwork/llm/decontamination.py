@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from loomwork.llm import textbytes as tb
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes of benchmark text whose suffixes one map step carries; an item is not split.
 BLOCK_BYTES = 8 << 20
 

@@ -62,7 +62,8 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, np.bool_)
         self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how the space is written
-        self.slot: dict[int, int] = {}
+        # Digests of known words in order, and where each word's ids are in the pool.
+        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.pool, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     @classmethod
@@ -111,8 +112,11 @@ class Encoder:
         spaced[~spaced] = heads > offs[np.searchsorted(offs, heads, "right") - 1]
         digest = tb.range_digests(data, starts, ends)
         unique, sample, word = np.unique(np.where(spaced, digest, ~digest), return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        slot = np.fromiter((self.slot.get(k, -1) for k in keys), np.int64, len(keys))
+        slot = np.full(len(unique), -1)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)
+            known = self.keys[at] == unique
+            slot[known] = self.slots[at[known]]
         missing = np.flatnonzero(slot < 0)
         raw = data.tobytes()
         missing = np.concatenate([missing[~spaced[sample[missing]]], missing[spaced[sample[missing]]]])
@@ -125,7 +129,9 @@ class Encoder:
         size = np.concatenate([self.size, sizes])
         slot[missing] = len(self.size) + np.arange(len(missing))
         if len(size) <= KNOWN_WORDS:
-            self.slot.update(zip((keys[i] for i in missing), slot[missing].tolist()))
+            keys = np.concatenate([self.keys, unique[missing]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.slots = keys[order], np.concatenate([self.slots, slot[missing]])[order]
             self.pool, self.first, self.size = pool, first, size
         slot = slot[word]
         length = size[slot]

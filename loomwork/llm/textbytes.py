@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -99,7 +99,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         p = np.full(n, base, np.uint64)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
-    if n <= 2 * SLICE_BYTES:
+    if n <= 2 * SLICE_BYTES + 1:
         _POWERS["up"], _POWERS["down"] = out
     return out[0], out[1]
 
