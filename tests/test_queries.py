@@ -59,7 +59,7 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 def test_limits_per_key_apply_before_the_shuffle(spark):
-    for name in ("file_commit_titles", "incremental_append", "console_window_topn"):
+    for name in ("commits_newest", "console_window_topn"):
         plan = _plan(entry.queries()[name](spark, SF))
         assert "Partial" in plan[plan.index("WindowGroupLimit"):], name
 

@@ -76,13 +76,14 @@ def test_last_touch_defaults_to_head(log):
     assert got["a.py"] == naive(2024, 1, 3) and got["new.py"] == naive(2024, 2, 1)
 
 
-def test_ten_newest_distinct_titles(spark):
+def test_distinct_titles_newest_first(spark):
     data = [("r", f"c{i}", "x", naive(2024, 1, 1 + i), f"title {i % 13}", "m", ["f"]) for i in range(26)]
     commits = spark.createDataFrame(data, COMMITS)
     tree = spark.createDataFrame([("r", "f")], "repo string, path string")
     present = silver.present_touches(silver.touches_of(commits), tree)
     got = silver.recent_titles(present, commits).first()["titles"]
-    assert got == [f"title {i % 13}" for i in range(25, 15, -1)]
+    assert got == [f"title {i % 13}" for i in range(25, 12, -1)]
+    assert silver.recent_titles(present, commits, 10).first()["titles"] == got[:10]
 
 
 def test_file_text_lists_commits(spark):

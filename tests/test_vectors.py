@@ -45,7 +45,7 @@ def test_filters_apply_before_ranking(table):
     got = vectors.search(df, data[1][1], 10, kind="commit", repo="s")
     assert ids(got) == brute(data, data[1][1], 10, lambda d: d[2] == "commit" and d[4] == "s")
     hit = got.first()
-    assert len(hit["snippet"]) == 400 and 0 <= hit["score"] <= 1 and hit["actor"] == ""
+    assert len(hit["snippet"]) == 500 and 0 <= hit["score"] <= 1 and hit["actor"] == ""
 
 
 def test_nothing_to_search(table):
