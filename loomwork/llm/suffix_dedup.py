@@ -26,6 +26,7 @@ whole; an empty table gives no rows. Columns besides the id and the text are not
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +43,7 @@ from loomwork.session import materialize
 LEAST = 50
 GRAM = 16
 SLICE = 4 << 20
+PART = 1 << 20
 #: About as many anchors as a bucket of anchors holds, and as a bucket of suffixes would hold if all were shared.
 ANCHORS_PER_BUCKET = 1_000_000
 ANCHORS_PER_SUFFIX_BUCKET = 250_000
@@ -49,8 +51,28 @@ ANCHORS_PER_SUFFIX_BUCKET = 250_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def parts_of(offs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``PART`` bytes, so that what is computed per byte stays small."""
+    row = 0
+    while row < len(offs) - 1:
+        end = max(row + 1, int(np.searchsorted(offs, offs[row] + PART, "right")) - 1)
+        yield row, end
+        row = end
+
+
 def anchors(data: np.ndarray, offs: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places, digests and texts of the anchors of all strings of ``least`` bytes within one text."""
+    found = [_anchors(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], least) for a, b in parts_of(offs)]
+    if not found:
+        return _anchors(data, offs, least)
+    shift = [(offs[a], a) for a, _ in parts_of(offs)]
+    return (
+        np.concatenate([p + at for (p, _, _), (at, _) in zip(found, shift)]), np.concatenate([d for _, d, _ in found]),
+        np.concatenate([t + row for (_, _, t), (_, row) in zip(found, shift)]),
+    )
+
+
+def _anchors(data: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, window = len(data), least - GRAM + 1
     lengths = np.diff(offs)
     if n < least or lengths.max(initial=0) < least:
@@ -203,7 +225,11 @@ def _send_suffixes(short: Short, buckets: int, least: int):
             pick = (shared | np.isin(short.of(unique), told))[number]
             place, digest, text = place[pick], digest[pick], text[pick]
             left, right = np.minimum(place - offs[text], side), np.minimum(offs[text + 1] - place, least)
-            around = tb.range_digests(data, place - left, place + right) + left.astype(np.uint64)
+            first = np.searchsorted(text, np.arange(len(offs)))
+            around = np.concatenate([
+                tb.range_digests(data[offs[a] : offs[b]], (place - left)[s] - offs[a], (place + right)[s] - offs[a])
+                for a, b in parts_of(offs) for s in (slice(first[a], first[b]),)
+            ]) + left.astype(np.uint64)
             order = np.lexsort((ids[text], around, digest))
             new = np.concatenate([[True], (around[order[1:]] != around[order[:-1]]) | (digest[order[1:]] != digest[order[:-1]])])[: len(order)]
             lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
@@ -212,8 +238,8 @@ def _send_suffixes(short: Short, buckets: int, least: int):
             done = later & (left + right >= least)
             spans = np.stack([text, place - left - offs[text], place + right - offs[text]], 1)[done].astype(np.int32)
             send = np.flatnonzero(~later)
-            for a in range(0, len(send), 50_000):
-                s = send[a : a + 50_000]
+            for a in range(0, len(send), 20_000):
+                s = send[a : a + 20_000]
                 p, t, x, y = place[s], text[s], left[s], right[s]
                 at = p[:, None] + np.arange(-side, least)
                 bytes_ = data[np.clip(at, 0, len(data) - 1)]
@@ -367,7 +393,7 @@ def _cut(batches):
         edge = np.zeros(len(data) + 1, np.int32)
         np.add.at(edge, offs[spans[:, 0]] + spans[:, 1], 1)
         np.add.at(edge, offs[spans[:, 0]] + spans[:, 2], -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
         begin = gone & ~np.concatenate([[False], gone[:-1]])[: len(gone)]
         heads = offs[:-1][offs[:-1] < len(data)]
         begin[heads] = gone[heads]
