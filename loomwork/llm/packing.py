@@ -15,7 +15,8 @@ and their number among the pieces of that length; numbers are dealt in blocks, s
 pieces have is not one task's work.
 
 Null texts count as empty: one piece holding the end id. Rows with equal ids or texts are packed one by
-one; other columns are not read; an empty table gives no rows. Very long texts are encoded whole.
+one; other columns are not read; an empty table gives no rows. Very long texts are encoded whole. An
+added token's content in a text gets the token's id, as in ``encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -51,14 +52,15 @@ class Encoder:
     A text is then the join of its words, each with the space before it. Words are told apart by
     64-bit digests; the ids of words seen before are kept, up to ``KNOWN_WORDS`` of them. Texts in
     which a space stands before white space or at the end are encoded whole, as the tokenizer may
-    join it with what is around it.
+    join it with what is around it; so are texts that hold the content of an added token, such as
+    ``<|endoftext|>``, which gets its own id wherever it stands, as in the library's plain ``encode``.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, np.bool_)
         self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how the space is written
@@ -83,9 +85,10 @@ class Encoder:
         for a in range(0, len(words), 1000):
             part = words[a : a + 1000]
             if all(w and not w[0].isspace() for w in part):
-                ids = self.whole([" " + " ".join(part)])[0]
+                text = " " + " ".join(part)
+                ids = self.whole([text])[0]
                 cuts = np.flatnonzero(self.opens[ids])
-                if len(cuts) == len(part) and cuts[0] == 0:
+                if len(cuts) == len(part) and cuts[0] == 0 and not any(t in text for t in self.added):
                     out += np.split(ids, cuts[1:])
                     continue
             out += self.whole([" " + w for w in part])
@@ -103,6 +106,16 @@ class Encoder:
         bad = space[_SPACES[one] | wide | at_end[space + 1]]
         return np.unique(np.searchsorted(offs, bad, "right") - 1)
 
+    def _holding_added(self, raw: bytes, offs: np.ndarray) -> np.ndarray:
+        """Texts with the content of an added token; one that runs on into the next text does no harm."""
+        found = []
+        for token in self.added:
+            at = raw.find(token.encode())
+            while at >= 0:
+                found.append(at)
+                at = raw.find(token.encode(), at + 1)
+        return np.unique(np.searchsorted(offs, np.array(found, np.int64), "right") - 1)
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         """Token ids of each text."""
         starts, ends, before = tb.words(data, offs, _WORD)
@@ -138,7 +151,7 @@ class Encoder:
         upto = np.concatenate([[0], np.cumsum(length)])
         ids = pool[np.repeat(first[slot] - upto[:-1], length) + np.arange(upto[-1])]
         out = [ids[a:b] for a, b in zip(upto[before[:-1]], upto[before[1:]])]
-        rest = self._joined(data, offs)
+        rest = np.union1d(self._joined(data, offs), self._holding_added(raw, offs))
         for t, found in zip(rest, self.whole([raw[offs[t] : offs[t + 1]].decode() for t in rest])):
             out[t] = found
         return out

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from odd_documents import frame, rows
 from pyspark.sql import functions as F
+from tokenizers import AddedToken, Tokenizer
 
 import corpus_pipeline
 from loomwork.llm import language_id, packing, quality
@@ -50,6 +51,38 @@ def test_words_encode_like_whole_texts(monkeypatch):
         encoder = packing.Encoder(PATH)
 
 
+def library(path, texts):
+    """Token ids by the library's plain call, with nothing set on the tokenizer."""
+    tokenizer = Tokenizer.from_file(path)
+    return [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_added_tokens_encode_as_in_the_library(tmp_path):
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.add_tokens(["the cat", "aa", AddedToken(" é", lstrip=True)])
+    tokenizer.save(more := str(tmp_path / "more.json"))
+    rng = random.Random(3)
+    parts = ["a", "aa", "the", "cat", "é", "dog", " ", " ", " ", "\n", "<|endoftext|>", "<|endof", "text|>", "日本"]
+    texts = ["end <|endoftext|> start", "a", "aa", ""] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(5000)]
+    for path in (PATH, more):
+        encoder, want = packing.Encoder(path), library(path, texts)
+        for a in range(0, len(texts), 500):
+            got = encoder.encode(*tb.text_bytes(pa.array(texts[a : a + 500])))
+            assert [x.tolist() for x in got] == want[a : a + 500]
+
+
+def test_added_tokens_in_pieces(spark):
+    docs = [(1, "end <|endoftext|> start"), (2, "<|endoftext|>" * 1500), (3, "end start")]
+    want = Counter()
+    for (i, _), ids in zip(docs, library(PATH, [t for _, t in docs])):
+        ids = ids + [2]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)] if len(ids) > 1024 else [0, len(ids)]
+        for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            want[(i, p, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))] += 1
+    got = packing.pack(frame(spark, docs), PATH).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+
+
 def test_pieces_round_trip(spark):
     pieces = packing.pack(frame(spark), PATH).collect()
     encoder = packing.Encoder(PATH)
