@@ -16,13 +16,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomwork.functions import text
 from loomwork.schemas import VECTORS, conform
+from loomwork.session import materialize
 
 # Size of a vector, texts per encoder call, hits per search and per context.
 DIM = 384
 ENCODE_BATCH = 64
 TOP_K, CONTEXT_K = 10, 6
-# Queries answered by one pass over the vectors; this many vectors travel to every task.
-MAX_QUERIES = 1024
+# About as many queries as a tile answers at a time, rows as a tile has, and queries as are scored together.
+MAX_QUERIES, TILE_ROWS, SCORED = 1024, 16_384, 128
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
@@ -119,22 +120,23 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.reshape(len(column), dim)
 
 
+def _best(scores: np.ndarray, ids: list, k: int) -> np.ndarray:
+    """Positions of the k best by (rank score desc, id)."""
+    rank = np.round(scores, RANK_DECIMALS)
+    if len(rank) > k:
+        bound = np.partition(rank, len(rank) - k)[len(rank) - k]
+        keep = np.flatnonzero(rank >= bound)
+    else:
+        keep = np.arange(len(rank))
+    order = sorted(keep.tolist(), key=lambda i: (-rank[i], ids[i]))
+    return np.asarray(order[:k], dtype=np.int64)
+
+
 def _local_hits(query_ids: list, queries: np.ndarray, k: int, schema: pa.Schema):
     """Scan function of one task: per query keeps the ``k`` best rows seen, and emits those."""
     queries = _unit(queries)
     dim = queries.shape[1]
 
-    def best(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Positions of the k best by (rank score desc, id)."""
-        rank = np.round(scores, RANK_DECIMALS)
-        if len(rank) > k:
-            bound = np.partition(rank, len(rank) - k)[len(rank) - k]
-            keep = np.flatnonzero(rank >= bound)
-        else:
-            keep = np.arange(len(rank))
-        order = sorted(keep.tolist(), key=lambda i: (-rank[i], ids[i]))
-        return np.asarray(order[:k], dtype=np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table | None] = [None] * len(query_ids)
         for batch in batches:
@@ -146,11 +148,11 @@ def _local_hits(query_ids: list, queries: np.ndarray, k: int, schema: pa.Schema)
             scores = _unit(_matrix(vectors, dim)) @ queries.T
             plain = rows.drop_columns(["vector"])
             for q in range(len(query_ids)):
-                pick = best(scores[:, q], ids)
+                pick = _best(scores[:, q], ids, k)
                 found = plain.take(pa.array(pick)).append_column("raw", pa.array(scores[pick, q]))
                 if held[q] is not None:
                     found = pa.concat_tables([held[q], found])
-                    again = best(found.column("raw").to_numpy(), found.column("id").to_pylist())
+                    again = _best(found.column("raw").to_numpy(), found.column("id").to_pylist(), k)
                     found = found.take(pa.array(again))
                 held[q] = found
         for q, found in enumerate(held):
@@ -200,6 +202,54 @@ def search(
     return _answer(rows, [0], matrix, k, T.LongType()).drop("query_id")
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Table]]:
+    """(tile, part, rows) of batches sorted by tile and part; memory holds one group and one batch."""
+    held: list[pa.RecordBatch] = []
+    key = (-1, -1)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tile, part = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("tile", "part"))
+        cuts = [0, *(np.flatnonzero(np.diff(tile) | np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and key != (tile[a], part[a]):
+                yield *key, pa.Table.from_batches(held)
+                held = []
+            key = (int(tile[a]), int(part[a]))
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield *key, pa.Table.from_batches(held)
+
+
+def _tile_hits(k: int, schema: pa.Schema):
+    """Reduce step: the ``k`` best rows of a tile for each query; the tile's rows come before the blocks of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = rows = ids = matrix = None
+        for here, part, table in _groups(batches):
+            if part == 0:
+                tile, rows, ids = here, table.column("row"), table.column("id").to_pylist()
+                flat = table.column("vector").combine_chunks()
+                matrix = _unit(_matrix(flat, len(flat[0])))
+                continue
+            if here != tile:
+                continue
+            for a in range(0, table.num_rows, SCORED):
+                asked = table.slice(a, SCORED)
+                flat = asked.column("query_vector").combine_chunks()
+                scores = matrix @ _unit(_matrix(flat, matrix.shape[1])).T
+                picks = [_best(scores[:, q], ids, k) for q in range(asked.num_rows)]
+                owner = pa.array(np.repeat(np.arange(asked.num_rows), [len(p) for p in picks]))
+                pick = np.concatenate(picks)
+                found = [
+                    asked.column("query_id").take(owner), rows.take(pa.array(pick)), pa.array([ids[i] for i in pick]),
+                    pa.array(scores[pick, owner.to_numpy()]),
+                ]
+                yield from pa.table(found, names=schema.names).cast(schema).combine_chunks().to_batches()
+
+    return run
+
+
 def search_many(
     vectors: DataFrame,
     queries: DataFrame,
@@ -207,32 +257,41 @@ def search_many(
     kind: str | None = None,
     repo: str | None = None,
     max_queries: int = MAX_QUERIES,
+    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Nearest rows of every query. ``queries``: query_id, query_vector.
 
-    Each pass over the vectors answers up to ``max_queries`` queries: their vectors go to the
-    tasks, every task returns its ``k`` best rows per query, and only those are ranked. No pair
-    of a query and a row is materialised. A larger query table takes more passes; how many is
-    measured before anything is fetched.
+    The searched rows are written once with a number each. Their vectors are dealt to tiles of about
+    ``tile_rows``; the queries are sent to every tile, and a tile answers them in blocks of about
+    ``max_queries`` with its ``k`` best rows per query. Only those are ranked, and only the rows that
+    remain get their shown columns. No pair of a query and a row is materialised and no query passes
+    through the driver.
     """
-    rows = _candidates(vectors, kind, repo)
-    usable = queries.filter(F.size("query_vector") > 0)
-    passes = -(-usable.count() // max_queries)
-    id_type = queries.schema["query_id"].dataType
-    answers = None
-    lower = None
-    for _ in range(max(passes, 1)):
-        rest = usable if lower is None else usable.filter(F.col("query_id") > F.lit(lower))
-        chunk = rest.orderBy("query_id").limit(max_queries).collect()
-        if not chunk:
-            break
-        lower = chunk[-1]["query_id"]
-        matrix = np.asarray([r["query_vector"] for r in chunk], dtype=np.float64)
-        part = _answer(rows, [r["query_id"] for r in chunk], matrix, k, id_type)
-        answers = part if answers is None else answers.unionByName(part)
-    if answers is None:
-        answers = _answer(rows.limit(0), [], np.zeros((0, 1)), k, id_type)
-    return answers
+    rows = materialize(_candidates(vectors, kind, repo).withColumn("row", F.monotonically_increasing_id()), "searched")
+    usable = queries.select("query_id", "query_vector").filter(F.size("query_vector") > 0)
+    tiles, blocks = max(1, -(-rows.count() // tile_rows)), max(1, -(-usable.count() // max_queries))
+    none = {n: F.lit(None).cast(t) for n, t in [*rows.select("row", "id", "vector").dtypes, *usable.dtypes]}
+    of_rows = rows.select(
+        F.pmod(F.xxhash64("row"), F.lit(tiles)).cast("int").alias("tile"), F.lit(0).alias("part"),
+        "row", "id", "vector", *[none[c].alias(c) for c in ("query_id", "query_vector")],
+    )
+    of_queries = usable.select(
+        F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"),
+        (F.pmod(F.xxhash64("query_id", "query_vector"), F.lit(blocks)) + 1).cast("int").alias("part"),
+        *[none[c].alias(c) for c in ("row", "id", "vector")], "query_id", "query_vector",
+    )
+    dealt = of_rows.unionByName(of_queries).repartition(tiles, "tile").sortWithinPartitions("tile", "part")
+    fields = [queries.schema["query_id"], T.StructField("row", T.LongType()), rows.schema["id"], T.StructField("raw", T.DoubleType())]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+    best = Window.partitionBy("query_id").orderBy(F.round("raw", RANK_DECIMALS).desc(), "id", "row")
+    return (
+        dealt.mapInArrow(_tile_hits(k, to_arrow_schema(schema)), schema)
+        .withColumn("rank", F.row_number().over(best))
+        .filter(F.col("rank") <= k)
+        .join(rows.select("row", *HIT_COLUMNS), "row")
+        .withColumn("score", F.round(F.greatest("raw", F.lit(0.0)), 4))
+        .select("query_id", "rank", "id", "score", *HIT_COLUMNS)
+    )
 
 
 def encode_questions(

@@ -346,3 +346,9 @@ class Tables:
             self.read("embeddings").groupBy(F.col("label").alias("query_id"))
             .agg(F.min_by("embedding", "vec_id").alias("query_vector"))
         )
+
+    @cached_property
+    def row_questions(self) -> DataFrame:
+        """A query for every row whose id is divisible by 50: the row's own vector."""
+        rows = self.read("embeddings").filter(F.col("vec_id") % 50 == 0)
+        return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))

@@ -286,6 +286,9 @@ first_vec AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1),
 questions AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY label),
 scored AS (SELECT docs.*, {_cosine('embedding', 'q')} AS raw FROM docs, first_vec),
 scored_all AS (SELECT docs.*, query_id, {_cosine('embedding', 'q')} AS raw FROM docs, questions)"""
+ROW_QUESTIONS = f"""
+row_questions AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
+scored_rows AS (SELECT docs.*, query_id, {_cosine('embedding', 'q')} AS raw FROM docs, row_questions)"""
 RANK = "row_number() OVER ({part} ORDER BY round(raw, 6) DESC, id)"
 SCORE = "round(greatest(raw, 0), 4)"
 
@@ -586,6 +589,14 @@ SELECT query_id, count(*) AS n_hits,
        string_agg('[' || rank || '] id=' || id || ' kind=' || kind || ' source=' || source || chr(10) || '    title: ' || title
                   || chr(10) || '    text: ' || snippet, chr(10) || chr(10) ORDER BY rank) AS context
 FROM (SELECT *, {RANK.format(part='PARTITION BY query_id')} AS rank FROM scored_all) WHERE rank <= 6 GROUP BY query_id""",
+        "vector_topk_rows": f"""WITH {VECTORS}, {ROW_QUESTIONS}
+SELECT query_id, rank, id, score FROM (
+  SELECT *, {RANK.format(part='PARTITION BY query_id')} AS rank, {SCORE} AS score FROM scored_rows) WHERE rank <= 10""",
+        "rag_context_rows": f"""WITH {VECTORS}, {ROW_QUESTIONS}
+SELECT query_id, count(*) AS n_hits,
+       string_agg('[' || rank || '] id=' || id || ' kind=' || kind || ' source=' || source || chr(10) || '    title: ' || title
+                  || chr(10) || '    text: ' || snippet, chr(10) || chr(10) ORDER BY rank) AS context
+FROM (SELECT *, {RANK.format(part='PARTITION BY query_id')} AS rank FROM scored_rows) WHERE rank <= 6 GROUP BY query_id""",
         "dq_embedding_coverage": """
 SELECT (SELECT count(*) FROM documents) AS artifacts, (SELECT count(*) FROM embeddings) AS embedded,
        (SELECT count(*) FROM embeddings) >= (SELECT count(*) FROM documents) AS passed""",

@@ -834,6 +834,20 @@ def rag_context(t: Tables) -> DataFrame:
     return vectors.context(hits, t.questions).select("query_id", "n_hits", "context")
 
 
+@query
+def vector_topk_rows(t: Tables) -> DataFrame:
+    """V3: every row whose id is divisible by 50 as a query against all rows."""
+    hits = vectors.search_many(t.vectors, t.row_questions)
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+
+
+@query
+def rag_context_rows(t: Tables) -> DataFrame:
+    """V4 for the same queries."""
+    hits = vectors.search_many(t.vectors, t.row_questions, k=vectors.CONTEXT_K)
+    return vectors.context(hits, t.row_questions).select("query_id", "n_hits", "context")
+
+
 @query
 def dq_embedding_coverage(t: Tables) -> DataFrame:
     """V5: documents against the given embeddings."""

@@ -75,3 +75,11 @@ def test_no_query_plans_a_cross_join(spark):
     for name in ("gold_cross_silo", "vector_topk_batch", "graph_edges", "edges_co_edited"):
         plan = _plan(entry.queries()[name](spark, SF))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+@pytest.mark.parametrize("name", ["vector_topk_rows", "rag_context_rows"])
+def test_searches_of_every_50th_row_equal_sql(spark, db, name):
+    got = entry.queries()[name](spark, SF).toPandas()
+    want = db.execute(entry.oracle_sql()[name]).df()
+    ids = spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id % 50 = 0").count()
+    assert got["query_id"].nunique() == ids > 0 and check.normal(got) == check.normal(want)

@@ -65,6 +65,24 @@ def test_many_queries_take_several_passes(spark, table):
     assert vectors.search_many(df, queries.limit(0), 5).count() == 0
 
 
+def test_queries_meet_tiles_by_a_shuffle(spark, table, monkeypatch):
+    data, df = table
+    queries = spark.createDataFrame([(i, data[i][1]) for i in range(0, 300, 7)], "query_id long, query_vector array<double>")
+
+    def collect(self):
+        raise AssertionError("rows were brought to the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "collect", collect)
+        got = vectors.search_many(df, queries, 5, max_queries=4, tile_rows=40)
+        twice = vectors.search_many(df.unionByName(df), queries, 4, tile_rows=90)
+    hits = rows(got, "query_id", "rank", "id")
+    assert sorted(hits) == [(i, r + 1, h) for i in range(0, 300, 7) for r, h in enumerate(brute(data, data[i][1], 5))]
+    assert sorted(rows(twice, "query_id", "rank", "id")) == [
+        (i, 2 * r + c, h) for i in range(0, 300, 7) for r, h in enumerate(brute(data, data[i][1], 2)) for c in (1, 2)
+    ]
+
+
 def test_context(spark, table):
     data, df = table
     queries = spark.createDataFrame([(1, data[0][1]), (2, [])], "query_id long, query_vector array<double>")
