@@ -8,6 +8,8 @@ found, over all documents.
    is an anchor. Anchors that occur in one document only cannot lie in a repeat.
 2. The suffixes that begin at the other anchors are dealt to buckets by the anchor. A suffix carries
    the bytes right of the anchor that a string with this anchor can hold, and those left of it.
+   An anchor with more than ``HEAVY`` occurrences sends no suffixes: the complete strings that hold it
+   are dealt by their own digests, so only equal strings meet.
 3. A bucket is sorted to a suffix array. Its common-prefix lengths are scanned with a stack, which
    lists all intervals (the nodes of the interval tree) with all their occurrences, the least
    document among them and their common left extension. Where an interval is deep enough to make
@@ -47,6 +49,11 @@ PART = 1 << 20
 #: About as many anchors as a bucket of anchors holds, and as a bucket of suffixes would hold if all were shared.
 ANCHORS_PER_BUCKET = 1_000_000
 ANCHORS_PER_SUFFIX_BUCKET = 250_000
+#: Occurrences above which an anchor is dealt by strings, and parts in which a bucket's strings are compared.
+HEAVY = 100_000
+PARTS = 8
+#: A run of starts of one string within a text: two digests of the string, the document, the row, the first and the last byte plus one.
+STRING = np.dtype([("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("first", "<i4"), ("end", "<i4")])
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -177,44 +184,93 @@ def _slice_anchors(data, offs, known, ids, least):
 
 
 def _send_anchors(short: Short, least: int):
-    """Map step: the distinct anchors of a slice, with a flag for those that it knows to be shared."""
+    """Map step: the distinct anchors of a slice, with a flag for those that it knows to be shared.
+
+    Above the flag's bit stands the power of two that their occurrences in the slice do not exceed.
+    """
 
     def step(batches):
         for slice_, ids, known, offs, data, _ in _slices(batches):
-            _, _, _, unique, shared, _ = _slice_anchors(data, offs, known, ids, least)
+            _, _, _, unique, shared, number = _slice_anchors(data, offs, known, ids, least)
             if len(unique):
                 key = short.of(unique)
                 bucket = key % np.uint64(short.buckets)
-                yield _packed(bucket, slice_, {"keys": (key // np.uint64(short.buckets)).astype(short.bytes()), "flags": shared.astype(np.uint8)})
+                power = np.ceil(np.log2(np.bincount(number))).astype(np.uint8)
+                yield _packed(bucket, slice_, {"keys": (key // np.uint64(short.buckets)).astype(short.bytes()), "flags": shared | power << 1})
 
     return step
 
 
-def _shared_anchors(short: Short):
-    """Reduce step: for each slice, its anchors that other slices have as well."""
+def _shared_anchors(short: Short, heavy: int):
+    """Reduce step: for each slice, its anchors that other slices have as well, and its heavy ones."""
 
     def step(batches):
         for table in grouped(batches, ["bucket"]):
             keys = [_grow(v, short.bytes()) for v in table.column("keys").to_pylist()]
             flag = _unpacked(table, "flags", np.uint8)
+            most, flag = np.exp2((flag >> 1).astype(np.float64)), flag & 1
             _, number = np.unique(np.concatenate(keys), return_inverse=True)
-            shared = ((np.bincount(number) > 1) | (np.bincount(number, flag) > 0))[number] & (flag == 0)
+            among = (np.bincount(number) > 1) | (np.bincount(number, flag) > 0)
+            split = (among & (np.bincount(number, most) > heavy))[number]
+            shared = among[number] & (flag == 0)
             bucket, at = np.uint64(table.column("bucket")[0].as_py()), 0
-            slices_, found = [], []
+            slices_, found, hot = [], [], []
             for slice_, key in zip(table.column("slice").to_pylist(), keys):
-                pick = key[shared[at : at + len(key)]].astype(np.uint64) * np.uint64(short.buckets) + bucket
+                pick, much = (key[x[at : at + len(key)]].astype(np.uint64) * np.uint64(short.buckets) + bucket for x in (shared, split))
                 at += len(key)
-                if len(pick):
+                if len(pick) or len(much):
                     slices_.append(slice_)
                     found.append(pick.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(slices_, pa.int64()), pa.array(found, pa.binary())], names=["slice", "anchors"])
+                    hot.append(much.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slices_, pa.int64()), pa.array(found, pa.binary()), pa.array(hot, pa.binary())], names=["slice", "anchors", "heavy"]
+            )
 
     return step
 
 
+def _strings(data: np.ndarray, offs: np.ndarray, ids: np.ndarray, start: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings at the given places that no earlier document of the slice has, and the spans of the others."""
+    if not len(start):
+        return np.empty(0, STRING), np.empty((0, 3), np.int32)
+    text = np.searchsorted(offs, start, "right") - 1
+    out, first = np.empty(len(start), STRING), np.searchsorted(text, np.arange(len(offs)))
+    for a, b in parts_of(offs):
+        s, at = slice(first[a], first[b]), start[first[a] : first[b]] - offs[a]
+        part = data[offs[a] : offs[b]]
+        out["one"][s] = tb.range_digests(part, at, at + least)
+        out["two"][s] = tb.range_digests(part, at, at + GRAM) * _C2 + tb.range_digests(part, at + GRAM, at + least)
+    out["doc"], out["row"], out["first"] = ids[text], text, start - offs[text]
+    out["end"] = out["first"] + least
+    out = out[np.lexsort((out["first"], out["row"], out["doc"], out["two"], out["one"]))]
+    same = (out["one"][1:] == out["one"][:-1]) & (out["two"][1:] == out["two"][:-1])
+    new = np.concatenate([[True], ~same])
+    later = out["doc"] > out["doc"][np.maximum.accumulate(np.where(new, np.arange(len(out)), 0))]
+    spans = np.stack([out["row"], out["first"], out["end"]], 1)[later]
+    run = np.concatenate([[True], ~(same & (out["row"][1:] == out["row"][:-1]) & (out["first"][1:] <= out["end"][:-1]))])
+    end = out["end"][np.append(np.flatnonzero(run)[1:], len(out)) - 1]
+    later, out = later[run], out[run]
+    out["end"] = end
+    return out[~later], spans
+
+
+def _repeated(strings: np.ndarray) -> np.ndarray:
+    """Which strings an earlier document has."""
+    order = np.lexsort((strings["doc"], strings["two"], strings["one"]))
+    one, two, doc = (strings[n][order] for n in ("one", "two", "doc"))
+    new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+    hit = np.empty(len(strings), np.bool_)
+    hit[order] = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
+    return hit
+
+
 def _send_suffixes(short: Short, buckets: int, least: int):
-    """Map step: the suffixes at shared anchors with the bytes around them; of equal ones the first document's."""
+    """Map step: the suffixes at shared anchors with the bytes around them; of equal ones the first document's.
+
+    For heavy anchors, the complete strings that hold them; ``part`` is 0 for suffixes and found spans.
+    """
     side = least - GRAM
+    names = ["bucket", "slice", "docs", "rows", "places", "lefts", "rights", "around", "spans", "strings", "part"]
 
     def step(batches):
         for slice_, ids, known, offs, data, row in _slices(batches):
@@ -223,6 +279,7 @@ def _send_suffixes(short: Short, buckets: int, least: int):
                 continue
             told = np.frombuffer(b"".join(row["anchors"] or []), np.uint64)
             pick = (shared | np.isin(short.of(unique), told))[number]
+            hot = np.isin(short.of(unique), np.frombuffer(b"".join(row["heavy"] or []), np.uint64))[number][pick]
             place, digest, text = place[pick], digest[pick], text[pick]
             left, right = np.minimum(place - offs[text], side), np.minimum(offs[text + 1] - place, least)
             first = np.searchsorted(text, np.arange(len(offs)))
@@ -237,7 +294,7 @@ def _send_suffixes(short: Short, buckets: int, least: int):
             later[order] = ids[text[lead]] < ids[text[order]]
             done = later & (left + right >= least)
             spans = np.stack([text, place - left - offs[text], place + right - offs[text]], 1)[done].astype(np.int32)
-            send = np.flatnonzero(~later)
+            send, hot = np.flatnonzero(~later & ~hot), np.flatnonzero(~later & hot)
             for a in range(0, len(send), 20_000):
                 s = send[a : a + 20_000]
                 p, t, x, y = place[s], text[s], left[s], right[s]
@@ -248,11 +305,28 @@ def _send_suffixes(short: Short, buckets: int, least: int):
                     "docs": ids[t], "rows": t.astype(np.int32), "places": (p - offs[t]).astype(np.int32),
                     "lefts": x.astype(np.uint8), "rights": y.astype(np.uint8), "around": bytes_,
                 })
-                yield tb.replace_column(found, ["spans"], [pa.nulls(found.num_rows, pa.binary())])
+                none = pa.nulls(found.num_rows, pa.binary())
+                yield tb.replace_column(found, ["spans", "strings", "part"], [none, none, pa.array(np.zeros(found.num_rows, np.int32))])
+            if len(hot):
+                mark = np.zeros(len(data), np.bool_)
+                for o in range(side + 1):
+                    mark[place[hot[(left[hot] >= o) & (right[hot] >= least - o)]] - o] = True
+                strings, more = _strings(data, offs, ids, np.flatnonzero(mark), least)
+                spans = np.concatenate([spans, more])
+                at = strings["one"] % np.uint64(buckets * PARTS)
+                found = _packed(at, slice_, {"strings": strings})
+                at = found.column(0).to_numpy()
+                empty = pa.array([b""] * found.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at % buckets), found.column(1), *[empty] * 6, pa.nulls(found.num_rows, pa.binary()), found.column(2), pa.array((at // buckets + 1).astype(np.int32))],
+                    names=names,
+                )
             if len(spans):
                 empty = [pa.array([b""], pa.binary())] * 6
-                names = ["bucket", "slice", "docs", "rows", "places", "lefts", "rights", "around", "spans"]
-                yield pa.RecordBatch.from_arrays([pa.array([slice_ % buckets]), pa.array([slice_]), *empty, pa.array([_shrink(spans)], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([slice_ % buckets]), pa.array([slice_]), *empty, pa.array([_shrink(spans)], pa.binary()), pa.nulls(1, pa.binary()), pa.array([0], pa.int32())],
+                    names=names,
+                )
 
     return step
 
@@ -360,7 +434,17 @@ def _spans(least: int):
     """Reduce step: for each slice, covered ranges (row, first byte, last byte plus one)."""
 
     def step(batches):
-        for table in grouped(batches, ["bucket"]):
+        for table in grouped(batches, ["bucket", "part"]):
+            if table.column("part")[0].as_py():
+                per = [_grow(v, STRING) for v in table.column("strings").to_pylist()]
+                hits, owner = _repeated(strings := np.concatenate(per)), np.repeat(table.column("slice").to_numpy(), [len(x) for x in per])
+                strings, owner = strings[hits], owner[hits]
+                order = np.argsort(owner, kind="stable")
+                spans = np.stack([strings["row"], strings["first"], strings["end"]], 1)[order]
+                slices_, begin = np.unique(owner[order], return_index=True)
+                found = [_shrink(x) for x in np.split(spans, begin[1:])][: len(slices_)]
+                yield pa.RecordBatch.from_arrays([pa.array(slices_, pa.int64()), pa.array(found, pa.binary())], names=["slice", "spans"])
+                continue
             done = table.filter(table.column("spans").is_valid())
             table = table.filter(table.column("spans").is_null())
             slices_, found = done.column("slice").to_pylist(), done.column("spans").to_pylist()
@@ -410,27 +494,32 @@ def _cut(batches):
 
 
 def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return rows.repartition(buckets, "bucket").sortWithinPartitions(*[c for c in ("bucket", "part") if c in rows.columns])
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the kept bytes, one row per row of ``docs``."""
-    if least < 2 * GRAM:
-        raise ValueError(f"strings of {2 * GRAM} bytes or more can be searched")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    stored = materialize(rows.mapInArrow(_store, "slice long, ids binary, known binary, offs binary, text binary"), "slices")
-    count = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 2 // (least - GRAM + 1)  # anchors, about
+def _sent(stored: DataFrame, count: int, least: int, heavy: int) -> DataFrame:
+    """What the slices send to the buckets of suffixes, dealt; ``count`` is about the number of anchors."""
     buckets = max(1, -(-count // ANCHORS_PER_BUCKET))
     short = Short(buckets, max(16, min(63, int(count).bit_length() + 12 - int(buckets).bit_length())))
     sent = stored.mapInArrow(_send_anchors(short, least), "bucket long, slice long, keys binary, flags binary")
-    shared = _dealt(sent, buckets).mapInArrow(_shared_anchors(short), "slice long, anchors binary")
-    shared = shared.groupBy("slice").agg(F.collect_list("anchors").alias("anchors"))
+    shared = _dealt(sent, buckets).mapInArrow(_shared_anchors(short, heavy), "slice long, anchors binary, heavy binary")
+    shared = shared.groupBy("slice").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("heavy").alias("heavy"))
     buckets = max(1, -(-count // ANCHORS_PER_SUFFIX_BUCKET))
     sent = stored.join(shared, "slice", "left").mapInArrow(
         _send_suffixes(short, buckets, least),
-        "bucket long, slice long, docs binary, rows binary, places binary, lefts binary, rights binary, around binary, spans binary",
+        "bucket long, slice long, docs binary, rows binary, places binary, lefts binary, rights binary, around binary, spans binary, strings binary, part int",
     )
-    spans = _dealt(sent, buckets).mapInArrow(_spans(least), "slice long, spans binary")
+    return _dealt(sent, buckets)
+
+
+def remove_repeats(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and the kept bytes, one row per row of ``docs``."""
+    if least < 2 * GRAM:
+        raise ValueError(f"strings of {2 * GRAM} bytes or more can be searched")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    stored = materialize(rows.mapInArrow(_store, "slice long, ids binary, known binary, offs binary, text binary"), "slices")
+    count = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 2 // (least - GRAM + 1)  # anchors, about
+    spans = _sent(stored, count, least, heavy).mapInArrow(_spans(least), "slice long, spans binary")
     spans = spans.groupBy("slice").agg(F.collect_list("spans").alias("spans"))
     return stored.join(spans, "slice", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

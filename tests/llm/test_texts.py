@@ -4,8 +4,10 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from odd_documents import frame, rows
+from pyspark.sql import functions as F
 
 from loomwork.llm import decontamination, personal_data, secrets, sharding, suffix_dedup
 
@@ -51,6 +53,27 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch, slice_bytes):
     assert got == cut_by_hand(pairs)
 
 
+def test_heavy_anchors_equal_brute_force(spark):
+    phrase = "all rights reserved, see the notice"
+    more = [(7000 + i, f"{sha(b'%d' % i)[:20]} {phrase} {'one two'[i % 2 * 4 :]}{phrase} {sha(b'%d' % (i // 3))}") for i in range(90)]
+    more += [(7500 + i // 2, "ab" * (30 + i)) for i in range(12)] + [(7600, (phrase + "! ") * 4), (7600, phrase * 3), (None, phrase * 3)]
+    pairs = [p for p in rows() if len(p[1] or "") < 5000] + more
+    want = cut_by_hand(pairs)
+    for heavy in (0, 5):
+        got = suffix_dedup.remove_repeats(frame(spark, pairs).repartition(9), heavy=heavy).withColumn("kept_sha256", F.sha2("kept", 256))
+        assert by_row(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
+def test_no_group_holds_all_occurrences_of_a_phrase(spark):
+    phrase, n = "all rights reserved, see notice", 600
+    docs = frame(spark, [(i, f"{sha(b'%d' % i)} {phrase} {sha(b'-%d' % i)}") for i in range(n)]).select("doc_id", "text")
+    stored = docs.mapInArrow(suffix_dedup._store, "slice long, ids binary, known binary, offs binary, text binary")
+    size = Counter()
+    for r in suffix_dedup._sent(stored, 4 * suffix_dedup.ANCHORS_PER_SUFFIX_BUCKET, 50, n // 6).collect():
+        size[(r.bucket, r.part)] += len(suffix_dedup._grow(r.strings, suffix_dedup.STRING) if r.part else suffix_dedup._grow(r.lefts, np.uint8) if r.lefts else ())
+    assert sum(size.values()) > n and max(size.values()) < sum(size.values()) / 8
+
+
 def test_removal_of_empty_tables_and_long_texts(spark):
     assert suffix_dedup.digest(frame(spark).limit(0)).count() == 0
     long = "".join(f"{i:05d} " for i in range(40_000))
