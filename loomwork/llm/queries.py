@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomwork.llm import decontamination, embedding_dedup, language_id, minhash_dedup, oracle, packing, personal_data, quality, secrets, sharding, suffix_dedup, token_blocks
+from loomwork.llm import decontamination, embedding_dedup, language_id, merkle, minhash_dedup, oracle, packing, personal_data, quality, secrets, sharding, suffix_dedup, token_blocks
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = oracle.sql()
@@ -90,6 +90,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, proofs and roots of all documents, a third of them checked with a changed text."""
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to files of packed blocks and read back."""
