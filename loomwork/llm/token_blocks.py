@@ -38,9 +38,9 @@ from loomwork.session import materialize, scratch_path
 
 END_ID = 1
 #: Ids in a block, and the share of them that must fit the packed width.
-BLOCK, FIT = 128, 0.9
-#: Ids after which a writer starts the next file, ids that one task sorts, and the most tasks of a write.
-FILE_IDS, TASK_IDS, MAX_TASKS = 16 << 20, 8 << 20, 20_000
+BLOCK, FIT = 128, 0.98
+#: Ids after which a writer starts the next file, bytes of text that one task sorts, and the most tasks of a write.
+FILE_IDS, TASK_BYTES, MAX_TASKS = 16 << 20, 32 << 20, 20_000
 #: Pieces whose ids a worker keeps, and bytes of text it encodes at a time.
 KNOWN_PIECES, SLICE = 600_000, 2 << 20
 
@@ -337,31 +337,13 @@ def _inside(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-def _encode(path: str, end_id: int):
-    """Map step: ids of each text with the end id, as little-endian 32-bit numbers."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
-        for batch in batches:
-            for part, data, offs in tb.slices(batch, "text", SLICE):
-                ids, cuts = encoder.encode(data, offs)
-                ids = np.insert(ids, cuts[1:], end_id).astype("<u4", copy=False)
-                sizes = np.diff(cuts) + 1
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), tb.binary_column(ids, sizes).cast(pa.binary())],
-                    names=["key", "n_tokens", "ids"],
-                )
-
-    return step
-
-
-def _write(folder: str, file_ids: int):
-    """Map step: the files of a sorted partition, and a row for each."""
+def _write(folder: str, tokenizer: str, end_id: int, file_ids: int):
+    """Map step: the files of a sorted partition of (key, text), and a row for each."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, no = TaskContext.get().partitionId(), 0
         attempt = uuid.uuid4().hex
-        writer = Writer()
+        encoder, writer = Encoder.of(tokenizer), Writer()
 
         def close() -> pa.RecordBatch:
             path = f"{folder}/{part:06d}-{no:06d}-{attempt}.pfor"
@@ -371,8 +353,9 @@ def _write(folder: str, file_ids: int):
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["part", "no", "path", "n_docs", "n_ids"])
 
         for batch in batches:
-            for rows, data, _ in tb.slices(batch, "ids", SLICE):
-                writer.add(rows.column(0), rows.column(1).to_numpy(), data.view("<u4"))
+            for rows, data, offs in tb.slices(batch, "text", SLICE):
+                ids, cuts = encoder.encode(data, offs)
+                writer.add(rows.column(0), np.diff(cuts) + 1, np.insert(ids, cuts[1:], end_id))
                 if writer.n_ids >= file_ids:
                     yield close()
                     writer, no = Writer(), no + 1
@@ -383,23 +366,21 @@ def _write(folder: str, file_ids: int):
 
 
 def write(
-    docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, task_ids: int = TASK_IDS
+    docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, task_bytes: int = TASK_BYTES
 ) -> DataFrame:
     """Write the ids of all documents below ``folder``; returns the table of files: start, path, n_docs, n_ids.
 
-    ``start`` is the number of ids in all files before.
+    ``start`` is the number of ids in all files before. Texts are dealt, not ids, as they take less room;
+    each is encoded once, by the task that writes it.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    encoded = rows.mapInArrow(_encode(tokenizer, end_id), f"key {kind}, n_tokens long, ids binary")
-    encoded = materialize(encoded.withColumn("turn", F.monotonically_increasing_id()), "token-ids")
-    total = encoded.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    tasks = min(max(1, -(-total // task_ids)), MAX_TASKS)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = min(max(1, -(-total // task_bytes)), MAX_TASKS)
     files, place = _filesystem(folder)
     files.create_dir(place, recursive=True)
-    dealt = encoded.repartitionByRange(tasks, "key", "turn").sortWithinPartitions("key", "turn").select("key", "n_tokens", "ids")
-    made = dealt.mapInArrow(_write(folder, file_ids), "part long, no long, path string, n_docs long, n_ids long")
+    dealt = rows.withColumn("turn", F.monotonically_increasing_id()).repartitionByRange(tasks, "key", "turn")
+    dealt = dealt.sortWithinPartitions("key", "turn").select("key", "text")
+    made = dealt.mapInArrow(_write(folder, tokenizer, end_id, file_ids), "part long, no long, path string, n_docs long, n_ids long")
     made = materialize(made, "token-files")
     # Totals run within groups of tasks, after the totals of earlier groups.
     grouped = made.withColumn("group", F.floor(F.col("part") / 1000))

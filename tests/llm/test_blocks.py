@@ -83,7 +83,7 @@ def by_hand(pairs):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"file_ids": 300, "task_ids": 700}])
+@pytest.mark.parametrize("sizes", [{}, {"file_ids": 300, "task_bytes": 9000}])
 def test_files_hold_all_ids_in_order_of_the_keys(spark, sizes):
     pairs = [(i, t) for i, t in rows() if i is not None] + [(9000 + i, t) for i, t in enumerate(TEXTS)]
     pairs = list({i: (i, t) for i, t in pairs}.values())
@@ -93,8 +93,8 @@ def test_files_hold_all_ids_in_order_of_the_keys(spark, sizes):
 
 def test_equal_and_null_keys_stay_row_by_row(spark, tmp_path):
     pairs = [(5, f"word {i}") for i in range(300)] + [(None, None), (None, "a"), (1, "b"), (9, None)]
-    files = token_blocks.write(frame(spark, pairs), PATH, str(tmp_path / "f"), file_ids=50, task_ids=100)
-    assert files.count() > 8
+    files = token_blocks.write(frame(spark, pairs), PATH, str(tmp_path / "f"), file_ids=50, task_bytes=300)
+    assert files.count() > 6
     got = token_blocks.read(files, key="doc_id").orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, None, 1, *[5] * 300, 9]
     assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])])[:-1].tolist()
