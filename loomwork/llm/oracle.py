@@ -186,8 +186,37 @@ FROM leaf l JOIN subroot r ON r.name = l.tree JOIN high h ON h.size = 1
   JOIN folded f ON f.tree = l.tree AND f.leaf_no = l.place LEFT JOIN proof p ON p.tree = l.tree AND p.leaf_no = l.place"""
 
 
+OP12_RUN = r"[A-Za-z\x{C0}-\x{FF}]+"
+OP12 = f"""
+WITH RECURSIVE run AS (
+  SELECT doc_id, {LOWER.format(t=f"unnest(regexp_extract_all(text, '{OP12_RUN}'))")} AS r FROM documents),
+drawn AS (
+  SELECT r, n, {crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r")} AS h
+  FROM (SELECT doc_id, r, count(*) AS n FROM run WHERE length(r) >= 7 GROUP BY doc_id, r)),
+said AS (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM drawn),
+vocab AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM said WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+fewer AS (SELECT DISTINCT c.word, c.n, v.word AS less, v.n AS less_n FROM cut c JOIN vocab v ON v.word = c.less),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT word, less, less_n FROM fewer
+  UNION ALL SELECT less, word, n FROM fewer),
+best AS (
+  SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, other_n FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+told AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * v.n THEN other END AS form, CASE WHEN other_n >= 10 * v.n THEN other_n END AS form_n
+  FROM vocab v LEFT JOIN best b ON b.word = v.word),
+way AS (
+  SELECT word, word AS root, 0 AS steps FROM told
+  UNION ALL SELECT w.word, t.form, w.steps + 1 FROM way w JOIN told t ON t.word = w.root WHERE t.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, steps) AS root FROM way GROUP BY word)
+SELECT told.word, form, root, n, n_near, form_n FROM told JOIN ends ON ends.word = told.word"""
+
+
 def sql() -> dict[str, str]:
     return {
         "op1_embedding_dedup": OP1, "op2_decontamination": OP2, "op3_secret_scan": _op3(), "op7_minhash_dedup": OP7, "op8_suffix_dedup": OP8,
-        "op11_merkle_manifest": OP11,
+        "op11_merkle_manifest": OP11, "op12_spelling_variants": OP12,
     }

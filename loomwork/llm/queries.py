@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomwork.llm import decontamination, embedding_dedup, language_id, merkle, minhash_dedup, oracle, packing, personal_data, quality, secrets, sharding, suffix_dedup, token_blocks
+from loomwork.llm import decontamination, embedding_dedup, language_id, merkle, minhash_dedup, oracle, packing, personal_data, quality, secrets, sharding, spelling, suffix_dedup, token_blocks
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = oracle.sql()
@@ -96,6 +96,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, a few with a letter dropped, and the forms they lead to."""
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents"), drop=31))
+
+
 @query
 def op13_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to files of packed blocks and read back."""
