@@ -40,9 +40,9 @@ END_ID = 1
 #: Ids in a block, and the share of them that must fit the packed width.
 BLOCK, FIT = 128, 0.98
 #: Ids after which a writer starts the next file, bytes of text that one task sorts, and the most tasks of a write.
-FILE_IDS, TASK_BYTES, MAX_TASKS = 16 << 20, 32 << 20, 20_000
+FILE_IDS, TASK_BYTES, MAX_TASKS = 8 << 20, 32 << 20, 20_000
 #: Pieces whose ids a worker keeps, and bytes of text it encodes at a time.
-KNOWN_PIECES, SLICE = 600_000, 2 << 20
+KNOWN_PIECES, SLICE = 600_000, 1 << 20
 
 _CUT = int(np.ceil(FIT * BLOCK)) - 1
 _MAGIC = b"PFORIDS1"
