@@ -58,12 +58,36 @@ def test_changes_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_change_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Each start brings one more file; a busy key is cut into slices, and only observed keys are in the state."""
+    found = []
+
+    def sink(batch, epoch):
+        found.extend(tuple(r) for r in batch.collect())
+
+    hours = [(naive(2024, 1, d, h), h) for d in range(1, 5) for h in range(24)]
+    parts = [[("hot", at, str(h // 5)) for at, h in hours if at.day == d] + [(f"k{d % 2}", naive(2024, 1, d), str(d // 3))] for d in range(1, 5)]
+    for i, part in enumerate(parts):
+        stream = stream_of(spark, tmp_path / "s", [spark.createDataFrame(part, OBS)] if i == 0 else [], OBS) if i == 0 else stream
+        if i:
+            spark.createDataFrame(part, OBS).coalesce(1).write.parquet(f"{tmp_path}/s/in/g{i}")
+        hour = F.date_trunc("hour", F.col("at"))
+        changes.start(stream, ["path"], "at", "version", hour, sink, str(tmp_path / "q"), availableNow=True).awaitTermination()
+    whole = spark.createDataFrame([r for part in parts for r in part], OBS)
+    assert sorted(found, key=repr) == rows(changes.changes(whole, ["path"], "at", "version", day()), "path", "at", "version")
+    assert rows(changes.state(spark, str(tmp_path / "q")), "path", "version") == [("hot", "4"), ("k0", "1"), ("k1", "1")]
+
+
 def test_state_expires(spark, tmp_path):
     rows_ = observed(spark).orderBy("at", "path").collect()
-    frames = [spark.createDataFrame(rows_[:4], OBS), spark.createDataFrame([("z", naive(2024, 3, 1), "1")], OBS)]
-    changes.start(stream_of(spark, tmp_path, frames, OBS), ["path"], "at", "version", day(), lambda b, e: b.count(),
+    frames = [rows_[:4], [("a", naive(2024, 2, 1), "2")], [("z", naive(2024, 2, 20), "1")], [("b", naive(2024, 2, 20), "1"), ("a", naive(2024, 2, 21), "2")]]
+    found = []
+    stream = stream_of(spark, tmp_path, [spark.createDataFrame(f, OBS) for f in frames], OBS)
+    changes.start(stream, ["path"], "at", "version", day(), lambda b, e: found.extend((r["path"], r["at"].month, r["at"].day) for r in b.collect()),
                   str(tmp_path / "q"), ttl="30 days", availableNow=True).awaitTermination()
-    assert rows(spark.read.parquet(f"{tmp_path}/q/state/1"), "path") == [("z",)]
+    # b was not seen for 30 days and is new again; a was renewed in between.
+    assert sorted(x for x in found if x[1] == 2) == [("b", 2, 20), ("z", 2, 20)]
+    assert {r["path"] for r in changes.state(spark, str(tmp_path / "q")).collect()} == {"a", "b", "z"}
 
 
 def test_file_events(spark, tmp_path):
