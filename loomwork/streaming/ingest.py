@@ -1,10 +1,16 @@
-"""File events to silver: decode, read the file, append what is new, embed it."""
+"""File events to silver: decode, drop repeats, read the file, append what is new, embed it.
+
+An event that repeats one of the last hours (``horizon``) is dropped by the stream's own state, which holds
+the ids of that time only. What comes again later is caught by the ids already stored.
+"""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,6 +80,33 @@ def event_artifacts(read: DataFrame, bucket: str = "work") -> DataFrame:
     )
 
 
+def _firsts(rows: pa.Table) -> pa.Table:
+    """The first row of each event by time and path."""
+    order = pc.sort_indices(rows, [(c, "ascending") for c in ("event", "ts", "abspath")], null_placement="at_start")
+    rows = rows.take(order).combine_chunks()
+    names = rows.column("event")
+    opens = pc.not_equal(names.slice(1), names.slice(0, max(len(names) - 1, 0)))
+    return rows.filter(pa.chunked_array([pa.array([True] * min(len(names), 1), pa.bool_()), *opens.chunks]))
+
+
+def _firsts_of_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _firsts(pa.Table.from_batches([batch])).combine_chunks().to_batches()
+
+
+def without_repeats(events: DataFrame, horizon: str = "1 hour") -> DataFrame:
+    """A stream's decoded events without those that repeat an id (or a poison text) within ``horizon`` of arrival.
+
+    The first of a micro-batch is its earliest; parts are reduced before they are exchanged. Time is that of
+    arrival, so no event is too late to count.
+    """
+    named = events.withColumn("event", F.coalesce("id", F.concat(F.lit("poison:"), F.sha2(F.coalesce("raw", F.lit("")), 256))))
+    schema = named.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    firsts = named.mapInArrow(_firsts_of_part, schema).groupBy("event").applyInArrow(_firsts, schema)
+    arrived = firsts.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", horizon)
+    return arrived.dropDuplicatesWithinWatermark(["event"]).drop("event", "arrived")
+
+
 def start(
     raw: DataFrame,
     lake: Lake,
@@ -82,16 +115,17 @@ def start(
     make_encoder: Callable[[], vectors.Encoder] | None = None,
     embed: bool = True,
     column: str = "value",
+    horizon: str = "1 hour",
     **trigger,
 ) -> StreamingQuery:
     """Append the files of a stream of JSON events to the lake with their bytes, and embed them.
 
-    Each micro-batch is a batch of the lake, named after the query's folder and its epoch. What it
+    Events that repeat within ``horizon`` are dropped first. Each micro-batch is a batch of the lake, named after the query's folder and its epoch. What it
     adds is decided by ids, so a repeated micro-batch adds what the first try did not. Ids already
     stored are ignored whatever their content. Poison events go to ``<folder>/poison``.
     ``to_artifacts`` replaces reading the files, and then no bytes are stored.
     """
-    events = decode(raw, column)
+    events = without_repeats(decode(raw, column), horizon)
     writer = hashlib.sha256(folder_path.encode()).hexdigest()[:16]
 
     def step(batch: DataFrame, epoch: int) -> None:

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from conftest import naive, rows
-from loomwork.operators import marts
+from loomwork.operators import marts, silver
 from loomwork.schemas import VECTORS
 from loomwork.sources.lake import Lake
 from loomwork.streaming import changes, daily, ingest
@@ -124,13 +124,80 @@ def test_file_events(spark, tmp_path):
     assert rows(poison) == [("not json",), ('{"rel": "x"}',)]
 
 
-def test_daily_stream_counts_late_rows(spark, tmp_path):
-    """Later micro-batches bring older days; all of them count."""
-    frames = [
-        spark.createDataFrame([(naive(2024, 1, d, h), "git", k) for d in days for h in range(3) for k in ("file", "commit")],
-                              "created_at timestamp, source string, kind string")
-        for days in ([3, 4], [2, 3], [1, 2])
+def test_repeats_within_the_horizon_never_reach_the_stored_ids(spark, tmp_path):
+    """Repeats inside a micro-batch and of the one before are dropped by the stream; those that come after the
+    state has forgotten them are caught by the stored ids."""
+    src = tmp_path / "events"
+    src.mkdir()
+
+    def event(rel, ts):
+        return json.dumps({"repo": "app", "abspath": f"/w/{rel}", "rel": rel, "ts": f"2024-01-0{ts}T00:00:00Z"})
+
+    batches = [[event("a", 2), event("a", 1), event("b", 1), "poison", "poison"], [event("a", 3), event("c", 1)], [event("b", 4), event("d", 1), "poison"]]
+    lake, seen = Lake(spark, str(tmp_path / "lake")), []
+
+    def described(batch):
+        seen.append(sorted(r["rel"] for r in batch.collect()))
+        return silver.file_artifacts(batch.select("repo", F.col("rel").alias("path"), F.col("ts").alias("created_at"), F.lit("").alias("said")))
+
+    def run(horizon, folder):
+        raw = spark.readStream.option("maxFilesPerTrigger", 1).text(str(src))
+        ingest.start(raw, lake, folder, described, embed=False, horizon=horizon, availableNow=True).awaitTermination()
+
+    for i, lines in enumerate(batches):
+        (src / f"e{i}.json").write_text("\n".join(lines))
+        run("1 hour", str(tmp_path / "q"))
+    assert [s for s in seen if s] == [["a", "b"], ["c"], ["d"]]
+    assert rows(lake.artifacts().select("title", F.dayofmonth("created_at"))) == [("a", 1), ("b", 1), ("c", 1), ("d", 1)]
+    assert rows(spark.read.text(f"{tmp_path}/q/poison").select("value")) == [("poison",)]
+    state = spark.read.format("statestore").load(f"{tmp_path}/q/checkpoint")
+    assert state.count() == 5
+    run("1 hour", str(tmp_path / "another"))  # a stream without memory: the stored ids decide
+    assert [s for s in seen if s][3:] == [] and lake.artifacts().count() == 4
+
+
+def test_event_state_is_bounded_by_the_horizon(spark, tmp_path):
+    src = tmp_path / "events"
+    src.mkdir()
+    out = []
+    for i in range(3):
+        (src / f"e{i}.json").write_text("\n".join(json.dumps({"repo": "r", "abspath": f"/{i}{k}"}) for k in range(4)))
+        kept = ingest.without_repeats(ingest.decode(spark.readStream.text(str(src))), "0 seconds")
+        kept.writeStream.foreachBatch(lambda b, e: out.append(b.count())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert sum(out) == 12 and spark.read.format("statestore").load(f"{tmp_path}/cp").count() <= 4
+
+
+def daily_frames(spark, days_of):
+    schema = "created_at timestamp, source string, kind string"
+    return [
+        spark.createDataFrame([(naive(2024, 1, d, h), "git", k) for d in days for h in range(3) for k in ("file", None)], schema)
+        for days in days_of
     ]
-    daily.start(stream_of(spark, tmp_path, frames, frames[0].schema), str(tmp_path / "q"), availableNow=True).awaitTermination()
-    whole = frames[0].unionByName(frames[1]).unionByName(frames[2])
-    assert rows(daily.read(spark, str(tmp_path / "q"))) == rows(marts.daily_activity(whole))
+
+
+def test_daily_stream_equals_the_batch_with_late_rows_aside(spark, tmp_path):
+    """Day 2 comes while it is open and again after it has left."""
+    frames = daily_frames(spark, ([2, 3], [2, 9], [9, 10], [2, 8, 10]))
+    frames[3] = frames[3].unionByName(spark.createDataFrame([(None, "git", "file")], frames[3].schema))
+    stream = stream_of(spark, tmp_path, frames, frames[0].schema)
+    for _ in range(2):
+        daily.start(stream, str(tmp_path / "q"), availableNow=True).awaitTermination()
+    whole = frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3])
+    folder = str(tmp_path / "q")
+    assert rows(daily.read(spark, folder)) == rows(marts.daily_activity(whole))
+    aside = rows(daily.late(spark, folder).select("day", "kind", "count"))
+    assert aside == sorted([(None, "file", 1), ("2024-01-02", "file", 3), ("2024-01-02", None, 3)], key=repr)
+    assert {r["day"] for r in daily.state(spark, folder).collect()} == {"2024-01-08", "2024-01-09", "2024-01-10"}
+    on_time = rows(daily.read(spark, folder, with_late=False).filter("day = '2024-01-02' AND kind = 'file'").select("count"))
+    assert on_time == [(6,)]
+
+
+def test_daily_stream_rewrites_only_the_days_it_changed(spark, tmp_path):
+    frames = daily_frames(spark, ([1, 2], [2, 3]))
+    stream, folder, seen = stream_of(spark, tmp_path, frames[:1], frames[0].schema), str(tmp_path / "q"), []
+    for i in range(2):
+        if i:
+            frames[1].coalesce(1).write.parquet(f"{tmp_path}/in/g1")
+        daily.start(stream, folder, availableNow=True).awaitTermination()
+        seen.append({p.parent.name: p.name for p in (tmp_path / "q/counts").rglob("*.parquet")})
+    assert seen[0]["day=2024-01-01"] == seen[1]["day=2024-01-01"] and seen[0]["day=2024-01-02"] != seen[1]["day=2024-01-02"]
