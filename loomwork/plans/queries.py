@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import files, ids, text
 from loomwork.operators import (
     blobs, console, graph, history, incremental, marts, ordered, quality, serving, sessions,
-    silver, topics, vectors,
+    silver, topics, vector_index, vectors,
 )
 from loomwork.plans.bindings import BUCKET, Tables
 from loomwork.session import scratch_path, tune
@@ -841,6 +841,41 @@ def vector_topk_rows(t: Tables) -> DataFrame:
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
+def _indexed(t: Tables) -> tuple[vector_index.VectorIndex, int]:
+    """The index of all rows and the probes that its calibration asks for."""
+    index = vector_index.build(t.vectors, scratch_path(t.spark, "vector-index"))
+    return index, vector_index.calibrate(index)
+
+
+@query
+def vector_index_hits(t: Tables) -> DataFrame:
+    """V3 from the index: every row whose id is divisible by 50 as a query against all rows."""
+    index, probes = _indexed(t)
+    hits = vector_index.search(index, t.row_questions, probes)
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+
+
+@query
+def vector_index_recall(t: Tables) -> DataFrame:
+    """V3: what the index finds of the exact hits of the same queries, and how many rows they meet."""
+    index, probes = _indexed(t)
+    exact = vectors.search_many(t.vectors, t.row_questions)
+    found = vector_index.recall(exact, vector_index.search(index, t.row_questions, probes))
+    met = vector_index.touched(index, t.row_questions, probes)
+    return found.join(met, "query_id").agg(
+        F.count(F.lit(1)).alias("queries"), F.sum("hits").alias("hits"),
+        (F.sum("found") >= 0.9 * F.sum("hits")).alias("recall_90"), (F.avg("share") < 1).alias("lists_skipped"),
+    )
+
+
+@query
+def vector_index_exact(t: Tables) -> DataFrame:
+    """V3 from the index with all lists probed: the exact hits."""
+    index = vector_index.build(t.vectors, scratch_path(t.spark, "vector-index"))
+    hits = vector_index.search(index, t.row_questions, index.lists.count())
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+
+
 @query
 def rag_context_rows(t: Tables) -> DataFrame:
     """V4 for the same queries."""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import naive, rows
 from loomwork import schemas
-from loomwork.operators import vectors
+from loomwork.operators import vector_index, vectors
 
 
 @pytest.fixture(scope="module")
@@ -124,3 +124,71 @@ def test_a_known_phrase_finds_its_artifact(spark):
     query = vectors.hashing_vectors(spark.createDataFrame([("blob storage",)], "t string"), "t").first()["vector"]
     hit = vectors.search(made, query, 1).first()
     assert a.filter(F.col("id") == hit["id"]).first()["text"].startswith("Content-addressed")
+
+
+@pytest.fixture(scope="module")
+def clustered(spark, tmp_path_factory):
+    """600 vectors around 12 centres; a third are copies of one; some have no vector or no length."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 4
+    data = []
+    for i in range(600):
+        v = centres[0] if i % 3 == 0 else centres[i % 12] + rng.normal(size=16)
+        v = None if i == 7 else [0.0] * 16 if i == 8 else [float(x) for x in v]
+        data.append((f"v{i:03}", v, ["file", "commit"][i % 2], "git", "rs"[i % 5 == 0], None, f"t{i}", "x", "", ""))
+    df = spark.createDataFrame(data, schemas.VECTORS).repartition(5)
+    return data, df, vector_index.build(df, str(tmp_path_factory.mktemp("index")), lists=12)
+
+
+def asked(spark, data, ids=range(1, 600, 50)):
+    return spark.createDataFrame([(i, data[i][1]) for i in ids if data[i][1]] + [(999, [])], "query_id long, query_vector array<double>")
+
+
+def hits_of(df):
+    return sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in df.collect())
+
+
+def test_index_holds_every_row_that_has_a_vector(clustered):
+    data, df, index = clustered
+    assert index.rows.count() == 599 and index.lists.agg(F.sum("n")).first()[0] == 599
+    assert index.lists.count() <= 12 and index.rows.select("list").distinct().count() > 6
+
+
+def test_all_lists_give_the_exact_hits(spark, clustered):
+    data, df, index = clustered
+    queries = asked(spark, data)
+    for options in ({}, {"kind": "commit", "repo": "s"}):
+        exact = hits_of(vectors.search_many(df, queries, 7, **options))
+        assert hits_of(vector_index.search(index, queries, 12, 7, tile_rows=40, max_queries=3, **options)) == exact
+
+
+def test_calibrated_probes_reach_the_recall_and_skip_lists(spark, clustered):
+    data, df, index = clustered
+    queries = asked(spark, data, range(5, 600, 7))
+    probes = vector_index.calibrate(index, 10, 0.95)
+    assert probes < 6
+    found = vector_index.recall(vectors.search_many(df, queries, 10), vector_index.search(index, queries, probes, 10))
+    hits, same, queries_seen = found.agg(F.sum("hits"), F.sum("found"), F.count("*")).first()
+    assert hits == 10 * queries_seen and same >= 0.9 * hits
+    shares = [r["share"] for r in vector_index.touched(index, queries, probes).collect()]
+    assert 0 < np.mean(shares) < 0.7 and max(r["rows"] for r in vector_index.touched(index, queries, 12).collect()) == 599
+
+
+def test_only_probed_lists_are_read(spark, clustered, tmp_path):
+    data, df, index = clustered
+    queries = asked(spark, data, [5])
+    (probe,) = {r["list"] for r in vector_index.probed(index, queries, 1).collect()}
+    other = vector_index.VectorIndex(spark, str(tmp_path / "copy"), df.limit(0).withColumn("row", F.lit(0)).schema)
+    index.rows.filter(F.col("list") == probe).write.partitionBy("list").parquet(f"{other.folder}/rows")
+    index.lists.write.parquet(f"{other.folder}/lists")
+    whole = hits_of(vector_index.search(index, queries, 1, 5))
+    partial = vector_index.VectorIndex(spark, other.folder)
+    assert hits_of(vector_index.search(partial, queries, 1, 5)) == whole and len(whole) == 5
+
+
+def test_index_of_nothing(spark, clustered, tmp_path):
+    data, df, _ = clustered
+    index = vector_index.build(df.limit(0), str(tmp_path / "none"))
+    assert vector_index.search(index, asked(spark, data), 3).count() == 0 and vector_index.calibrate(index) >= 1
+    one = vector_index.build(df.filter("id = 'v010'"), str(tmp_path / "one"))
+    assert [r["id"] for r in vector_index.search(one, asked(spark, data, [1]), 3).collect()] == ["v010"]
