@@ -72,12 +72,13 @@ def upsert_edges(existing: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def changed_edges(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """Edges of a batch that are new or carry another weight than the stored edge."""
+    """Edges of a batch that are new or carry another weight or time than the stored edge."""
     rows = batch.groupBy(*EDGE_KEY).agg(
         F.max("weight").alias("weight"), F.max("created_at").alias("created_at")
     )
-    # Weights are compared as text, in which an absent one is a value like any other.
-    weighed = F.coalesce(F.col("weight").cast("string"), F.lit("")).alias("_weight")
+    # Both are compared as text, in which an absent one is a value like any other.
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("weight", "created_at")]
+    weighed = F.concat_ws(" ", *shown).alias("_weight")
     known = existing.select(*EDGE_KEY, weighed)
     fresh = not_yet_in(rows.select("*", weighed), known, [*EDGE_KEY, "_weight"])
     return fresh.select(*EDGE_KEY, "weight", "created_at")

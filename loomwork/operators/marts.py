@@ -47,6 +47,11 @@ def file_hotspots(artifacts: DataFrame, edges: DataFrame) -> DataFrame:
             F.count_if(F.col("relation") == "co_edited").alias("coedit_degree"),
         )
     )
+    return hotspot_rows(artifacts, counts)
+
+
+def hotspot_rows(artifacts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Mart rows of file artifacts and the counts by file_id that exist."""
     files = artifacts.filter("kind = 'file'").select(
         F.col("id").alias("file_id"),
         "repo",
@@ -69,16 +74,7 @@ def author_activity(artifacts: DataFrame, edges: DataFrame) -> DataFrame:
         .select(F.col("src_id").alias("person_id"), "dst_id")
         .join(targets, "dst_id")
     )
-    totals = (
-        authored.groupBy("person_id")
-        .agg(
-            F.count_if(F.col("kind") == "commit").alias("commits"),
-            F.count_if(F.col("kind") == "ai_session").alias("ai_sessions"),
-            F.min("created_at").alias("first_at"),
-            F.max("created_at").alias("last_at"),
-        )
-        .filter("commits > 0 OR ai_sessions > 0")
-    )
+    totals = author_totals(authored)
     own_commits = authored.filter("kind = 'commit'").select("person_id", F.col("dst_id").alias("src_id"))
     touched = (
         edges.filter("relation = 'modified'")
@@ -90,6 +86,25 @@ def author_activity(artifacts: DataFrame, edges: DataFrame) -> DataFrame:
     names = graph.person_names(artifacts, ids.name_part(F.col("actor"))).withColumnRenamed(
         "person", "person_id"
     )
+    return author_rows(totals, touched, names)
+
+
+def author_totals(authored: DataFrame) -> DataFrame:
+    """Commits, sessions and times by person_id, from the kind and time of what each person authored."""
+    return (
+        authored.groupBy("person_id")
+        .agg(
+            F.count_if(F.col("kind") == "commit").alias("commits"),
+            F.count_if(F.col("kind") == "ai_session").alias("ai_sessions"),
+            F.min("created_at").alias("first_at"),
+            F.max("created_at").alias("last_at"),
+        )
+        .filter("commits > 0 OR ai_sessions > 0")
+    )
+
+
+def author_rows(totals: DataFrame, touched: DataFrame, names: DataFrame) -> DataFrame:
+    """Mart rows of the totals, the numbers of files and the names by person_id."""
     rows = totals.join(touched, "person_id", "left").join(names, "person_id", "left")
     return conform(
         rows.withColumn("name", F.coalesce("name", "person_id"))

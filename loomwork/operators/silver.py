@@ -94,8 +94,8 @@ def _files_per_commit(present: DataFrame) -> DataFrame:
     return present.groupBy("commit_id").agg(F.count("*").alias("n_files"))
 
 
-def co_edited(present: DataFrame, max_files: int = MAX_COEDIT_FILES) -> DataFrame:
-    """file -- file changed by the same commit; weight = number of such commits.
+def co_edit_pairs(present: DataFrame, max_files: int = MAX_COEDIT_FILES) -> DataFrame:
+    """a, b, commit_id, created_at: the pairs of files (a < b) that each commit of up to ``max_files`` files changed.
 
     Sprawling commits are left out by rule, so a commit yields at most
     ``max_files * (max_files - 1) / 2`` pairs. They are dropped by their count before any list
@@ -107,13 +107,22 @@ def co_edited(present: DataFrame, max_files: int = MAX_COEDIT_FILES) -> DataFram
         .groupBy("commit_id")
         .agg(F.array_sort(F.collect_list("file_id")).alias("files"), F.max("created_at").alias("created_at"))
     )
-    pairs = groups.select("files", "created_at", F.posexplode("files").alias("i", "a")).select(
-        "a", F.explode(F.expr("slice(files, i + 2, size(files))")).alias("b"), "created_at"
+    return groups.select("commit_id", "files", "created_at", F.posexplode("files").alias("i", "a")).select(
+        "a", F.explode(F.expr("slice(files, i + 2, size(files))")).alias("b"), "commit_id", "created_at"
     )
-    counted = pairs.groupBy("a", "b").agg(
+
+
+def pair_edges(counted: DataFrame) -> DataFrame:
+    """Edges of a, b, n, created_at."""
+    return _edges(counted, F.col("a"), F.col("b"), "co_edited", F.col("n"))
+
+
+def co_edited(present: DataFrame, max_files: int = MAX_COEDIT_FILES) -> DataFrame:
+    """file -- file changed by the same commit; weight = number of such commits."""
+    counted = co_edit_pairs(present, max_files).groupBy("a", "b").agg(
         F.count("*").alias("n"), F.max("created_at").alias("created_at")
     )
-    return _edges(counted, F.col("a"), F.col("b"), "co_edited", F.col("n"))
+    return pair_edges(counted)
 
 
 def sprawling(present: DataFrame, max_files: int = MAX_COEDIT_FILES) -> DataFrame:

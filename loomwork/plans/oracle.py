@@ -417,6 +417,7 @@ SELECT id, kind, source, repo, actor, strftime(created_at, '%Y-%m-%dT%H:%M:%S+00
         "edges_authored": _silver(f"SELECT src_id, dst_id, relation, weight, {TS} FROM edges WHERE relation = 'authored'"),
         "edges_modified": _silver(f"SELECT commit_id AS src_id, file_id AS dst_id, {TS} FROM touch"),
         "edges_co_edited": _silver(f"SELECT src_id, dst_id, weight, {TS} FROM co_edited"),
+        "edges_co_edited_kept": _silver(f"SELECT src_id, dst_id, weight, {TS} FROM co_edited"),
         "coedit_skipped": _silver("""
 SELECT m.max_files, (SELECT count(*) FROM (SELECT commit_id FROM touch GROUP BY 1 HAVING count(*) > m.max_files)) AS skipped
 FROM (SELECT unnest([25, 7]) AS max_files) m"""),
@@ -470,6 +471,8 @@ SELECT id, kind, title FROM artifacts WHERE id IN (SELECT id FROM hit WHERE term
         "gold_daily_activity": _silver("SELECT * FROM gold_daily_activity", DAILY),
         "gold_file_hotspots": _silver("SELECT * FROM gold_file_hotspots", HOTSPOTS),
         "gold_author_activity": _silver("SELECT * FROM gold_author_activity", AUTHORS),
+        "hotspots_kept": _silver("SELECT * FROM gold_file_hotspots", HOTSPOTS),
+        "author_activity_kept": _silver("SELECT * FROM gold_author_activity", AUTHORS),
         "gold_topic_summary": _silver("SELECT * FROM gold_topic_summary", topics, TOPIC_SUMMARY),
         "gold_cross_silo": _silver("SELECT * FROM gold_cross_silo", topics, CROSS_SILO),
         "cross_silo_partners": _silver("""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import files, ids, text
 from loomwork.operators import (
-    blobs, console, graph, history, incremental, marts, ordered, quality, serving, sessions,
+    blobs, console, graph, history, incremental, maintained, marts, ordered, quality, serving, sessions,
     silver, topics, vector_index, vectors,
 )
 from loomwork.plans.bindings import BUCKET, Tables
@@ -293,6 +293,18 @@ def edges_co_edited(t: Tables) -> DataFrame:
     return silver.co_edited(t.present).select("src_id", "dst_id", "weight", stamp("created_at").alias("created_at"))
 
 
+@query
+def edges_co_edited_kept(t: Tables) -> DataFrame:
+    """E3 kept up to date: a lake takes in the touches in three parts, some of them commits that grow later."""
+    store = Lake(t.spark, scratch_path(t.spark, "co-edits"))
+    part = F.when(F.col("created_at") >= F.lit("1997-01-01").cast("timestamp"), 2).otherwise(F.pmod(F.xxhash64("commit_id", "file_id"), F.lit(2)))
+    for no in range(3):
+        so_far = t.present.filter(part <= no)
+        store.append_edges(maintained.follow_co_edits(store, so_far), str(no))
+        maintained.keep_touches(store, so_far, str(no))
+    return store.edges().select("src_id", "dst_id", "weight", stamp("created_at").alias("created_at"))
+
+
 @query
 def coedit_skipped(t: Tables) -> DataFrame:
     """E4, with the bound and with a lower one that skips some commits."""
@@ -468,6 +480,29 @@ def gold_author_activity(t: Tables) -> DataFrame:
     return marts.author_activity(t.artifacts, t.edges)
 
 
+def _kept(t: Tables) -> Lake:
+    """A lake that took in silver in two appends, edges ahead of some of their artifacts, its keyed marts kept up to date."""
+    store = Lake(t.spark, scratch_path(t.spark, "kept"))
+    for no, part in enumerate((F.pmod(F.xxhash64("id"), F.lit(3)) > 0, F.lit(True))):
+        edge_part = F.pmod(F.xxhash64("src_id", "dst_id"), F.lit(3)) > 0 if no == 0 else F.lit(True)
+        store.append_artifacts(t.artifacts.filter(part), str(no))
+        store.append_edges(t.edges.filter(edge_part), str(no))
+        maintained.update(store)
+    return store
+
+
+@query
+def hotspots_kept(t: Tables) -> DataFrame:
+    """M2 kept up to date."""
+    return _kept(t).gold("gold_file_hotspots")
+
+
+@query
+def author_activity_kept(t: Tables) -> DataFrame:
+    """M3 kept up to date."""
+    return _kept(t).gold("gold_author_activity")
+
+
 @query
 def gold_topic_summary(t: Tables) -> DataFrame:
     """M4."""

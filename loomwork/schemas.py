@@ -77,6 +77,16 @@ GOLD = {
     ),
 }
 
+# Append-only tables from which marts and weights are kept up to date.
+FACTS = {
+    "touches": _struct(("commit_id", _S), ("file_id", _S), ("created_at", _TS)),
+    "file_facts": _struct(("file_id", _S), ("relation", _S), ("other", _S), ("sign", T.IntegerType())),
+    "author_facts": _struct(("person_id", _S), ("dst_id", _S), ("kind", _S), ("created_at", _TS)),
+    "author_files": _struct(("person_id", _S), ("file_id", _S)),
+    "author_names": _struct(("person_id", _S), ("actor", _S), ("at", _TS)),
+    "mart_batches": _struct(("stored", _S), ("applied", _S)),
+}
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project ``df`` onto a declared schema: order, cast, and NULL for absent columns."""

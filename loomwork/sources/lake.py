@@ -14,17 +14,20 @@ from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork import schemas
 from loomwork.operators import history, incremental
+from loomwork.session import materialize
 
 _BATCH = T.StructField("batch_id", T.StringType())
 _AT = T.StructField("appended_at", T.TimestampType())
 _MONTH = T.StructField("created_month", T.StringType())
 LATER = T.StructType([T.StructField("id", T.StringType()), _BATCH])
+# Marts that are kept up to date by key: their files are parted by a bucket of the key.
+KEYED_MARTS, BUCKETS = {"gold_file_hotspots": "file_id", "gold_author_activity": "person_id"}, 64
 # The order of appends; ties are broken by the batch.
 VERSION = ["appended_at", "batch_id"]
 
@@ -108,7 +111,15 @@ class Lake:
         return rows.select(*schemas.ARTIFACTS.names)
 
     def edges(self, as_of: str | None = None) -> DataFrame:
-        return incremental.current_edges(self._stored_edges(as_of), F.struct(*VERSION)).select(*schemas.EDGES.names)
+        """One edge per key; a negative weight takes an edge back."""
+        rows = incremental.current_edges(self._stored_edges(as_of), F.struct(*VERSION))
+        return rows.filter(F.coalesce(F.col("weight") >= 0, F.lit(True))).select(*schemas.EDGES.names)
+
+    def unapplied(self, table: str) -> DataFrame:
+        """Stored rows of the appends that the keyed marts have not taken in yet."""
+        rows = {"artifacts": self._stored_artifacts, "edges": self._stored_edges}[table]()
+        done = self.facts("mart_batches").filter(F.col("stored") == table).select(F.col("applied").alias("batch_id"))
+        return rows.join(done, "batch_id", "left_anti")
 
     def vectors(self) -> DataFrame:
         return self._rows("vectors", schemas.VECTORS).select(*schemas.VECTORS.names)
@@ -117,7 +128,11 @@ class Lake:
         return self._rows("blobs", schemas.BLOBS).select(*schemas.BLOBS.names)
 
     def gold(self, name: str) -> DataFrame:
-        return self.read(name, schemas.GOLD[name])
+        return self.read(name, schemas.GOLD[name]).select(*schemas.GOLD[name].names)
+
+    def facts(self, name: str) -> DataFrame:
+        """An append-only table behind the marts."""
+        return self._rows(name, schemas.FACTS[name])
 
     def existing_ids(self) -> DataFrame:
         """Only the id column is read."""
@@ -189,5 +204,29 @@ class Lake:
         ).parquet(f"{self.root}/{name}")
         return self.read(name, schema)
 
+    def append_facts(self, name: str, rows: DataFrame, batch_id: str) -> int:
+        return self._append(name, schemas.conform(rows, schemas.FACTS[name]), batch_id, [])
+
     def overwrite_gold(self, name: str, rows: DataFrame) -> DataFrame:
-        return self.overwrite(name, rows, schemas.GOLD[name])
+        if name not in KEYED_MARTS:
+            return self.overwrite(name, rows, schemas.GOLD[name])
+        self._write_keyed(name, schemas.conform(rows, schemas.GOLD[name]).withColumn("bucket", self._bucket(name)), "static")
+        return self.gold(name)
+
+    @staticmethod
+    def _bucket(name: str) -> Column:
+        return F.pmod(F.xxhash64(KEYED_MARTS[name]), F.lit(BUCKETS)).cast("int")
+
+    def _write_keyed(self, name: str, rows: DataFrame, mode: str) -> None:
+        writer = rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", mode)
+        writer.partitionBy("bucket").parquet(f"{self.root}/{name}")
+
+    def publish(self, name: str, rows: DataFrame) -> int:
+        """Replace the rows of the given keys of a keyed mart; files of buckets without such a key are left alone."""
+        key = KEYED_MARTS[name]
+        fresh = materialize(schemas.conform(rows, schemas.GOLD[name]).withColumn("bucket", self._bucket(name)), "mart-rows")
+        stored = self.read(name, T.StructType([*schemas.GOLD[name].fields, T.StructField("bucket", T.IntegerType())]))
+        near = stored.join(fresh.select("bucket").distinct(), "bucket", "left_semi")
+        others = near.join(fresh.select(key), key, "left_anti").select(*fresh.columns)
+        self._write_keyed(name, materialize(others.unionByName(fresh), "mart-rows"), "dynamic")
+        return fresh.count()
