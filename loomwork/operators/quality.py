@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import ids
@@ -57,6 +57,22 @@ def require_enums(artifacts: DataFrame, edges: DataFrame) -> None:
         )
 
 
+def reasons(artifacts: DataFrame) -> DataFrame:
+    """Adds ``reason``: what the stored model does not allow about a row, NULL for a row it allows."""
+
+    def outside(field: str, allowed: tuple[str, ...]) -> Column:
+        known = F.coalesce(F.col(field).isin(*allowed), F.lit(False))
+        return F.when(~known, F.concat(F.lit(f"{field} "), F.coalesce(F.col(field), F.lit("missing"))))
+
+    found = F.concat_ws(
+        "; ",
+        F.when(F.coalesce("id", F.lit("")) == "", "no id"),
+        outside("kind", ARTIFACT_KINDS), outside("source", ARTIFACT_SOURCES),
+        F.when(F.col("created_at").isNull(), "no time"),
+    )
+    return artifacts.withColumn("reason", F.when(found != "", found))
+
+
 def well_formed(artifacts: DataFrame) -> DataFrame:
     """Artifacts without an id, with an unknown kind, and all of them."""
     return artifacts.agg(

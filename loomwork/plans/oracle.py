@@ -534,6 +534,28 @@ SELECT repo, count(*) AS n FROM artifacts WHERE kind = 'file' AND id IN (SELECT
 SELECT a.person, strftime(a.d, '%Y-%m-%d') AS day, CAST(sum(b.n) AS BIGINT) AS n
 FROM act a JOIN act b ON a.person = b.person AND b.d BETWEEN a.d AND a.d + 1 GROUP BY 1, 2""", """
 act AS (SELECT src_id AS person, CAST(created_at AS DATE) AS d, count(*) AS n FROM authored GROUP BY 1, 2)"""),
+        "range_join": """
+SELECT a.user_id, a.event_id AS purchase, b.event_id, b.event_type FROM events a JOIN events b
+ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 30 MINUTE AND a.ts + INTERVAL 2 HOUR WHERE a.event_type = 'purchase'""",
+        "dq_quarantine": _silver("""
+SELECT reason, count(*) AS rows FROM (
+  SELECT concat_ws('; ', CASE WHEN role = 'system' THEN 'no id' END,
+                   CASE WHEN turn <> 0 AND role NOT IN ('file', 'commit', 'ai_session', 'ai_message') THEN 'kind ' || role END,
+                   CASE WHEN turn = 1 THEN 'no time' END) AS reason FROM conversations)
+WHERE reason <> '' GROUP BY 1
+UNION ALL
+SELECT '', (SELECT count(DISTINCT concat_ws(':', conv_id, turn)) FROM conversations WHERE turn = 0 AND role <> 'system')
+           + (SELECT count(*) FROM artifacts WHERE kind = 'commit')"""),
+        "run_metrics": _silver("""
+SELECT b AS batch_id, 'artifacts' AS asset, m AS metric,
+       count(*) FILTER (WHERE (m = 'rows' OR m = 'kind:' || kind) AND (kind = 'file') = (b = 'all')) AS value
+FROM artifacts, (SELECT unnest(['some', 'all']) AS b), (SELECT unnest(['rows', 'kind:file', 'kind:commit', 'kind:ai_session', 'kind:ai_message']) AS m)
+GROUP BY b, m
+UNION ALL
+SELECT b, 'edges', m, count(*) FILTER (WHERE (m = 'rows' OR m = 'relation:' || relation) AND b = 'all')
+FROM edges, (SELECT unnest(['some', 'all']) AS b),
+  (SELECT unnest(['rows', 'relation:authored', 'relation:modified', 'relation:co_edited', 'relation:ai_touched_file', 'relation:message_of_session']) AS m)
+GROUP BY b, m"""),
         "console_asof": _silver("""
 SELECT s.src_id AS person, s.dst_id AS session,
        (SELECT arg_max(c.dst_id, (c.created_at, c.dst_id)) FROM authored c

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import files, ids, text
 from loomwork.operators import (
-    blobs, console, graph, history, incremental, maintained, marts, ordered, quality, serving, sessions,
+    blobs, console, graph, history, incremental, maintained, marts, ordered, quality, ranges, serving, sessions,
     silver, topics, vector_index, vectors,
 )
 from loomwork.plans.bindings import BUCKET, Tables
+from loomwork.schemas import ARTIFACTS, conform
 from loomwork.session import scratch_path, tune
 from loomwork.sources import lake, transcripts
 from loomwork.sources.lake import Lake
@@ -480,27 +481,28 @@ def gold_author_activity(t: Tables) -> DataFrame:
     return marts.author_activity(t.artifacts, t.edges)
 
 
-def _kept(t: Tables) -> Lake:
-    """A lake that took in silver in two appends, edges ahead of some of their artifacts, its keyed marts kept up to date."""
+def _kept(t: Tables, name: str) -> DataFrame:
+    """A mart of a lake that took in silver in two appends, edges ahead of some of their artifacts."""
     store = Lake(t.spark, scratch_path(t.spark, "kept"))
+    update = {"gold_file_hotspots": maintained.update_hotspots, "gold_author_activity": maintained.update_authors}[name]
     for no, part in enumerate((F.pmod(F.xxhash64("id"), F.lit(3)) > 0, F.lit(True))):
         edge_part = F.pmod(F.xxhash64("src_id", "dst_id"), F.lit(3)) > 0 if no == 0 else F.lit(True)
         store.append_artifacts(t.artifacts.filter(part), str(no))
         store.append_edges(t.edges.filter(edge_part), str(no))
-        maintained.update(store)
-    return store
+        maintained.apply(store, update)
+    return store.gold(name)
 
 
 @query
 def hotspots_kept(t: Tables) -> DataFrame:
     """M2 kept up to date."""
-    return _kept(t).gold("gold_file_hotspots")
+    return _kept(t, "gold_file_hotspots")
 
 
 @query
 def author_activity_kept(t: Tables) -> DataFrame:
     """M3 kept up to date."""
-    return _kept(t).gold("gold_author_activity")
+    return _kept(t, "gold_author_activity")
 
 
 @query
@@ -696,6 +698,19 @@ def console_theta(t: Tables) -> DataFrame:
     )
 
 
+NEAR_SECONDS = 7200
+
+
+@query
+def range_join(t: Tables) -> DataFrame:
+    """CF3 for any width: events of a user from half an hour before to two hours after each purchase."""
+    events = _events(t)
+    bought = events.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase"), F.col("ts").alias("bought_at"))
+    other = events.select("user_id", "event_id", "event_type", "ts")
+    found = ranges.within(bought, other, ["user_id"], "bought_at", "ts", NEAR_SECONDS / 4, NEAR_SECONDS)
+    return found.select("user_id", "purchase", "event_id", "event_type")
+
+
 @query
 def console_asof(t: Tables) -> DataFrame:
     """The last commit of a session's person before the session."""
@@ -937,6 +952,32 @@ def dq_enums(t: Tables) -> DataFrame:
     )
 
 
+@query
+def dq_quarantine(t: Tables) -> DataFrame:
+    """Q1: a load of silver and of raw turns whose kinds and ids are wrong: the good rows are stored, the others are set apart."""
+    raw = t.read("conversations").select(
+        F.when(F.col("role") != "system", F.concat_ws(":", "conv_id", "turn")).alias("id"),
+        F.when(F.col("turn") == 0, "commit").otherwise(F.col("role")).alias("kind"), F.lit("git").alias("source"), F.lit("r").alias("repo"),
+        F.when(F.col("turn") != 1, F.lit("2024-01-01").cast("timestamp")).alias("created_at"),
+    )
+    store = Lake(t.spark, scratch_path(t.spark, "quarantine"))
+    batch = conform(raw, ARTIFACTS).unionByName(conform(t.commit_rows, ARTIFACTS))
+    store.append_checked(batch, "load")
+    stored = store.artifacts().groupBy(F.lit("").alias("reason")).agg(F.count("*").alias("rows"))
+    return store.quarantine().groupBy("reason").agg(F.count("*").alias("rows")).unionByName(stored)
+
+
+@query
+def run_metrics(t: Tables) -> DataFrame:
+    """What two appends of silver counted while they were written, by asset and metric."""
+    store = Lake(t.spark, scratch_path(t.spark, "metrics"))
+    for name, part in (("some", F.col("kind") != "file"), ("all", F.lit(True))):
+        store.append_artifacts(t.artifacts.filter(part), name)
+        store.append_edges(t.edges.filter(F.lit(name == "all")), name)
+    store.note_metrics()
+    return store.run_metrics()
+
+
 @query
 def dq_artifacts(t: Tables) -> DataFrame:
     """Q2: silver together with raw turns, whose id is empty where the turn is a system turn."""

@@ -87,6 +87,8 @@ FACTS = {
     "mart_batches": _struct(("stored", _S), ("applied", _S)),
 }
 
+METRICS = _struct(("batch_id", _S), ("asset", _S), ("metric", _S), ("value", _L))
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project ``df`` onto a declared schema: order, cast, and NULL for absent columns."""

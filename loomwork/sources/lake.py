@@ -14,12 +14,12 @@ from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork import schemas
-from loomwork.operators import history, incremental
+from loomwork.operators import history, incremental, quality
 from loomwork.session import materialize
 
 _BATCH = T.StructField("batch_id", T.StringType())
@@ -28,6 +28,8 @@ _MONTH = T.StructField("created_month", T.StringType())
 LATER = T.StructType([T.StructField("id", T.StringType()), _BATCH])
 # Marts that are kept up to date by key: their files are parted by a bucket of the key.
 KEYED_MARTS, BUCKETS = {"gold_file_hotspots": "file_id", "gold_author_activity": "person_id"}, 64
+# Columns by which rows are looked up: Bloom filters and the order within files let a reader skip files and row groups.
+LOOKED_UP = {"artifacts": ["id"], "vectors": ["id"], "blobs": ["object_uri"]}
 # The order of appends; ties are broken by the batch.
 VERSION = ["appended_at", "batch_id"]
 
@@ -73,6 +75,7 @@ class Lake:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self.metrics: list[tuple[str, str, str, int]] = []
 
     # --- reading ---
 
@@ -124,6 +127,11 @@ class Lake:
     def vectors(self) -> DataFrame:
         return self._rows("vectors", schemas.VECTORS).select(*schemas.VECTORS.names)
 
+    def quarantine(self) -> DataFrame:
+        """Rows that were set apart: those of artifacts, the reason, the batch and its time."""
+        loose = [T.StructField(f.name, f.dataType) for f in schemas.ARTIFACTS]
+        return self._rows("quarantine", T.StructType([*loose, T.StructField("reason", T.StringType())]))
+
     def blobs(self) -> DataFrame:
         return self._rows("blobs", schemas.BLOBS).select(*schemas.BLOBS.names)
 
@@ -156,15 +164,36 @@ class Lake:
         return uuid.uuid4().hex
 
     def _append(self, table: str, rows: DataFrame, batch_id: str, by: list[str], at: datetime | None = None) -> int:
+        """Append rows in one job, which also counts them; the counts stay for ``note_metrics``."""
         when = F.lit(at or datetime.now(timezone.utc)).cast("timestamp")
         stamped = rows.withColumns({"batch_id": F.lit(batch_id), "appended_at": when})
         # Rebalancing gives each partition value few files, and splits a value that is large.
         spread = stamped.hint("rebalance", *[F.col(c) for c in by]) if by else stamped.hint("rebalance")
-        writer = spread.write.mode("append")
+        looked_up = LOOKED_UP.get(table, [])
+        if looked_up:  # in order, so that row groups are told apart by their least and greatest key
+            spread = spread.sortWithinPartitions(*by, *looked_up)
+        kinds = {"edges": ("relation", schemas.EDGE_RELATIONS), "artifacts": ("kind", schemas.ARTIFACT_KINDS)}.get(table)
+        counts = {"rows": F.count(F.lit(1))}
+        if kinds:
+            counts |= {f"{kinds[0]}:{v}": F.count_if(F.col(kinds[0]) == v) for v in kinds[1]}
+        seen = Observation()
+        writer = spread.observe(seen, *[c.alias(n) for n, c in counts.items()]).write.mode("append")
+        for column in looked_up:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         (writer.partitionBy(*by) if by else writer).parquet(f"{self.root}/{table}")
-        # Other appends' files are skipped by their statistics.
-        own = (F.col("batch_id") == batch_id) & (F.col("appended_at") == when)
-        return self.read(table, stamped.schema).filter(own).count()
+        found = seen.get
+        self.metrics += [(batch_id, table, name, int(found.get(name, 0))) for name in counts]
+        return int(found.get("rows", 0))
+
+    def note_metrics(self) -> int:
+        """Write what the appends since the last call have counted: batch_id, asset, metric, value."""
+        noted, self.metrics = self.metrics, []
+        if noted:
+            self.spark.createDataFrame(noted, schemas.METRICS).coalesce(1).write.mode("append").parquet(f"{self.root}/run_metrics")
+        return len(noted)
+
+    def run_metrics(self) -> DataFrame:
+        return self.read("run_metrics", schemas.METRICS)
 
     def _note_later(self, batch_id: str) -> int:
         """Of ids that several batches added at the same time, note the rows that came later."""
@@ -184,6 +213,12 @@ class Lake:
         added = self._append("artifacts", with_month(rows), batch_id, ["created_month"], at)
         return added - self._note_later(batch_id) if mode == "first" and added else added
 
+    def append_checked(self, batch: DataFrame, batch_id: str, at: datetime | None = None) -> int:
+        """Append the artifacts that the model allows; the others go to ``quarantine`` with the reason."""
+        told = materialize(quality.reasons(schemas.conform(batch, schemas.ARTIFACTS)), "checked")
+        self._append("quarantine", told.filter("reason IS NOT NULL"), batch_id, [], at)
+        return self.append_artifacts(told.filter("reason IS NULL").drop("reason"), batch_id, at=at)
+
     def append_edges(self, batch: DataFrame, batch_id: str) -> int:
         """Append the edges that are new or changed their weight; returns how many did."""
         rows = schemas.conform(batch, schemas.EDGES)

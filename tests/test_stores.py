@@ -210,3 +210,49 @@ def test_history(spark):
     assert [r["snapshot_id"] for r in got] == [9, 8, 7, 6, 5, 4, 3, 2]
     assert got[0]["total_records"] == 55 and got[-1]["total_records"] == 6
     assert history.as_of(log, F.col("committed_at"), "2024-01-03").count() == 3
+
+
+def test_bad_rows_are_set_apart_and_the_load_goes_on(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    data = [("a", "file", "git", naive(2024, 1, 1)), (None, "file", "git", naive(2024, 1, 1)), ("b", "image", "git", None),
+            ("c", "commit", None, naive(2024, 1, 1)), ("d", "commit", "git", naive(2024, 2, 1))]
+    batch = spark.createDataFrame(data, "id string, kind string, source string, created_at timestamp")
+    assert lake.append_checked(batch, "one") == 2 and rows(lake.artifacts().select("id")) == [("a",), ("d",)]
+    reasons = rows(lake.quarantine().select("id", "reason"))
+    assert reasons == sorted([(None, "no id"), ("b", "kind image; no time"), ("c", "source missing")], key=repr)
+    assert lake.append_checked(batch.filter("id = 'd'"), "two") == 0 and lake.quarantine().count() == 3
+
+
+def test_appends_count_what_they_write(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    edges = spark.createDataFrame([("a", str(i), "modified" if i % 3 else "authored", 1.0, None) for i in range(9)], schemas.EDGES)
+    assert lake.append_edges(edges, "one") == 9 and lake.append_edges(edges, "two") == 0
+    assert lake.note_metrics() == 12 and lake.note_metrics() == 0
+    found = {(r["batch_id"], r["metric"]): r["value"] for r in lake.run_metrics().collect()}
+    assert found["one", "rows"] == 9 and found["one", "relation:modified"] == 6 and found["one", "relation:co_edited"] == 0
+    assert found["two", "rows"] == 0
+
+
+def test_a_lookup_by_id_skips_row_groups(spark, tmp_path):
+    """Ids are digests, so only order within files and Bloom filters tell row groups apart."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    lake, n = Lake(spark, str(tmp_path / "lake")), 40_000
+    data = spark.range(n).selectExpr("sha2(CAST(id AS STRING), 256) AS id", "'file' AS kind", "'git' AS source", "TIMESTAMP'2024-01-01' AS created_at")
+    conf.set("parquet.block.size", str(128 * 1024))
+    try:
+        lake.append_artifacts(data, "one")
+    finally:
+        conf.unset("parquet.block.size")
+    wanted = data.first()["id"]
+    found = spark.read.parquet(f"{lake.root}/artifacts").filter(F.col("id") == wanted)
+    assert found.count() == 1
+
+    def scanned(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        leaf = plan.collectLeaves().head()
+        return (leaf.executedPlan().collectLeaves().head() if "AdaptiveSparkPlan" in leaf.nodeName() else leaf).metrics().apply("numOutputRows").value()
+
+    assert scanned(found.select("title")) < n / 4
+    absent = spark.read.parquet(f"{lake.root}/artifacts").filter(F.col("id") == wanted[:-1] + "x")
+    assert scanned(absent.select("title")) == 0
