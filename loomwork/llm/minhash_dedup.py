@@ -12,17 +12,19 @@ r"""Near-duplicates by SuperMinHash signatures, banding, exact verification and
   family every pair is compared on its full sets, in tiles of bounded size, and each tile returns a
   spanning forest of its links, never its pairs.
 
-Null and empty texts have no set and link with nothing. Rows that share an id count as one document
-where that id is the least of its class. Null ids are greater than all others; a component without
-any id has none, and all its rows stay in the query, one in ``dedupe``. Very long texts are read whole.
-Other columns are not read.
+Ids are whole numbers (a string that is none is an error). Null and empty texts have no set and link with
+nothing. Rows that share an id count as one document where that id is the least of its class. Null ids
+are greater than all others; a component without any id has none, and all its rows stay in the query,
+one in ``dedupe`` (that of the least text digest). A class is compared through one of its rows, named by id
+and text digest, so rows without an id do not meet each other. Very long texts are read whole. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm import textbytes as tb
@@ -33,8 +35,8 @@ from loomwork.session import materialize
 SHINGLE = 5
 BANDS, ROWS = 20, 4
 SLOTS = BANDS * ROWS
-#: Similarity in hundredths.
-THRESHOLD = 85
+#: Similarity in hundredths, and the least one that bands and agreement are made for.
+THRESHOLD, LEAST_THRESHOLD = 85, 80
 #: Slots of two signatures that agree, below which they are not compared further.
 AGREE = SLOTS // 2
 BUCKET_TILE, FAMILY_TILE = 2048, 1024
@@ -140,29 +142,33 @@ def _links(u: list, v: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u or empty)), pa.array(np.concatenate(v or empty))], names=["u", "v"])
 
 
-def _families(batches):
-    """Links between members of a bucket's tiles whose signatures and sizes agree."""
-    u, v = [], []
-    for table in grouped(batches, ["bucket", "ti", "tj"]):
-        n = table.num_rows
-        if n < 2:
-            continue
-        vertex, size = table.column("vertex").to_numpy(), table.column("n").to_numpy()
-        sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(n, SLOTS)
-        linked = np.zeros((n, n), np.bool_)
-        for a in range(0, n, 256):
-            same = np.zeros((min(256, n - a), n), np.uint8)
-            for s in range(SLOTS):
-                same += sign[a : a + 256, s, None] == sign[None, :, s]
-            near = 100 * np.minimum(size[a : a + 256, None], size) >= THRESHOLD * np.maximum(size[a : a + 256, None], size)
-            linked[a : a + 256] = (same >= AGREE) & near
-        a, b = _forest(vertex, linked)
-        u.append(a)
-        v.append(b)
-        if len(u) >= 4096:
-            yield _links(u, v)
-            u, v = [], []
-    yield _links(u, v)
+def _families(threshold: int):
+    """Reduce step: links between members of a bucket's tiles whose signatures and sizes agree."""
+
+    def step(batches):
+        u, v = [], []
+        for table in grouped(batches, ["bucket", "ti", "tj"]):
+            n = table.num_rows
+            if n < 2:
+                continue
+            vertex, size = table.column("vertex").to_numpy(), table.column("n").to_numpy()
+            sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(n, SLOTS)
+            linked = np.zeros((n, n), np.bool_)
+            for a in range(0, n, 256):
+                same = np.zeros((min(256, n - a), n), np.uint8)
+                for s in range(SLOTS):
+                    same += sign[a : a + 256, s, None] == sign[None, :, s]
+                near = 100 * np.minimum(size[a : a + 256, None], size) >= threshold * np.maximum(size[a : a + 256, None], size)
+                linked[a : a + 256] = (same >= AGREE) & near
+            a, b = _forest(vertex, linked)
+            u.append(a)
+            v.append(b)
+            if len(u) >= 4096:
+                yield _links(u, v)
+                u, v = [], []
+        yield _links(u, v)
+
+    return step
 
 
 def _send_sets(batches):
@@ -203,31 +209,46 @@ def linked_sets(sets: list[np.ndarray], threshold: int = THRESHOLD) -> np.ndarra
     return 100 * both >= threshold * (size[:, None] + size - both)
 
 
-def _verify(batches):
-    """A spanning forest of the links among the sets of a pair of tiles."""
-    u, v = [], []
-    for table in grouped(batches, ["family", "ti", "tj"]):
-        if table.num_rows < 2:
-            continue
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
-        a, b = _forest(table.column("vertex").to_numpy(), linked_sets(sets))
-        u.append(a)
-        v.append(b)
-        if len(u) >= 4096:
-            yield _links(u, v)
-            u, v = [], []
-    yield _links(u, v)
+def _verify(threshold: int):
+    """Reduce step: a spanning forest of the links among the sets of a pair of tiles."""
 
+    def step(batches):
+        u, v = [], []
+        for table in grouped(batches, ["family", "ti", "tj"]):
+            if table.num_rows < 2:
+                continue
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+            a, b = _forest(table.column("vertex").to_numpy(), linked_sets(sets, threshold))
+            u.append(a)
+            v.append(b)
+            if len(u) >= 4096:
+                yield _links(u, v)
+                u, v = [], []
+        yield _links(u, v)
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, tag (of the text), n_shingles, component_id and kept, one row per row of ``docs``."""
+    return step
+
+
+def _sets_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """family, family_size, vertex and shingles of the classes in ``chosen``, one row each, from the text that stands for the class."""
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tag") == F.col("rep_tag"))
+    sets = rows.join(chosen, same).select("text", "key", "family", "family_size", "vertex")
+    sent = sets.mapInArrow(_send_sets, "family long, family_size long, vertex long, shingles binary")
+    return sent.dropDuplicates(["vertex"])  # rows that repeat an id and a text
+
+
+def _components(docs: DataFrame, key: str, text: str, threshold: int) -> DataFrame:
+    """doc_id, tag, n_shingles, component_id and lead_tag: in a component without ids, the tag of the row that leads it."""
+    if not LEAST_THRESHOLD <= threshold <= 100:
+        raise ValueError(f"the bands are made for a similarity of {LEAST_THRESHOLD} to 100 hundredths")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).alias("text"))
     signed = materialize(
         rows.mapInArrow(_sign, "doc_id long, tag long, n_shingles long, key binary, bands array<long>, signature binary"), "signatures"
     )
     classes = signed.where("key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
     )
+    classes = classes.select("key", F.col("least.doc_id").alias("rep"), F.col("least.tag").alias("rep_tag"), "n", "bands", "signature")
     own = F.coalesce("rep", -1 - F.pmod(F.xxhash64("key"), F.lit(1 << 62)))
     classes = materialize(classes.withColumn("vertex", own), "classes")
 
@@ -235,29 +256,45 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     crowded = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = met.join(crowded, "bucket").join(classes.select("vertex", "n", "signature"), "vertex")
     dealt = tiled(members, "bucket", "members", "vertex", BUCKET_TILE).repartition("bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj")
-    family = connected_components(dealt.mapInArrow(_families, "u long, v long"))
+    family = connected_components(dealt.mapInArrow(_families(threshold), "u long, v long"))
     family = family.withColumnRenamed("component", "family")
 
     sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("family_size"))
-    chosen = family.join(sizes, "family").join(classes.select("vertex", "rep", F.col("key")), "vertex")
-    sets = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "key", "family", "family_size", "vertex")
-    sets = sets.mapInArrow(_send_sets, "family long, family_size long, vertex long, shingles binary")
+    chosen = family.join(sizes, "family").join(classes.select("vertex", "rep", "rep_tag", "key"), "vertex")
+    sets = _sets_of(rows, chosen)
     dealt = tiled(sets, "family", "family_size", "vertex", FAMILY_TILE).repartition("family", "ti", "tj").sortWithinPartitions("family", "ti", "tj")
-    component = connected_components(dealt.mapInArrow(_verify, "u long, v long"))
+    component = connected_components(dealt.mapInArrow(_verify(threshold), "u long, v long"))
 
-    whole = classes.select("key", "rep", "vertex").join(component, "vertex", "left").withColumn("root", F.coalesce("component", "vertex"))
+    whole = classes.select("key", "rep", "rep_tag", "vertex").join(component, "vertex", "left").withColumn("root", F.coalesce("component", "vertex"))
     # Written, so that the join sees two plain shuffles and a component of most classes can be split.
     whole = materialize(whole, "roots")
-    least = materialize(whole.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    found = whole.join(least, "root").select(F.col("key").alias("class_key"), "component_id")
+    least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_tag")).alias("least")
+    least = materialize(whole.groupBy("root").agg(least).select("root", F.col("least.rep").alias("component_id"), F.col("least.rep_tag").alias("lead_tag")), "least")
+    found = whole.join(least, "root").select(F.col("key").alias("class_key"), "component_id", "lead_tag")
     out = signed.join(found, F.col("key") == F.col("class_key"), "left")
     component_id = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "tag", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
+    return out.select("doc_id", "tag", "n_shingles", component_id.alias("component_id"), "lead_tag")
+
+
+def _kept() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("component_id"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, tag (of the text), n_shingles, component_id and kept, one row per row of ``docs``."""
+    found = _components(docs, key, text, threshold)
+    return found.select("doc_id", "tag", "n_shingles", "component_id", _kept().alias("kept"))
 
 
-def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One document of each component, with its own columns; rows equal in id and text count once."""
-    kept = near_duplicates(docs, key, text).where("kept").select(F.col("doc_id").alias("kept__id"), F.col("tag").alias("kept__tag")).distinct()
-    tagged = docs.withColumn("row__tag", F.xxhash64(F.col(text)))
-    same = F.col(key).cast("long").eqNullSafe(F.col("kept__id")) & (F.col("row__tag") == F.col("kept__tag"))
-    return tagged.join(kept, same, "left_semi").dropDuplicates([key, "row__tag"]).drop("row__tag")
+    found = _components(docs, key, text, threshold).where(_kept())
+    # Without an id one row leads; a row without a set is a component of its own.
+    lead = F.col("doc_id").isNotNull() | F.coalesce(F.col("tag") == F.col("lead_tag"), F.lit(True))
+    kept = found.where(lead).select(F.col("doc_id").alias("kept__id"), F.col("tag").alias("kept__tag")).distinct()
+    own = "row__tag"
+    while own in docs.columns:
+        own += "_"
+    tagged = docs.withColumn(own, F.xxhash64(F.col(text)))
+    same = F.col(key).cast("long").eqNullSafe(F.col("kept__id")) & (F.col(own) == F.col("kept__tag"))
+    return tagged.join(kept, same, "left_semi").dropDuplicates([key, own]).drop(own)

@@ -1,11 +1,13 @@
 """Near-duplicates of documents and vectors against brute force over all pairs."""
 
+import random
 import re
 from itertools import combinations
 
 import numpy as np
 import pytest
 from odd_documents import frame, rows
+from pyspark.sql import functions as F
 
 from loomwork.llm import embedding_dedup, minhash_dedup
 from loomwork.llm.components import connected_components, dense_roots
@@ -151,3 +153,32 @@ def test_components_of_paths_stars_and_loops(spark):
     flags = np.zeros((4, 4), bool)
     flags[0, 2] = flags[2, 0] = True
     assert dense_roots(flags).tolist() == [0, 1, 0, 3]
+
+
+def test_rows_without_ids_do_not_meet_each_other(spark):
+    """1000 rows without ids, in 100 groups of near copies: a class is compared through one row, and one row of each group stays."""
+    rng = random.Random(8)
+    pairs = []
+    for g in range(100):
+        base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        for c in range(10):
+            pairs.append((None, " ".join([*base[: 60 - (c > 4)], *(["end"] if c > 4 else [])])))
+    docs = frame(spark, pairs).withColumn("row__tag", F.lit("own"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    keys = rows.mapInArrow(minhash_dedup._sign, "doc_id long, tag long, n_shingles long, key binary, bands array<long>, signature binary")
+    chosen = keys.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("tag").alias("rep_tag"))
+    chosen = chosen.select("*", F.xxhash64("key").alias("vertex"), F.lit(1).cast("long").alias("family"), F.lit(200).cast("long").alias("family_size"))
+    assert minhash_dedup._sets_of(rows, chosen).count() == 200
+    kept = minhash_dedup.dedupe(docs)
+    assert kept.count() == 100 and set(kept.columns) == set(docs.columns) and kept.select("row__tag").distinct().count() == 1
+    found = minhash_dedup.near_duplicates(docs)
+    assert found.count() == 1000 and found.where("component_id is null and kept").count() == 1000
+
+
+def test_threshold_is_an_argument(spark):
+    words = [f"w{i}" for i in range(104)]
+    docs = frame(spark, [(1, " ".join(words)), (2, " ".join([*words[:50], "x", *words[51:]]))])  # 95 of 105 shared: 0.905
+    ids = {t: {r.doc_id for r in minhash_dedup.dedupe(docs, threshold=t).collect()} for t in (80, 90, 91)}
+    assert ids == {80: {1}, 90: {1}, 91: {1, 2}}
+    with pytest.raises(ValueError):
+        minhash_dedup.dedupe(docs, threshold=50)
