@@ -138,9 +138,10 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 
 def postings(docs: DataFrame, grams: list[str], key: str, text: str) -> DataFrame:
     """One row (gram number, key) for each listed trigram that a text has, in either case."""
-    lowered = F.lower(F.col(text))
-    present = F.array(*[F.when(F.contains(lowered, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)])
-    return docs.select(F.col(key).alias("doc"), F.explode(F.array_compact(present)).alias("gram"))
+    present = F.array(*[F.when(F.contains(F.col("lowered"), F.lit(g)), F.lit(i)) for i, g in enumerate(grams)])
+    # A column of its own below the explode, so that a text is lower-cased once and not for each trigram.
+    lowered = docs.select(F.col(key).alias("doc"), F.lower(F.col(text)).alias("lowered"))
+    return lowered.select("doc", F.explode(F.array_compact(present)).alias("gram"))
 
 
 def candidates(index: DataFrame, grams: list[str], rules: tuple[Rule, ...]) -> DataFrame:
