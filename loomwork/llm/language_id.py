@@ -10,6 +10,10 @@ Only text and non-null labels of documents outside the held-out fold are learned
 
 Null texts and texts without a letter are ``und`` with score 0; without anything to learn from all
 texts are. A null id is outside the held-out fold. Rows may repeat; other columns are not read.
+
+``identified`` also asks whether a text reads like its language: the mean logarithm of the chance of each
+letter after the one before, learned from the same windows, has to lie nearer to what is typical of them
+than to letters at random.
 """
 
 from __future__ import annotations
@@ -29,6 +33,12 @@ WIDTHS, FILTERS, DIMS = (2, 3, 4), 8, 8
 TAPS = max(WIDTHS)
 TRAIN_DOCS, TRAIN_WINDOWS = 2000, 4
 STEPS, BATCH, RATE = 700, 64, 0.01
+#: A window tells its language with a probability of this many times chance; a text does if half of its bytes are in such windows.
+TELLING = 1.2
+#: Standard deviations by which a short text may fall behind prose, and pairs of letters below which it is not judged.
+ALLOWANCE, LEAST_PAIRS = 3.0, 32
+_LETTER = tb.word_table([*range(65, 91), *range(97, 123), *range(128, 256)])
+_WRITTEN = _LETTER | tb.word_table([0x20])
 #: Windows computed at a time.
 BLOCK = 128
 
@@ -38,6 +48,50 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+@dataclass
+class Prose:
+    """How likely each letter is after the one before, in each language; and what is typical of texts.
+
+    Pairs of bytes count where both are letters, or one is and the other is a space; A-Z count as a-z, and bytes
+    beyond ASCII as letters. So numbers, keys and punctuation in a text say nothing for or against it.
+    """
+
+    chances: np.ndarray  # languages x 65536, natural logarithms
+    cut: float  # half way between training windows and letters at random
+    spread: float  # standard deviation of a single pair
+
+    @staticmethod
+    def pairs(before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each pair of bytes, and whether it counts."""
+        counts = (_LETTER[before] & _WRITTEN[after]) | (_WRITTEN[before] & _LETTER[after])
+        return tb.LOWER[before].astype(np.int64) << 8 | tb.LOWER[after], counts
+
+    @classmethod
+    def of(cls, windows: np.ndarray, labels: np.ndarray, languages: int) -> Prose:
+        counts = np.full((languages, 256, 256), 0.1)
+        pair, real = cls.pairs(windows[:, :-1], windows[:, 1:])
+        for k in range(languages):
+            own = labels == k
+            counts[k] += np.bincount(pair[own][real[own]], minlength=65536).reshape(256, 256)
+        chances = np.log(counts / counts.sum(2, keepdims=True)).astype(np.float32)
+        found = chances.reshape(languages, -1)[labels[:, None], pair]
+        some = real.sum(1) > 0
+        typical = np.median((found * real).sum(1)[some] / real.sum(1)[some]) if some.any() else 0.0
+        random = chances[:, 97:123, 97:123].mean()
+        return cls(chances.reshape(languages, -1), float(typical + random) / 2, float(found[real].std()) if some.any() else 0.0)
+
+    def reads(self, data: np.ndarray, offs: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """Whether each text is nearer to prose of its language than to letters at random; short ones have an allowance, and below ``LEAST_PAIRS`` stay."""
+        text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+        pair, real = self.pairs(data[:-1], data[1:])
+        real &= text[1:] == text[:-1]
+        owner = text[1:][real]
+        n = np.bincount(owner, minlength=len(offs) - 1)
+        total = np.bincount(owner, weights=self.chances.ravel()[language[owner] << 16 | pair[real]], minlength=len(n))
+        steps = np.maximum(n, 1)
+        return (n < LEAST_PAIRS) | (total / steps >= self.cut - ALLOWANCE * self.spread / np.sqrt(steps))
+
+
 @dataclass
 class Network:
     """Parameters: byte embeddings, filters over embedded taps, output weights; and the languages."""
@@ -48,6 +102,7 @@ class Network:
     weights: np.ndarray  # filters x languages
     shift: np.ndarray
     languages: list[str]
+    prose: Prose | None = None
 
     def pooled(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Maximum of each filter, where it is, and the embedded taps, for windows padded by ``TAPS - 1`` zeros."""
@@ -153,13 +208,17 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     per = max(1, TRAIN_DOCS // len(counts))
     rates = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1_000_000, per * 1_000_000 // n + 1))])
     chosen = rows.where(F.pmod(F.xxhash64("tag", F.lit("train")), F.lit(1_000_000)) < rates[F.col("lang")])
-    found = chosen.mapInArrow(_some_windows, "lang string, window binary").distinct().orderBy("lang", "window").limit(2 * TRAIN_DOCS * TRAIN_WINDOWS).toArrow()
+    found = chosen.mapInArrow(_some_windows, "lang string, window binary").distinct()
+    # In the order of a hash, so that a cut takes windows of all languages alike.
+    found = found.orderBy(F.xxhash64("window"), "lang", "window").limit(2 * TRAIN_DOCS * TRAIN_WINDOWS).toArrow()
     languages = sorted(set(found.column("lang").to_pylist()))
     if not languages:
         return None
     labels = np.array([languages.index(x) for x in found.column("lang").to_pylist()])
     windows = np.frombuffer(b"".join(found.column("window").to_pylist()), np.uint8).reshape(len(labels), -1)
-    return fit(windows, labels, languages)
+    net = fit(windows, labels, languages)
+    net.prose = Prose.of(windows, labels, len(languages))
+    return net
 
 
 def _predict(net: Network | None, names: list[str]):
@@ -192,7 +251,36 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str] | None = None,
     return rows.mapInArrow(_predict(net, keep), schema)
 
 
-def identified(docs: DataFrame, least: float = 0.3, **columns: str) -> DataFrame:
-    """The rows whose language is told with a score of ``least`` or more, with their own columns."""
-    found = predict(docs, train(docs, **columns), text=columns.get("text", "text"))
-    return found.where((F.col("lang__pred") != "und") & (F.col("lang__score") >= least)).drop("lang__pred", "lang__score")
+def _kept(net: Network, column: str):
+    """Map step: rows whose windows tell a language and whose bytes follow one another as in its prose."""
+
+    def step(batches):
+        for batch in batches:
+            for part, data, offs in tb.slices(batch, column):
+                windows, text, size = windows_of(data, offs)
+                total = np.zeros((part.num_rows, len(net.languages)))
+                told = np.zeros(part.num_rows)
+                for a in range(0, len(windows), BLOCK):
+                    b = slice(a, a + BLOCK)
+                    chance = net.probabilities(windows[b])
+                    np.add.at(total, text[b], chance * size[b, None])
+                    np.add.at(told, text[b], size[b] * (chance.max(1) * len(net.languages) >= TELLING))
+                known = (2 * told >= total.sum(1)) | (len(net.languages) == 1)
+                yield part.filter(pa.array(known & net.prose.reads(data, offs, total.argmax(1))))
+
+    return step
+
+
+def identified(docs: DataFrame, **columns: str) -> DataFrame:
+    """The rows in a recognisable language, with their own columns.
+
+    Out go texts without a letter, texts most of whose windows tell no language, and texts whose bytes do
+    not follow one another as in any language that was learned (scripts and gibberish that were never
+    seen). Windows are judged one by one, so a text that mixes languages stays. Without anything to
+    learn from all rows go.
+    """
+    net, text = train(docs, **columns), columns.get("text", "text")
+    readable = docs.where(F.rlike(F.col(text), F.lit(r"\p{L}")))
+    if net is None:
+        return readable.limit(0)
+    return readable.mapInArrow(_kept(net, text), docs.schema)

@@ -152,6 +152,43 @@ def test_languages_of_odd_texts(spark):
     assert language_id.predict(docs.limit(0), net).count() == 0
 
 
+@needs_tables
+def test_texts_that_no_language_explains_go_and_others_stay(spark):
+    """Learned from the given documents: gibberish and unseen scripts go; short, mixed and marked-up prose stays."""
+    import random
+
+    rng = random.Random(4)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    prose = {r.lang: r.text for r in docs.groupBy("lang").agg(F.max_by("text", F.struct(F.length("text") < 3000, F.length("text"))).alias("text")).collect()}
+    mixed = " ".join(p[:1100] for p in prose.values())
+    go = ["".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(400)), "これは日本語の文章です。機械学習のデータを整理します。" * 5,
+          "Это русский текст, который никогда не встречался при обучении модели. " * 4, "".join(rng.choice("0123456789abcdef") for _ in range(900)), "12 !! 7", None]
+    stay = [mixed, *prose.values(), "word", "Hello there, how are you?", prose["en"] + " password = k3jh5k2jh45kjh2k4 +1 415 555 2671", "été", "A"]
+    pairs = [(10**9 + i, t, None) for i, t in enumerate(go + stay)]
+    more = spark.createDataFrame(pairs, "doc_id long, text string, lang string")
+    kept = language_id.identified(docs.select("doc_id", "text", "lang").unionByName(more).withColumn("lang__pred", F.lit(1)).withColumn("text__read", F.lit(2)))
+    assert {r.doc_id - 10**9 for r in kept.where("doc_id >= 1000000000").collect()} == set(range(len(go), len(go + stay)))
+    assert kept.columns == ["doc_id", "text", "lang", "lang__pred", "text__read"]
+
+
+def test_pooled_filters_equal_a_plain_convolution():
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, n).tolist()) for n in (1, 5, 700)]
+    windows = np.zeros((40, language_id.WINDOW + language_id.TAPS - 1), np.uint8)
+    windows[:, : language_id.WINDOW] = rng.integers(97, 123, (40, language_id.WINDOW))
+    net = language_id.fit(windows, np.arange(40) % 3, ["a", "b", "c"])
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    cut, text, size = language_id.windows_of(data, offs)
+    assert [bytes(w[:n].tobytes()) for w, n in zip(cut, size)] == [texts[0], texts[1], texts[2][:512], texts[2][512:]]
+    for window, found in zip(cut, net.probabilities(cut)):
+        padded = np.concatenate([net.embedding[window], np.zeros((language_id.TAPS, language_id.DIMS))])
+        best = []
+        for f, bias in zip(net.filters.reshape(len(net.filters), language_id.TAPS, language_id.DIMS), net.bias):
+            best.append(max(0, bias + max((padded[i : i + language_id.TAPS] * f).sum() for i in range(language_id.WINDOW))))
+        raw = np.array(best) @ net.weights + net.shift
+        assert np.allclose(np.exp(raw - raw.max()) / np.exp(raw - raw.max()).sum(), found, atol=1e-4)
+
+
 @needs_tables
 def test_quality_of_held_out_documents(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
