@@ -25,6 +25,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -276,9 +277,11 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, np.uint32) for x in found]
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the number of each."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
     def _holding_added(self, raw: bytes, offs: np.ndarray) -> np.ndarray:
         found = []
@@ -295,7 +298,8 @@ class Encoder:
         wide = np.concatenate([[0], np.cumsum(data >= 128)])
         plain = wide[ends] == wide[starts]
         # Capitals are alike where no mark can join them.
-        folded = np.where(np.repeat(plain, ends - starts), tb.LOWER[data[_inside(starts, ends)]], data[_inside(starts, ends)])
+        own = data[_inside(starts, ends)]
+        folded = np.where(np.repeat(plain, ends - starts), tb.LOWER[own], own)
         own = np.cumsum(ends - starts)
         digest = tb.range_digests(folded, own - (ends - starts), own)
         unique, sample, word = np.unique(digest, return_index=True, return_inverse=True)
@@ -306,16 +310,14 @@ class Encoder:
             slot[known] = self.slots[at[known]]
         missing = np.flatnonzero(slot < 0)
         raw = data.tobytes()
-        fresh = self.whole([raw[starts[i] : ends[i]].decode() for i in sample[missing]])
-        sizes = np.array([len(x) for x in fresh], np.int64)
-        pool = np.concatenate([self.pool, *fresh])
+        fresh, sizes = self._flat([raw[starts[i] : ends[i]].decode() for i in sample[missing]])
+        pool = np.concatenate([self.pool, fresh])
         first = np.concatenate([self.first, len(self.pool) + np.cumsum(sizes) - sizes])
         size = np.concatenate([self.size, sizes])
         slot[missing] = len(self.size) + np.arange(len(missing))
         if len(size) <= KNOWN_PIECES:
-            keys = np.concatenate([self.keys, unique[missing]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.slots = keys[order], np.concatenate([self.slots, slot[missing]])[order]
+            at = np.searchsorted(self.keys, unique[missing])  # both are in order
+            self.keys, self.slots = np.insert(self.keys, at, unique[missing]), np.insert(self.slots, at, slot[missing])
             self.pool, self.first, self.size = pool, first, size
         slot = slot[word]
         length = size[slot]
@@ -326,8 +328,8 @@ class Encoder:
         if not len(special):
             return ids, cuts
         texts = np.split(ids, cuts[1:-1])
-        for t, found in zip(special, self.whole([raw[offs[t] : offs[t + 1]].decode() for t in special])):
-            texts[t] = found
+        for t in special:
+            texts[t], _ = self._flat([raw[offs[t] : offs[t + 1]].decode()])
         return np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
 
 
