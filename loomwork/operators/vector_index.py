@@ -28,7 +28,7 @@ from loomwork.session import materialize
 
 # Rows that centres are fitted on, rows that recall is calibrated on, and the most lists.
 FIT_ROWS, CALIBRATION_ROWS, MAX_LISTS = 65_536, 256, 4096
-TARGET_RECALL = 0.95
+TARGET_RECALL = 0.97
 
 
 def _sample(rows: DataFrame, n: int, salt: int) -> DataFrame:
