@@ -620,6 +620,8 @@ SELECT query_id, rank, id, score FROM (
         "vector_index_exact": f"""WITH {VECTORS}, {ROW_QUESTIONS}
 SELECT query_id, rank, id, score FROM (
   SELECT *, {RANK.format(part='PARTITION BY query_id')} AS rank, {SCORE} AS score FROM scored_rows) WHERE rank <= 10""",
+        "vector_index_hits": """
+SELECT vec_id AS query_id, least(10, (SELECT count(*) FROM embeddings)) AS hits, TRUE AS "right", TRUE AS falling FROM embeddings WHERE vec_id % 50 = 0""",
         "vector_index_recall": """
 SELECT count(*) FILTER (WHERE vec_id % 50 = 0) AS queries, count(*) FILTER (WHERE vec_id % 50 = 0) * least(10, count(*)) AS hits,
        TRUE AS recall_90, TRUE AS lists_skipped FROM embeddings""",

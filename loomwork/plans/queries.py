@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import files, ids, text
@@ -899,10 +899,20 @@ def _indexed(t: Tables) -> tuple[vector_index.VectorIndex, int]:
 
 @query
 def vector_index_hits(t: Tables) -> DataFrame:
-    """V3 from the index: every row whose id is divisible by 50 as a query against all rows."""
+    """V3 from the index, every row whose id is divisible by 50 as a query against all rows: how many hits each
+    query has, and whether their scores are the cosines of the rows they name, in falling order."""
     index, probes = _indexed(t)
     hits = vector_index.search(index, t.row_questions, probes)
-    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+    both = hits.join(t.row_questions, "query_id").join(t.vectors.select("id", "vector"), "id")
+
+    def dot(a: str, b: str) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+    cosine = dot("vector", "query_vector") / F.sqrt(dot("vector", "vector") * dot("query_vector", "query_vector"))
+    right = F.abs(F.greatest(cosine, F.lit(0.0)) - F.col("score")) < 0.0002
+    below = F.lag("score").over(Window.partitionBy("query_id").orderBy("rank")) >= F.col("score")
+    told = both.select("query_id", right.alias("right"), F.coalesce(below, F.lit(True)).alias("below"))
+    return told.groupBy("query_id").agg(F.count("*").alias("hits"), F.every("right").alias("right"), F.every("below").alias("falling"))
 
 
 @query
