@@ -107,12 +107,12 @@ def build(rows: DataFrame, folder: str, lists: int | None = None) -> VectorIndex
     placed = _assigned(stored, "vector", centres, 1).withColumn("list", F.col("lists")[0]).drop("lists")
     placed = materialize(placed, "indexed")
     sizes = placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
-    placed.hint("rebalance", "list").write.partitionBy("list").parquet(f"{folder}/rows", mode="overwrite")
+    writer = placed.hint("rebalance", "list").write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy("list").parquet(f"{folder}/rows")
     shown = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>")
     counted = shown.join(sizes, "list", "left").select("list", "centre", F.coalesce("n", F.lit(0)).alias("n"))
     counted.write.parquet(f"{folder}/lists", mode="overwrite")
-    index = VectorIndex(spark, folder, stored.schema)
-    return index
+    return VectorIndex(spark, folder, stored.schema)
 
 
 def probed(index: VectorIndex, queries: DataFrame, probes: int) -> DataFrame:
