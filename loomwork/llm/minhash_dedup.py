@@ -40,6 +40,8 @@ THRESHOLD, LEAST_THRESHOLD = 85, 80
 #: Slots of two signatures that agree, below which they are not compared further.
 AGREE = SLOTS // 2
 BUCKET_TILE, FAMILY_TILE = 2048, 1024
+#: Rows of a table of pairs that are computed at a time.
+BLOCK = 256
 
 WORD = ~tb.word_table([0x20, *range(0x09, 0x0E)])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -190,23 +192,30 @@ def linked_sets(sets: list[np.ndarray], threshold: int = THRESHOLD) -> np.ndarra
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     grams = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), size)
+    owner = np.repeat(np.arange(n, dtype=np.int32), size)
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
+    del order
     new = np.concatenate([[True], grams[1:] != grams[:-1]])
+    del grams
     number = np.cumsum(new) - 1
     shared = np.bincount(number)[number] > 1
     owner, number = owner[shared], number[shared]
     number = np.cumsum(np.concatenate([[False], number[1:] != number[:-1]])) if len(number) else number
-    both = np.zeros((n, n), np.float64)
+    # Rows are counted and judged in blocks; the tables of a pair of tiles take a few times its flags.
+    both = np.zeros((n, n), np.int32)
     width = max(256, (4 << 20) // max(n, 1))
     for a in range(0, int(number[-1]) + 1 if len(number) else 0, width):
         lo, hi = np.searchsorted(number, [a, a + width])
         holds = np.zeros((n, min(width, int(number[-1]) + 1 - a)), np.float32)
         holds[owner[lo:hi], number[lo:hi] - a] = 1
-        both += holds @ holds.T
-    both = both.astype(np.int64)
-    return 100 * both >= threshold * (size[:, None] + size - both)
+        for r in range(0, n, BLOCK):
+            both[r : r + BLOCK] += (holds[r : r + BLOCK] @ holds.T).astype(np.int32)
+    linked = np.zeros((n, n), np.bool_)
+    for r in range(0, n, BLOCK):
+        inner = both[r : r + BLOCK].astype(np.int64)
+        linked[r : r + BLOCK] = 100 * inner >= threshold * (size[r : r + BLOCK, None] + size - inner)
+    return linked
 
 
 def _verify(threshold: int):

@@ -79,3 +79,24 @@ def test_changed_edges_meet_the_stored_ones_once(spark):
     got = incremental.changed_edges(old, new)
     assert sorted((r.src_id, r.weight) for r in got.collect()) == [("a", 2.0), ("d", None)]
     assert plan(got).count("Join ") == 1
+
+
+def test_a_pair_of_tiles_is_compared_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from loomwork.llm import minhash_dedup
+
+    rng = np.random.default_rng(1)
+    n = 2 * minhash_dedup.FAMILY_TILE
+    common = rng.integers(0, 1 << 60, 40).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 60, i % 12).astype(np.uint64)])) for i in range(n)]
+    tracemalloc.start()
+    linked = minhash_dedup.linked_sets(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for i, j in rng.integers(0, n, (200, 2)):
+        inner = len(np.intersect1d(sets[i], sets[j]))
+        assert linked[i, j] == (100 * inner >= 85 * (len(sets[i]) + len(sets[j]) - inner))
+    assert peak < 64 << 20
