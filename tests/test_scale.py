@@ -6,7 +6,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomwork.operators import incremental, marts, quality, silver
+from loomwork.functions import ids
+from loomwork.operators import graph, incremental, marts, quality, silver, topics
+from loomwork.plans import bindings
 from loomwork.plans.bindings import Tables
 from loomwork.session import tune
 
@@ -100,3 +102,46 @@ def test_a_pair_of_tiles_is_compared_in_little_memory():
         inner = len(np.intersect1d(sets[i], sets[j]))
         assert linked[i, j] == (100 * inner >= 85 * (len(sets[i]) + len(sets[j]) - inner))
     assert peak < 64 << 20
+
+
+def test_names_by_key_become_the_ids(spark):
+    df = spark.createDataFrame([("r", "a:b|c"), ("", "x"), (None, "y")], "repo string, name string")
+    repo, name = F.col("repo"), F.col("name")
+    pairs = [
+        (ids.commit_key(repo, name), ids.commit_id(repo, name)), (ids.file_key(repo, name), ids.file_id(repo, name)),
+        (ids.session_key(name), ids.session_id(name)), (ids.message_key(repo, name), ids.message_id(repo, name)),
+        (F.concat(F.lit("topic:"), name), F.concat(F.lit("topic:"), name)), (ids.person_id(name), ids.person_id(name)),
+    ]
+    for row in df.select(*[ids.id_of(key).eqNullSafe(made) for key, made in pairs]).collect():
+        assert all(row)
+
+
+def test_silver_by_keys_is_silver_by_ids(spark):
+    t = Tables(tune(spark), SF)
+    by_id = t.artifacts.select("id", "kind", "title").collect()
+    assert sorted(map(tuple, by_id)) == sorted(map(tuple, ids.with_ids(t.keyed.artifacts, "id").select("id", "kind", "title").collect()))
+    ends = ["relation", "src_id", "dst_id", "weight"]
+    turned = ids.with_ids(t.keyed.edges, "src_id", "dst_id").withColumns(
+        {c: F.when(F.col("relation") != "co_edited", F.col(c)).otherwise(f("src_id", "dst_id")) for c, f in (("src_id", F.least), ("dst_id", F.greatest))}
+    )
+    assert sorted(map(tuple, t.edges.select(ends).collect())) == sorted(map(tuple, turned.select(ends).collect()))
+    assert "sha2" not in plan(t.keyed.edges.filter("relation = 'modified'").select("src_id", "dst_id"))
+
+
+def test_marts_without_topics_find_none(spark, monkeypatch):
+    def none(*args):
+        raise AssertionError("topics are not read")
+
+    monkeypatch.setattr(topics, "topic_terms", none)
+    monkeypatch.setattr(bindings, "_WRITTEN", {k: v for k, v in bindings._WRITTEN.items() if not k[2].startswith("topic_")})
+    for name in ("gold_daily_activity", "gold_file_hotspots", "gold_author_activity"):
+        assert Tables(tune(spark), SF).fresh_gold(name).columns
+
+
+def test_ends_are_looked_up_before_rows_multiply(spark):
+    m = topics.TopicMembers(["x", "y"], *[spark.createDataFrame(r, "node string, mask long") for r in ([], [("p", 3), ("q", 1)], [], [("f", 2)])])
+    known = spark.createDataFrame([("p",), ("f",), ("topic:x",), ("topic:y",)], "id string")
+    got = graph.about(m, known)
+    assert sorted((r.source, r.target) for r in got.collect()) == [("topic:x", "p"), ("topic:y", "f"), ("topic:y", "p")]
+    text = plan(got)
+    assert text.index("Generate") < text.index("Join LeftSemi")
