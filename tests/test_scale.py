@@ -145,3 +145,8 @@ def test_ends_are_looked_up_before_rows_multiply(spark):
     assert sorted((r.source, r.target) for r in got.collect()) == [("topic:x", "p"), ("topic:y", "f"), ("topic:y", "p")]
     text = plan(got)
     assert text.index("Generate") < text.index("Join LeftSemi")
+    artifacts = spark.createDataFrame([("commit:c", "commit", "Ann <a@b.c>")], "id string, kind string, actor string")
+    edges = spark.createDataFrame([("commit:c", f, "modified") for f in ("f", "gone")], "src_id string, dst_id string, relation string")
+    ann = artifacts.select(ids.known_person_id(F.col("actor")).alias("id"))
+    assert [r.target for r in graph.person_file(artifacts, edges, known.unionByName(ann)).collect()] == ["f"]
+    assert graph.person_file(artifacts, edges, known).isEmpty()
