@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork.functions import ids
 from loomwork.operators import silver
 from loomwork.plans import bindings, queries
 from loomwork.plans.bindings import Tables
 from loomwork.session import tune
+from loomwork.sources.lake import Lake
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no benchmark tables")
@@ -57,3 +59,29 @@ def test_files_by_key_hold_the_titles_of_their_commits(spark):
     assert texts[0] == texts[1] and all("Commits that touched this file:" in x for x in texts[0])
     by_id = silver.recent_titles(t.present, t.commits)
     assert ids.with_ids(t.keyed.titles, "file_id").exceptAll(by_id).isEmpty()
+
+
+def test_packed_ids_are_short_and_come_back(spark):
+    digest = "0123456789abcdef" * 2 + "01234567"
+    names = [f"file:{digest}", f"é\n{digest}", digest, digest.upper(), f"file:{digest}\n", "file:a", "", "\x01" + digest, "topic:red", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", ids.packed(F.col("n")).alias("p"))
+    got = df.select("n", "p", ids.unpacked(F.col("p")).alias("back")).collect()
+    assert all(r["n"] == r["back"] for r in got)
+    assert len(got[0]["p"]) == 26 and len({r["p"] and bytes(r["p"]) for r in got}) == len(names)
+
+
+def test_an_append_of_edges_shuffles_once_by_key(spark, tmp_path):
+    edges = spark.range(2000).select(
+        F.concat(F.lit("commit:"), F.col("id")).alias("src_id"), F.lit("file:x").alias("dst_id"),
+        F.lit("modified").alias("relation"), F.lit(1.0).alias("weight"), F.lit("2024-01-01").cast("timestamp").alias("created_at"),
+    )
+    plans, append = [], Lake._append
+
+    class Seen(Lake):
+        def _append(self, table, rows, batch_id, by, at=None, dealt=False):
+            plans.append(dealt)
+            return append(self, table, rows, batch_id, by, at, dealt)
+
+    lake = Seen(spark, str(tmp_path / "lake"))
+    assert [lake.append_edges(edges, str(n)) for n in range(2)] == [2000, 0] and plans == [True, True]
+    assert lake.edges().count() == 2000
