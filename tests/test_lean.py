@@ -85,3 +85,12 @@ def test_an_append_of_edges_shuffles_once_by_key(spark, tmp_path):
     lake = Seen(spark, str(tmp_path / "lake"))
     assert [lake.append_edges(edges, str(n)) for n in range(2)] == [2000, 0] and plans == [True, True]
     assert lake.edges().count() == 2000
+
+
+@needs_tables
+def test_a_focus_writes_no_members_and_no_ids_of_edges(spark, written):
+    t = Tables(tune(spark), SF)
+    assert t.keyed.graph.edges.columns[0] == "id" and t.keyed.graph.edges.filter("id IS NULL").isEmpty()
+    assert "graph_members" not in written() and "graph_edges" in written()
+    stored = next(path for key, path in bindings._WRITTEN.items() if key[2] == "graph_edges")
+    assert "id" not in spark.read.parquet(stored).columns
