@@ -7,8 +7,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork import schemas
 from loomwork.functions import ids
-from loomwork.operators import silver
+from loomwork.operators import incremental, silver
 from loomwork.plans import bindings, queries
 from loomwork.plans.bindings import Tables
 from loomwork.session import tune
@@ -94,3 +95,32 @@ def test_a_focus_writes_no_members_and_no_ids_of_edges(spark, written):
     assert "graph_members" not in written() and "graph_edges" in written()
     stored = next(path for key, path in bindings._WRITTEN.items() if key[2] == "graph_edges")
     assert "id" not in spark.read.parquet(stored).columns
+
+
+def test_a_load_that_is_sent_again_deals_its_ids_and_the_months_of_new_ones(spark, monkeypatch):
+    def batch(*given):
+        text = ", ".join(f"({n}, {m})" for n, m in given)
+        rows = spark.sql(f"SELECT * FROM VALUES {text} AS t(n, month)")
+        at = F.make_date(F.lit(2024), F.col("month"), F.lit(5)).cast("timestamp")
+        name = F.concat(F.lit("commit:"), F.substring(F.sha2(F.col("n").cast("string"), 256), 1, 40))
+        return schemas.conform(rows.select(name.alias("id"), at.alias("created_at"), F.col("month").cast("string").alias("content_hash")), schemas.ARTIFACTS)
+
+    made, write = [], incremental.materialize
+    monkeypatch.setattr(incremental, "materialize", lambda df, label: made.append(write(df, label)) or made[-1])
+    stored = batch(*[(n, n % 4 + 1) for n in range(100)])
+    # Sent again, with ids that come several times, one of them without a time, and one that has no id.
+    more = batch((200, 9), (200, 3), (200, 7), (201, 8), (202, 6), (202, "CAST(NULL AS INT)"), (203, 5), ("CAST(NULL AS INT)", 2))
+    got = incremental.new_artifacts(stored.unionByName(more), stored)
+    assert [(r["id"] is None, r["content_hash"]) for r in got.orderBy("content_hash").collect()] == [
+        (False, None), (True, "2"), (False, "3"), (False, "5"), (False, "8")
+    ]
+    assert made[0].columns == ["id", "month"] and made[0].count() == 5
+    assert got.schema.names == schemas.ARTIFACTS.names
+
+
+def test_reading_without_notes_of_later_rows_joins_nothing(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    row = spark.sql("SELECT 'a' AS id, 'file' AS kind, 'git' AS source, TIMESTAMP '2024-01-01' AS created_at")
+    assert lake.append_artifacts(row, "0") == 1
+    assert "Join" not in lake.artifacts()._jdf.queryExecution().optimizedPlan().toString()
+    assert lake.artifacts().count() == 1
