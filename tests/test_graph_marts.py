@@ -277,6 +277,20 @@ def test_pairs_of_people(crowd):
     assert marts.cross_silo_size(marts.set_sizes(df)).first()["rows"] == got.count()
 
 
+def test_pairs_of_people_come_from_stored_people_and_no_copies_are_broadcast(spark, crowd, monkeypatch):
+    people, df, names, terms = crowd
+    made, write = [], marts.materialize
+    monkeypatch.setattr(marts, "topic_people", lambda artifacts, edges, m: df)
+    monkeypatch.setattr(marts.graph, "person_names", lambda artifacts: names)
+    monkeypatch.setattr(marts, "materialize", lambda frame, label: made.append(label) or write(frame, label))
+    none = topics.TopicMembers(terms, df, df, df, df)
+    got = marts.gold_cross_silo(df, df, none)
+    assert sorted(made) == ["person_names", "topic_people"]
+    assert rows(got, "person_a", "person_b", "shared_topics", "topics") == sorted(brute_pairs(people, terms), key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [bit#" in plan and "BroadcastHashJoin [bit#" not in plan
+
+
 @pytest.mark.parametrize("k", [1, 5, 40, 5000])
 def test_top_pairs_equal_the_sorted_mart(crowd, k):
     people, df, names, terms = crowd
